@@ -1,0 +1,10 @@
+"""Registered queries; importing the package fills the catalog."""
+
+import importlib
+
+from labelwright.plans.catalog import ORACLES, QUERIES
+
+for _module in ("dashboards", "compliance"):
+    importlib.import_module(f"labelwright.plans.{_module}")
+
+__all__ = ["ORACLES", "QUERIES"]

@@ -44,3 +44,75 @@ def spark_view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A stand-in view or raw table as a DataFrame."""
     ref = lambda table: f"parquet.`{sf_dir}/{table}.parquet`"
     return spark.sql(_expand(f"SELECT * FROM @{name}", ref, 1))
+
+
+# ---- inspections: one per order --------------------------------------------------------
+define("inspections", """
+SELECT o_orderkey AS product_id, o_custkey % 50 AS user_id,
+       CASE WHEN o_orderkey % 17 = 0 THEN 'PENDING' WHEN o_orderstatus = 'P' THEN 'COMPLIANT'
+            WHEN o_orderstatus = 'F' THEN 'NON_COMPLIANT' ELSE 'REVIEW' END AS compliance_status,
+       CASE o_orderpriority WHEN '1-URGENT' THEN 'food' WHEN '2-HIGH' THEN 'beverage'
+            WHEN '3-MEDIUM' THEN 'cosmetic' WHEN '5-LOW' THEN 'household' ELSE 'unknown' END AS category,
+       CASE WHEN o_orderkey % 13 = 0 THEN 'FAILED' WHEN o_orderkey % 17 = 0 THEN 'PROCESSING'
+            ELSE 'COMPLETED' END AS analysis_status,
+       cast(o_orderdate AS timestamp) AS created_at, o_totalprice AS mrp,
+       'BATCH-' || cast(o_orderkey AS string) AS batch_lot_number,
+       CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE 8 + (o_custkey % 97) * cast(0.021 AS double) END AS latitude,
+       CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE 72 + (o_custkey % 89) * cast(0.023 AS double) END AS longitude,
+       o_custkey AS customer_key
+FROM @orders""")
+
+define("inspections_named", """
+SELECT i.*, c.c_mktsegment || ' pack' AS product_name, 'Brand ' || c.c_mktsegment AS brand_name,
+       c.c_name AS manufacturer_name, c.c_nationkey AS nation_key
+FROM @inspections i JOIN @customer c ON i.customer_key = c.c_custkey""")
+
+
+# ---- product facts: declarations and context of one packaged good per part ---------------
+define("product_facts", """
+SELECT p_partkey AS product_id, p_partkey % 20 AS user_id,
+  CASE WHEN p_partkey % 11 = 0 THEN NULL WHEN p_partkey % 11 = 1 THEN 'UNKNOWN' ELSE p_brand || ' Foods' END AS manufacturer_name,
+  CASE WHEN p_partkey % 3 = 0 THEN 'Plot ' || cast(p_partkey AS string) END AS manufacturer_address,
+  CASE WHEN p_partkey % 4 = 0 THEN NULL ELSE 'India' END AS country_of_origin,
+  CASE WHEN p_partkey % 13 = 0 THEN '' ELSE p_name END AS common_generic_name,
+  CASE WHEN p_partkey % 19 = 0 THEN NULL WHEN p_partkey % 23 = 0 THEN cast(0 AS double)
+       WHEN p_partkey % 31 = 0 THEN cast(-2 AS double) WHEN p_partkey % 3 = 0 THEN cast(p_size AS double)
+       WHEN p_partkey % 3 = 1 THEN cast(p_size * 25 AS double) ELSE cast(p_size AS double) / 4 END AS net_value,
+  CASE WHEN p_partkey % 29 = 0 THEN '' ELSE CASE p_partkey % 9 WHEN 0 THEN 'g' WHEN 1 THEN 'kg' WHEN 2 THEN 'ml' WHEN 3 THEN 'Litre'
+       WHEN 4 THEN 'pcs' WHEN 5 THEN 'cm' WHEN 6 THEN 'xyz' WHEN 7 THEN 'KGS' ELSE 'm' END END AS net_unit,
+  CASE WHEN p_partkey % 6 = 0 THEN NULL ELSE date '2024-01-01' + cast(p_partkey % 300 AS int) END AS date_of_manufacture,
+  CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE date '2024-01-03' + cast(p_partkey % 300 AS int) END AS date_of_packing,
+  CASE WHEN p_partkey % 8 = 0 THEN NULL ELSE date '2023-12-27' + cast(p_partkey % 300 + p_partkey % 41 AS int) END AS expiry_date,
+  CASE WHEN p_partkey % 17 = 0 THEN NULL WHEN p_partkey % 37 = 0 THEN cast(0 AS double) ELSE p_retailprice END AS mrp,
+  CASE WHEN p_partkey % 2 = 0 THEN '1800-123-4567' END AS care_phone,
+  CASE WHEN p_partkey % 5 = 0 THEN 'care(at)brand.example' END AS care_email,
+  CASE WHEN p_partkey % 9 = 0 THEN '10 x 20 cm' END AS dimensions,
+  CASE WHEN p_partkey % 10 = 0 THEN '1.25' END AS unit_sale_price,
+  CASE p_partkey % 13 WHEN 0 THEN 'INDUSTRIAL' WHEN 1 THEN 'INSTITUTIONAL' WHEN 2 THEN NULL WHEN 3 THEN 'OTHER' ELSE 'RETAIL' END AS consumer_type,
+  CASE p_partkey % 3 WHEN 0 THEN 'IMPORTED' WHEN 1 THEN 'DOMESTIC' END AS import_status,
+  CASE p_partkey % 8 WHEN 0 THEN 'COMBINATION' WHEN 1 THEN 'GROUP' WHEN 2 THEN 'MULTI_PIECE' WHEN 3 THEN NULL ELSE 'SINGLE' END AS package_type,
+  CASE p_partkey % 5 WHEN 0 THEN 'medical_device' WHEN 1 THEN 'food' WHEN 2 THEN 'cosmetic' WHEN 3 THEN 'household' END AS domain,
+  CASE WHEN p_partkey % 4 <> 0 THEN lower(p_type) END AS commodity_type,
+  CASE WHEN p_partkey % 6 = 0 THEN '10x10' END AS package_dimensions,
+  CASE p_partkey % 3 WHEN 0 THEN true WHEN 1 THEN false END AS expiry_required,
+  CASE (p_partkey + 1) % 3 WHEN 0 THEN true WHEN 1 THEN false END AS dimensions_applicable,
+  CASE p_partkey % 4 WHEN 0 THEN true WHEN 1 THEN false END AS usp_applicable,
+  CASE p_partkey % 9 WHEN 1 THEN 'manufacturerName,mrp' WHEN 2 THEN 'netQuantity,expiryOrUseByDate'
+       WHEN 3 THEN 'legibility,numeralLetterHeight' WHEN 4 THEN 'consumerCareDetails,dimensions,unitSalePrice' ELSE '' END AS confirmed_absent,
+  CASE WHEN p_partkey % 12 = 5 THEN 'confirmed' END AS visual_evidence,
+  CASE WHEN p_partkey % 14 = 3 THEN 'confirmed' END AS size_evidence,
+  CASE p_partkey % 6 WHEN 0 THEN NULL WHEN 1 THEN cast(p_size AS double) ELSE cast(p_size * 25 - 5 AS double) END AS observed_value,
+  CASE p_partkey % 5 WHEN 0 THEN 'g' WHEN 1 THEN 'kg' WHEN 2 THEN 'ml' WHEN 3 THEN 'cm' ELSE 'bad' END AS observed_unit,
+  CASE p_partkey % 6 WHEN 0 THEN NULL WHEN 1 THEN 'UNAVAILABLE' WHEN 2 THEN 'UNCALIBRATED' WHEN 3 THEN 'UNCERTAIN' ELSE 'CALIBRATED' END AS measurement_status,
+  CASE WHEN p_partkey % 21 = 0 THEN NULL ELSE cast(p_size % 10 AS double) / 2 END AS physical_height,
+  cast(0.5 AS double) AS height_uncertainty,
+  CASE WHEN p_partkey % 22 = 4 THEN 'UNCERTAIN' ELSE 'MEASURED' END AS height_status,
+  CASE WHEN p_partkey % 4 = 1 THEN 'ruler' ELSE 'reference_card' END AS calibration_source,
+  CASE p_partkey % 10 WHEN 0 THEN NULL WHEN 1 THEN 'UNAVAILABLE_MODEL_MISSING' ELSE 'SUCCESS' END AS visual_status,
+  p_partkey % 10 <> 2 AS panel_found,
+  cast(p_partkey % 100 AS double) / 50 AS panel_confidence,
+  CASE p_partkey % 16 WHEN 0 THEN 'OUTSIDE' WHEN 1 THEN 'PARTIAL' WHEN 2 THEN NULL ELSE 'INSIDE' END AS mrp_relation,
+  CASE WHEN p_partkey % 20 = 3 THEN cast(0.7 AS double) ELSE cast(0.9 AS double) END AS mrp_field_confidence,
+  CASE WHEN p_partkey % 18 = 5 THEN NULL WHEN p_partkey % 18 = 6 THEN 'OUTSIDE' ELSE 'INSIDE' END AS quantity_relation,
+  date '2022-01-01' + cast(p_partkey % 2500 AS int) AS as_of
+FROM @part""")
