@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from labelwright.functions.literals import map_of
 from labelwright.functions.rounding import half_up
 
 # ---- Fixed values: spelling -> canonical unit -------------------------------------------
@@ -65,26 +66,22 @@ def _spellings():
             yield word, unit
 
 
-def _literal_map(pairs) -> Column:
-    return F.create_map(*[F.lit(x) for pair in pairs for x in pair])
-
-
 def canonical_unit(raw: Column) -> Column:
     key = F.lower(F.trim(raw))
-    return F.coalesce(_literal_map(_spellings())[key], key)
+    return F.coalesce(map_of(_spellings())[key], key)
 
 
 def normalize(value: Column, unit: Column) -> Column:
     """struct(value, unit, kind, base_value, base_unit); unreadable parts give kind UNKNOWN."""
     ok = value.isNotNull() & ~F.isnan(value) & (F.abs(value) < float("inf")) & (F.length(F.trim(unit)) > 0)
     name = F.when(ok, canonical_unit(unit))
-    factor = _literal_map((u, k[1]) for u, k in UNIT_KINDS.items())[name]
+    factor = map_of((u, k[1]) for u, k in UNIT_KINDS.items())[name]
     return F.struct(
         F.when(ok, value).alias("value"),
         name.alias("unit"),
-        F.coalesce(_literal_map((u, k[0]) for u, k in UNIT_KINDS.items())[name], F.lit("UNKNOWN")).alias("kind"),
+        F.coalesce(map_of((u, k[0]) for u, k in UNIT_KINDS.items())[name], F.lit("UNKNOWN")).alias("kind"),
         (value * factor).alias("base_value"),
-        _literal_map((u, k[2]) for u, k in UNIT_KINDS.items())[name].alias("base_unit"),
+        map_of((u, k[2]) for u, k in UNIT_KINDS.items())[name].alias("base_unit"),
     )
 
 
@@ -109,8 +106,8 @@ def price_basis(value: Column, unit: Column, package_type: Column) -> Column:
     """struct(status, kind, basis_unit, basis_quantity, reason_code) of the expected basis."""
     units = [(w, kind, f) for kind, groups in PRICE_UNITS.items() for f, words in groups.items() for w in words.split()]
     key = F.lower(F.trim(unit))
-    kind = _literal_map((w, k) for w, k, _ in units)[key]
-    base = value * _literal_map((w, f) for w, _, f in units)[key]
+    kind = map_of((w, k) for w, k, _ in units)[key]
+    base = value * map_of((w, f) for w, _, f in units)[key]
     bad_value = value.isNull() | F.isnan(value) | (F.abs(value) == float("inf")) | (value <= 0)
     code = (
         F.when(bad_value, F.lit("QUANTITY_MISSING_OR_INVALID"))
@@ -118,9 +115,9 @@ def price_basis(value: Column, unit: Column, package_type: Column) -> Column:
         .when(F.coalesce(package_type, F.lit("")).isin(BUNDLE_PACKAGES), F.lit("BUNDLE_PACKAGE"))
         .when((kind != "count") & (base == 1), F.lit("UNIT_BOUNDARY"))
     )
-    small = _literal_map((k, b[0]) for k, b in PRICE_BASES.items())[kind]
-    large = _literal_map((k, b[2]) for k, b in PRICE_BASES.items())[kind]
-    factor = _literal_map((k, b[1]) for k, b in PRICE_BASES.items())[kind]
+    small = map_of((k, b[0]) for k, b in PRICE_BASES.items())[kind]
+    large = map_of((k, b[2]) for k, b in PRICE_BASES.items())[kind]
+    factor = map_of((k, b[1]) for k, b in PRICE_BASES.items())[kind]
     amount = F.when(kind == "count", value).when(base < 1, base * factor).otherwise(base)
     rounded = F.when(F.abs(amount) >= 1000, F.floor(amount + 0.5).cast("double")).otherwise(half_up(amount, 6))
     return F.struct(

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from labelwright.functions import quantity
 from labelwright.functions.evidence import has_value, known, listed
+from labelwright.functions.literals import map_of
 from labelwright.functions.rounding import half_up
 from labelwright.operators.rulebook import CLAUSES, with_clauses
 
@@ -226,7 +227,7 @@ def _measurement(key: Column, rule_id: Column, thresholds: Mapping[str, float],
     status, height = F.col("measurement_status"), F.col("physical_height")
     limit = F.lit(None).cast("double")
     if thresholds:
-        limit = F.create_map(*[F.lit(x) for pair in thresholds.items() for x in pair])[rule_id]
+        limit = map_of(thresholds)[rule_id]
     trust = F.coalesce(F.col("calibration_source").isin(list(trusted)), F.lit(False)) if trusted else F.lit(False)
     band = F.coalesce(F.col("height_uncertainty"), F.lit(0.0))
     return _chain(
@@ -385,7 +386,7 @@ def evaluate(products: DataFrame, rule_numbers=("6", "7", "8", "9", "11"), thres
 
 # ---- roll-up ---------------------------------------------------------------------------
 def _rank(status: Column) -> Column:
-    ranks = F.create_map(*[F.lit(x) for pair in STATUS_RANK.items() for x in pair])
+    ranks = map_of(STATUS_RANK)
     return F.when(status == "NOT_APPLICABLE", F.lit(None)).otherwise(F.coalesce(ranks[status], F.lit(2)))
 
 

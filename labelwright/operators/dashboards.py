@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from labelwright.functions.literals import map_of
 from labelwright.functions.rounding import half_up, half_up_int
 
 # Stored status and the name it has on the dashboard.
@@ -47,7 +48,7 @@ def distribution(df: DataFrame) -> DataFrame:
     zero_filled = filled.unpivot(["user_id"], known, "compliance_status", "n")
     others = counted.filter(~F.col("compliance_status").isin(known) | F.col("compliance_status").isNull())
     label = F.coalesce(
-        F.create_map(*[F.lit(x) for pair in STATUS_LABELS.items() for x in pair])[F.col("compliance_status")],
+        map_of(STATUS_LABELS)[F.col("compliance_status")],
         F.col("compliance_status"),
     )
     return zero_filled.unionByName(others).select("user_id", label.alias("status"), F.col("n").cast("bigint"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from labelwright.functions.literals import structs_of
+
 # ---- Fixed values ----------------------------------------------------------------------
 # rule id, rule number, clause, first day, last day, replaced rules
 RULES = [
@@ -58,28 +60,19 @@ CLAUSES = [
 ]
 # ----------------------------------------------------------------------------------------
 
-_STRINGS = "array<string>"
-
-
-def _strings(values) -> Column:
-    return F.array(*[F.lit(v) for v in values]).cast(_STRINGS)
+_RULE_FIELDS = {
+    "rule_id": "string", "rule_number": "string", "clause": "string",
+    "effective_from": "date", "effective_to": "date", "supersedes": "array<string>",
+}
+_CLAUSE_FIELDS = {
+    "rule_number": "string", "clause_key": "string", "rule_id": "string", "automation_level": "string",
+    "evaluator": "string", "context_fields": "array<string>", "import_statuses": "array<string>",
+}
 
 
 def rule_array(rules=RULES) -> Column:
     """The rule dimension as one constant array column: no join and nothing to broadcast."""
-    return F.array(
-        *[
-            F.struct(
-                F.lit(rule_id).alias("rule_id"),
-                F.lit(number).alias("rule_number"),
-                F.lit(clause).alias("clause"),
-                F.lit(first).cast("date").alias("effective_from"),
-                F.lit(last).cast("date").alias("effective_to"),
-                _strings(replaces).alias("supersedes"),
-            )
-            for rule_id, number, clause, first, last, replaces in rules
-        ]
-    )
+    return structs_of(_RULE_FIELDS, rules)
 
 
 def in_force(rule: Column, day: Column) -> Column:
@@ -124,21 +117,8 @@ def rules_delta(pairs: DataFrame, before: str, after: str) -> DataFrame:
 
 def clause_array(rule_numbers=None) -> Column:
     """Clause dimension as a constant array; all clauses are open-ended today."""
-    return F.array(
-        *[
-            F.struct(
-                F.lit(number).alias("rule_number"),
-                F.lit(key).alias("clause_key"),
-                F.lit(rule_id).alias("rule_id"),
-                F.lit(level).alias("automation_level"),
-                F.lit(evaluator).alias("evaluator"),
-                _strings(context).alias("context_fields"),
-                (_strings(imports) if imports else F.lit(None).cast(_STRINGS)).alias("import_statuses"),
-            )
-            for number, key, rule_id, level, evaluator, context, imports in CLAUSES
-            if rule_numbers is None or number in rule_numbers
-        ]
-    )
+    rows = [row[:6] + (row[6] or None,) for row in CLAUSES if rule_numbers is None or row[0] in rule_numbers]
+    return structs_of(_CLAUSE_FIELDS, rows)
 
 
 def with_clauses(products: DataFrame, rule_numbers=None) -> DataFrame:

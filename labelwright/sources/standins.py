@@ -116,3 +116,60 @@ SELECT p_partkey AS product_id, p_partkey % 20 AS user_id,
   CASE WHEN p_partkey % 18 = 5 THEN NULL WHEN p_partkey % 18 = 6 THEN 'OUTSIDE' ELSE 'INSIDE' END AS quantity_relation,
   date '2022-01-01' + cast(p_partkey % 2500 AS int) AS as_of
 FROM @part""")
+
+
+# ---- label text boxes: ten rows per part, one box per document line -----------------------
+_PRICE = "printf('%.2f', p_retailprice)"
+_LEFT = f"""«array¦list_value»(p_name || CASE WHEN p_partkey % 5 = 0 THEN ' biscuits' ELSE '' END,
+ CASE p_partkey % 8 WHEN 0 THEN 'MRP' WHEN 4 THEN 'M.R.P.' WHEN 1 THEN 'MRP Rs. ' || {_PRICE} || ' incl. of all taxes' WHEN 5 THEN 'MRP: 1,2' || cast(p_partkey % 90 + 10 AS string) || '/-'
+  WHEN 2 THEN 'Maximum Retail Price ₹' || {_PRICE} WHEN 6 THEN 'MRP 2024' WHEN 3 THEN 'Rs. ' || {_PRICE} ELSE cast(p_size AS string) || '0/-' END,
+ CASE p_partkey % 7 WHEN 0 THEN 'Net Quantity' WHEN 1 THEN 'Net Qty ' || cast(p_size AS string) || ' g' WHEN 2 THEN 'Net Wt: ' || cast(p_size AS string) || '.5 kg'
+  WHEN 3 THEN cast(p_size * 10 AS string) || ' ml' WHEN 4 THEN 'Contents 2 L' WHEN 5 THEN 'Net Vol. 750ml' ELSE '12 pcs' END,
+ CASE p_partkey % 6 WHEN 0 THEN 'Batch No' WHEN 1 THEN 'Batch No. B' || cast(p_partkey AS string) WHEN 2 THEN 'LOT: 33-01-2025' WHEN 3 THEN 'Batch No. see top of pack' WHEN 4 THEN 'Lot # 24' ELSE NULL END,
+ CASE p_partkey % 5 WHEN 0 THEN 'Mfg date 05/08/2024' WHEN 1 THEN 'Date of manufacture: 12 JAN 2024' WHEN 2 THEN '08/2024' WHEN 3 THEN 'Packed on 31.02.2024 1.3.24' ELSE 'Manufacturing date' END,
+ CASE p_partkey % 4 WHEN 0 THEN 'Best before 12/2026' WHEN 1 THEN 'Use By: 01-2025' WHEN 2 THEN 'Exp. Date' ELSE 'Expiry 15-Mar-2026' END,
+ CASE p_partkey % 5 WHEN 0 THEN 'Made in India.' WHEN 1 THEN 'Country of Origin' WHEN 2 THEN 'Origin: Viet Nam' ELSE NULL END,
+ CASE p_partkey % 3 WHEN 0 THEN 'Manufactured by ' || p_brand || ' Foods' WHEN 1 THEN 'Mfd. by: ' || p_brand || ' Industries.' ELSE 'Nepal' END,
+ CASE p_partkey % 4 WHEN 0 THEN 'Customer care: help@brand' || cast(p_partkey AS string) || '.in 1800-123-4567' WHEN 1 THEN 'Helpline' WHEN 2 THEN 'Toll free +91 98765 43210' ELSE 'Pin 560001' END,
+ CASE p_partkey % 6 WHEN 0 THEN '8901234567890' WHEN 1 THEN 'Shake well 50% extra' WHEN 2 THEN '20 x 30 cm' WHEN 3 THEN 'S/N AB1234' WHEN 4 THEN '560001' ELSE 'Rs. 99' END)"""
+_RIGHT = f"""«array¦list_value»(CASE WHEN p_partkey % 9 = 0 THEN p_brand || '®' END,
+ CASE p_partkey % 8 WHEN 0 THEN 'Rs. ' || {_PRICE} WHEN 4 THEN cast(p_size + 10 AS string) END,
+ CASE p_partkey % 7 WHEN 0 THEN '500 g' END, CASE p_partkey % 6 WHEN 0 THEN 'AB' || cast(p_partkey AS string) END,
+ CASE p_partkey % 5 WHEN 4 THEN '14.11.2023' END, CASE p_partkey % 4 WHEN 2 THEN '31.12.2026' END,
+ NULL, NULL, CASE p_partkey % 4 WHEN 1 THEN '9876543210' END, NULL)"""
+
+
+def _nested(sql: str, side: int) -> str:
+    """Resolve the spelling choices of a fragment that is placed inside another choice."""
+    return _CHOICE.sub(lambda m: m.group(side), sql)
+
+
+def _exploded(array_sql: str, key: str, table: str) -> str:
+    spark = f"(SELECT {key}, {_nested(array_sql, 1)} AS lines FROM {table}) LATERAL VIEW posexplode(lines) t AS pos, text"
+    duck = (
+        f"(SELECT {key}, unnest(lines) AS text, generate_subscripts(lines, 1) - 1 AS pos "
+        f"FROM (SELECT {key}, {_nested(array_sql, 2)} AS lines FROM {table}))"
+    )
+    return f"SELECT {key} AS k, pos, text FROM «{spark}¦{duck}»"
+
+
+define("text_lines", _exploded("«split(text, '\n')¦string_split(text, chr(10))»", "doc_id", "@documents"))
+define("label_left", _exploded(_LEFT, "p_partkey", "@part"))
+define("label_right", _exploded(_RIGHT, "p_partkey", "@part"))
+
+_CONF = "cast((k * 7 + pos * 13) % 50 + 50 AS double) / 100"
+define("label_boxes", f"""
+SELECT 'p' || cast(k AS string) AS image_id, cast(pos AS bigint) AS det_id, text, {_CONF} AS confidence, cast(0 AS double) AS x0,
+  cast(CASE WHEN pos = 0 THEN 0 ELSE 20 * pos + 20 END AS double) AS y0, cast(100 AS double) AS x1,
+  cast(CASE WHEN pos > 0 THEN 20 * pos + 35 WHEN k % 3 = 0 THEN 30 ELSE 15 END AS double) AS y1
+FROM @label_left WHERE text IS NOT NULL
+UNION ALL
+SELECT 'p' || cast(k AS string), cast(pos + 100 AS bigint), text, {_CONF}, cast(60 AS double), cast(20 * pos + 20 AS double),
+  cast(160 AS double), cast(20 * pos + 36 AS double)
+FROM @label_right WHERE text IS NOT NULL""")
+define("detections", f"""
+SELECT * FROM @label_boxes
+UNION ALL
+SELECT 'd' || cast(k AS string), cast(pos AS bigint), text, {_CONF}, cast(0 AS double), cast(20 * pos AS double),
+  cast(100 AS double), cast(20 * pos + 15 AS double)
+FROM @text_lines WHERE text <> ''""")
