@@ -173,3 +173,36 @@ UNION ALL
 SELECT 'd' || cast(k AS string), cast(pos AS bigint), text, {_CONF}, cast(0 AS double), cast(20 * pos AS double),
   cast(100 AS double), cast(20 * pos + 15 AS double)
 FROM @text_lines WHERE text <> ''""")
+
+
+# ---- product texts and nutrition ------------------------------------------------------------
+define("product_texts", """
+SELECT p_partkey AS product_id,
+ lower(p_name) || CASE p_partkey % 9 WHEN 0 THEN ' biscuits' WHEN 1 THEN ' shampoo' WHEN 2 THEN ' floor cleaner' WHEN 3 THEN ' cream' WHEN 4 THEN ' juice' WHEN 5 THEN ' seed' ELSE '' END AS name,
+ CASE p_partkey % 11 WHEN 0 THEN 'Nutrition Facts: calories, protein and fat. Ingredients: flour' WHEN 1 THEN 'For external use only. Patch test.' WHEN 2 THEN 'FSSAI lic. Packaged drinking water'
+  WHEN 3 THEN 'Voltage 220, warranty one year' WHEN 4 THEN 'Ayurvedic medicine. Dosage as advised by physician' WHEN 5 THEN 'Keep out of reach of children. Corrosive' WHEN 6 THEN 'Soft skin and hair' WHEN 7 THEN 'food not for human consumption'
+  ELSE 'Plain text' END || chr(10) || CASE p_partkey % 4 WHEN 0 THEN 'Delicious snack with great taste' WHEN 1 THEN 'Refreshing drink' WHEN 2 THEN 'chocolate, milk. biscuit cookie' ELSE 'health and relief' END AS ocr_text,
+ CASE p_partkey % 5 WHEN 0 THEN 'g' WHEN 1 THEN 'ml' WHEN 2 THEN 'kg' WHEN 3 THEN 'N' END AS unit FROM @part""")
+
+_NUTRITION_LINES = """«array¦list_value»('NUTRITION per 100 g', CASE p_partkey % 4 WHEN 0 THEN 'ENERGY' WHEN 1 THEN 'Energy: ' || cast(p_size * 9 AS string) || ' kcal' WHEN 2 THEN 'Calories ' || cast(p_size AS string) || ',5 kJ' ELSE 'no info' END,
+ CASE p_partkey % 4 WHEN 0 THEN cast(p_size * 8 AS string) || ' kcal' ELSE 'Protein 5.5g' END, CASE p_partkey % 3 WHEN 0 THEN 'Total Fat ' || cast(p_size AS string) || ' g' WHEN 1 THEN 'fat: 3' ELSE 'Saturated Fat 1.2 g' END,
+ CASE p_partkey % 5 WHEN 0 THEN 'Carbohydrate' WHEN 1 THEN 'Sugars 12 g' WHEN 2 THEN 'Total sugars' ELSE 'sodium 300 mg' END, CASE p_partkey % 5 WHEN 0 THEN '55.5 g' WHEN 2 THEN 'na 40' ELSE 'Dietary Fibre 2g, added sugar 1 g' END,
+ CASE p_partkey % 6 WHEN 0 THEN 'Serving size 30 g' WHEN 1 THEN 'Servings per pack: 5' ELSE 'Trans Fat 0 g' END)"""
+define("nutrition_lines", _exploded(_NUTRITION_LINES, "p_partkey", "@part"))
+
+define("nutrition_products", """
+SELECT p_partkey AS product_id, CASE WHEN p_partkey % 43 = 0 THEN NULL ELSE p_name END AS name,
+ CASE p_type WHEN 'ECONOMY' THEN 'biscuits' WHEN 'STANDARD' THEN 'snacks' WHEN 'PROMO' THEN 'beverages' WHEN 'MEDIUM' THEN 'milk_dairy' WHEN 'LARGE' THEN 'bakery_bread' ELSE 'unspecified' END AS category,
+ CASE WHEN p_partkey % 5 <> 0 THEN cast(100 + p_partkey % 400 AS double) END AS energy_kcal_g, CASE WHEN p_partkey % 3 = 0 THEN cast(900 + p_partkey % 700 AS double) END AS energy_kj_g,
+ CASE WHEN p_partkey % 7 = 0 THEN cast(50 + p_partkey % 40 AS double) END AS energy_kcal_ml, CASE WHEN p_partkey % 4 <> 1 THEN cast(p_partkey % 30 AS double) / 2 END AS proteins_g,
+ CASE WHEN p_partkey % 6 <> 2 THEN cast(p_partkey % 41 AS double) END AS fat_g, CASE WHEN p_partkey % 9 <> 4 THEN cast(p_partkey % 17 AS double) END AS saturated_g,
+ CASE WHEN p_partkey % 8 <> 3 THEN cast(p_partkey % 53 AS double) END AS sugars_g, CASE WHEN p_partkey % 8 = 3 THEN cast(p_partkey % 13 AS double) END AS sugars_ml,
+ CASE WHEN p_partkey % 10 <> 5 THEN cast(p_partkey % 11 AS double) END AS fiber_g, CASE WHEN p_partkey % 2 = 0 THEN cast(p_partkey % 700 AS double) END AS sodium_g,
+ CASE WHEN p_partkey % 3 <> 1 THEN cast(p_partkey % 25 AS double) / 10 END AS salt_g, p_retailprice AS popularity FROM @part""")
+
+define("nutrients_a", """
+SELECT p_partkey AS pair_id, n.name, cast((p_partkey * n.step) % 50 AS double) AS value, 'g' AS unit FROM @part CROSS JOIN
+ (SELECT 'Energy' AS name, 3 AS step UNION ALL SELECT 'Protein', 5 UNION ALL SELECT 'Sodium', 7 UNION ALL SELECT 'Total Fat', 11) n WHERE (p_partkey + n.step) % 4 <> 0""")
+define("nutrients_b", """
+SELECT p_partkey AS pair_id, n.name, CASE WHEN p_partkey % 6 = 0 THEN NULL ELSE cast((p_partkey * n.step) % 47 AS double) END AS value, 'g' AS unit FROM @part CROSS JOIN
+ (SELECT 'Energy' AS name, 3 AS step UNION ALL SELECT 'Protein', 5 UNION ALL SELECT 'Dietary Fibre', 7 UNION ALL SELECT 'Total Fat', 11) n WHERE (p_partkey + n.step) % 3 <> 0""")
