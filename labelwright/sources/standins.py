@@ -206,3 +206,81 @@ SELECT p_partkey AS pair_id, n.name, cast((p_partkey * n.step) % 50 AS double) A
 define("nutrients_b", """
 SELECT p_partkey AS pair_id, n.name, CASE WHEN p_partkey % 6 = 0 THEN NULL ELSE cast((p_partkey * n.step) % 47 AS double) END AS value, 'g' AS unit FROM @part CROSS JOIN
  (SELECT 'Energy' AS name, 3 AS step UNION ALL SELECT 'Protein', 5 UNION ALL SELECT 'Dietary Fibre', 7 UNION ALL SELECT 'Total Fat', 11) n WHERE (p_partkey + n.step) % 3 <> 0""")
+
+
+# ---- complaints ---------------------------------------------------------------------------
+define("complaints", """
+SELECT o_orderkey AS complaint_id, CASE WHEN o_orderkey % 11 = 0 THEN (o_custkey + 1) % 50 ELSE o_custkey % 50 END AS user_id,
+ CASE WHEN o_orderkey % 19 = 0 THEN o_orderkey + 1000000000000 ELSE o_orderkey END AS product_id,
+ CASE o_orderkey % 13 WHEN 0 THEN 'Missing mandatory declaration' WHEN 1 THEN 'Incorrect MRP declaration' WHEN 2 THEN 'Expired product on sale' WHEN 3 THEN 'Incorrect net quantity'
+  WHEN 4 THEN 'Missing manufacturer information' WHEN 5 THEN 'Missing country of origin' WHEN 6 THEN 'Missing batch/lot number' WHEN 7 THEN 'Missing date of manufacture/expiry'
+  WHEN 8 THEN 'Non-compliant labelling' WHEN 9 THEN 'Misleading consumer information' WHEN 10 THEN 'Other compliance concern' WHEN 11 THEN 'bad smell' END AS reason,
+ CASE WHEN o_orderkey % 14 = 0 THEN 'too short' ELSE 'The label of order ' || cast(o_orderkey AS string) || ' is wrong' END AS description,
+ CASE o_orderkey % 5 WHEN 0 THEN 'LOW' WHEN 1 THEN 'HIGH' WHEN 2 THEN 'URGENT' WHEN 3 THEN 'MEDIUM' END AS priority,
+ CASE o_orderstatus WHEN 'F' THEN 'RESOLVED' WHEN 'P' THEN 'UNDER_REVIEW' ELSE 'SUBMITTED' END AS status, cast(o_orderdate AS timestamp) AS submitted_at FROM @orders""")
+define("complaint_events", """
+SELECT l_orderkey AS complaint_id, cast(l_linenumber AS bigint) * 1000000000000 + l_partkey * 10000 + l_suppkey AS seq, cast(l_shipdate AS timestamp) AS changed_at,
+ CASE (l_linenumber + l_suppkey) % 4 WHEN 0 THEN 'RESOLVED' WHEN 1 THEN 'SUBMITTED' WHEN 2 THEN 'UNDER_REVIEW' ELSE 'REJECTED' END AS status, l_suppkey AS changed_by FROM @lineitem""")
+define("inspection_images", """
+SELECT i.*, CASE product_id % 4 WHEN 0 THEN '' WHEN 1 THEN 'a' || cast(product_id AS string) WHEN 2 THEN 'a' || cast(product_id AS string) || '|b' || cast(product_id AS string)
+ ELSE 'a|b|c' || cast(product_id AS string) END AS image_list FROM @inspections i""")
+define("raw_locations", """
+SELECT o_orderkey AS product_id, CASE o_orderkey % 9 WHEN 0 THEN 'abc' WHEN 1 THEN '91.5' WHEN 2 THEN NULL ELSE cast(o_custkey % 90 AS string) || '.25' END AS latitude,
+ CASE o_orderkey % 7 WHEN 0 THEN '-181' ELSE cast(o_custkey % 180 AS string) END AS longitude, CASE o_orderkey % 5 WHEN 0 THEN 'GPS' WHEN 1 THEN 'MANUAL' WHEN 2 THEN 'WIFI' WHEN 3 THEN 'GPS' END AS source,
+ CASE o_orderkey % 4 WHEN 0 THEN '-5' WHEN 1 THEN '12.5' WHEN 2 THEN 'n/a' END AS accuracy FROM @orders""")
+define("raw_products", """
+SELECT o_orderkey AS product_id, CASE WHEN o_orderkey % 50 = 0 THEN NULL ELSE o_custkey % 50 END AS user_id, CASE WHEN o_orderkey % 10 = 0 THEN '  ' ELSE 'Pack ' || cast(o_orderkey AS string) END AS product_name,
+ CASE WHEN o_orderkey % 12 = 0 THEN NULL WHEN o_orderkey % 12 = 1 THEN -1.5 ELSE o_totalprice END AS mrp, CASE WHEN o_orderkey % 8 = 0 THEN -3.0 ELSE 4.0 END AS net_value, CASE WHEN o_orderkey % 15 = 0 THEN NULL ELSE 'g' END AS net_unit,
+ CASE WHEN o_orderkey % 6 = 0 THEN 'PASS' ELSE 'COMPLIANT' END AS compliance_status, CASE WHEN o_orderkey % 20 = 3 THEN 'DONE' ELSE 'COMPLETED' END AS analysis_status, CASE WHEN o_orderkey % 21 = 4 THEN 'toys' ELSE 'food' END AS category,
+ CASE WHEN o_orderkey % 22 = 5 THEN 1.5 ELSE 0.5 END AS category_confidence, CASE WHEN o_orderkey % 23 = 6 THEN -95.0 ELSE 12.0 END AS latitude FROM @orders""")
+define("raw_detections", """
+SELECT l_orderkey AS batch_id, l_linenumber AS det_id, CASE WHEN l_partkey % 211 = 0 THEN '' ELSE 'text' END AS text, CASE WHEN l_partkey % 199 = 1 THEN NULL ELSE l_discount * 10 END AS confidence,
+ CASE WHEN l_partkey % 97 = 2 THEN 3 ELSE 4 END AS points, CASE WHEN l_partkey % 89 = 3 THEN NULL ELSE l_quantity END AS coord FROM @lineitem""")
+
+
+# ---- image manifest, annotations, fingerprints ------------------------------------------------
+define("images", """
+SELECT doc_id AS image_id, 'product_' || cast(cast(floor(doc_id / 2) AS bigint) AS string) AS product_id, CASE doc_id % 3 WHEN 0 THEN 'front' WHEN 1 THEN 'back' ELSE 'declaration' END AS view,
+ 'product_' || cast(cast(floor(doc_id / 2) AS bigint) AS string) || '/' || CASE doc_id % 5 WHEN 0 THEN 'IMG-front_' WHEN 1 THEN 'back view ' WHEN 2 THEN 'legal_panel_' WHEN 3 THEN 'front_back_' ELSE 'x' END || cast(doc_id AS string)
+  || CASE doc_id % 4 WHEN 0 THEN '.PNG' WHEN 1 THEN '.webp' ELSE '.jpg' END AS path,
+ «sha2(text, 256)¦sha256(text)» AS sha256, CASE WHEN right(source, 1) IN ('0', '1', '2', '3') THEN 'Proprietary' WHEN right(source, 1) IN ('4', '5') THEN 'cc-by-sa' WHEN right(source, 1) = '6' THEN 'BLOCKED' WHEN right(source, 1) = '7' THEN 'wiki' ELSE NULL END AS source_license,
+ 200 + n_chars % 1900 AS width, 150 + doc_id * 7 % 1700 AS height, n_chars * 10 AS bytes, cast(doc_id % 61 AS double) AS sigma, CASE WHEN doc_id % 6 = 0 THEN NULL ELSE lang END AS category,
+ CASE doc_id % 17 WHEN 0 THEN 'exact_duplicate' WHEN 1 THEN 'near_duplicate' WHEN 2 THEN 'review' WHEN 3 THEN 'malformed' ELSE 'unique' END AS duplicate_status,
+ CASE WHEN doc_id % 31 = 0 THEN 'test' WHEN doc_id % 9 < 6 THEN 'train' ELSE 'validation' END AS split, CASE WHEN doc_id % 29 = 0 THEN 'DENIED' ELSE 'allowed_for_training' END AS consent,
+ CASE doc_id % 4 WHEN 0 THEN 'png' WHEN 1 THEN 'webp' ELSE 'jpg' END AS extension, CASE doc_id % 5 WHEN 0 THEN 'png' WHEN 1 THEN NULL ELSE 'jpg' END AS magic,
+ CASE doc_id % 4 WHEN 0 THEN 'annotated' WHEN 1 THEN 'validated' WHEN 2 THEN 'pending' ELSE 'rejected' END AS status FROM @documents""")
+define("source_registry", """
+SELECT 'proprietary' AS license, 'APPROVED' AS approval_status UNION ALL SELECT 'CC-BY-SA', 'APPROVED' UNION ALL SELECT 'wiki', 'APPROVED' UNION ALL SELECT 'forum', 'PENDING' UNION ALL SELECT 'news', 'APPROVED' UNION ALL SELECT 'blocked', 'REJECTED'""")
+define("annotations", """
+SELECT doc_id * 2 AS annotation_id, doc_id AS image_id, 'product_' || cast(cast(floor(doc_id / 2) AS bigint) AS string) AS product_id, cast(doc_id % 5 AS int) AS class_id,
+ cast(doc_id % 110 AS double) / 100 AS x_center, cast(doc_id % 90 AS double) / 100 AS y_center, cast(doc_id % 21 AS double) / 20 AS width, cast(doc_id % 13 AS double) / 12 AS height,
+ CASE WHEN quality = 1 THEN CASE WHEN doc_id % 3 = 0 THEN 'human_corrected' ELSE 'human_verified' END ELSE 'weak_candidate' END AS provenance,
+ CASE WHEN toxic = 1 THEN 'REJECTED' WHEN quality = 0 THEN 'PENDING' WHEN doc_id % 3 = 0 THEN 'CORRECTED' WHEN doc_id % 3 = 1 THEN 'ACCEPTED' ELSE 'PENDING' END AS verification_status,
+ CASE WHEN doc_id % 8 = 0 THEN 'cc-by' ELSE 'proprietary' END AS source_license, doc_id % 6 = 1 AS training_eligible FROM @labels
+UNION ALL
+SELECT doc_id * 2 + 1, doc_id, 'product_' || cast(cast(floor(doc_id / 2) AS bigint) AS string), 2, 0.5, 0.5, 0.3, 0.3, 'human_verified', CASE WHEN toxic = 1 THEN 'ACCEPTED' ELSE 'PENDING' END, 'proprietary', false FROM @labels WHERE quality = 0""")
+_FP = """«aggregate(transform(sequence(0, 62), i -> CASE WHEN embedding[i] > 0 THEN shiftleft(1L, i) ELSE 0L END), 0L, (a, x) -> a + x)¦list_sum(list_transform(range(63), lambda i: CASE WHEN embedding[i + 1] > 0 THEN 1::BIGINT << i::INT ELSE 0::BIGINT END))::BIGINT»"""
+define("fingerprints", f"""
+SELECT vec_id * 3 AS image_id, fp FROM (SELECT vec_id, {_FP} AS fp FROM @embeddings)
+UNION ALL SELECT vec_id * 3 + 1, «fp ^ (shiftleft(1L, cast(vec_id % 24 AS int)) - 1L)¦xor(fp, (1::BIGINT << (vec_id % 24)::INT) - 1)» FROM (SELECT vec_id, {_FP} AS fp FROM @embeddings)
+UNION ALL SELECT vec_id * 3 + 2, fp FROM (SELECT vec_id, {_FP} AS fp FROM @embeddings)""")
+define("samples", """
+SELECT event_id AS sample_id, 'product_' || cast(user_id AS string) AS product_id, CASE event_id % 6 WHEN 0 THEN 'inference_only' WHEN 1 THEN 'DENIED' WHEN 2 THEN 'none' ELSE 'allowed_for_training' END AS consent,
+ CASE event_id % 4 WHEN 0 THEN 'user_upload' WHEN 1 THEN 'proprietary' ELSE 'open_data' END AS source_type, CASE event_id % 5 WHEN 0 THEN 'PENDING' WHEN 1 THEN NULL ELSE 'APPROVED' END AS license_status,
+ CASE WHEN event_id % 7 = 0 THEN NULL ELSE cast(event_id % 100 AS double) / 100 END AS confidence, CASE event_id % 8 WHEN 0 THEN 'MISSING' WHEN 1 THEN NULL ELSE '250' END AS mrp,
+ CASE event_id % 9 WHEN 0 THEN 'MISSING' ELSE '500 g' END AS net_quantity, CASE event_type WHEN 'error' THEN 'FAIL' WHEN 'click' THEN 'REVIEW' ELSE 'PASS' END AS compliance_status,
+ CASE WHEN event_id % 10 = 0 THEN 'unknown' ELSE 'food' END AS category, event_id % 11 = 0 AS user_corrected, CASE WHEN event_id % 12 = 0 THEN 'FAIL' ELSE 'OK' END AS quality,
+ CASE WHEN event_id % 13 = 0 THEN 'exact_duplicate' ELSE 'unique' END AS duplicate_status, CASE event_id % 3 WHEN 0 THEN 'TRAINING_ELIGIBLE' WHEN 1 THEN 'USED_IN_DATASET' ELSE 'CANDIDATE' END AS candidate_status, cast(value AS double) AS learning_score FROM @events""")
+
+
+# ---- telemetry -------------------------------------------------------------------------------
+TELEMETRY_COLUMNS = """event_id, cast(ts AS timestamp) AS ts, 'd' || cast(user_id % 5 AS string) AS deployment_id, 'm' || cast(user_id % 2 AS string) AS model_version, cast(value AS double) * 10 AS latency_ms,
+ CASE WHEN event_type = 'error' AND value > 20 THEN 'FAILURE' WHEN event_type = 'signup' AND value > 100 THEN 'TIMEOUT' ELSE 'SUCCESS' END AS inference_status,
+ cast(regexp_extract(props, '[0-9]+', 0) AS int) % 9 AS prediction_count, 'c' || cast(event_id AS string) AS correlation_id"""
+define("telemetry", f"SELECT {TELEMETRY_COLUMNS} FROM @events")
+define("stage_reports", """
+SELECT 'x' || cast(user_id % 40 AS string) AS deployment_id, cast(ts AS date) AS day, count(*) * 15 AS samples,
+ cast(count(*) FILTER (WHERE event_type = 'error' AND value > 190) AS double) / count(*) AS error_rate FROM @events GROUP BY 1, 2""")
+define("deployments", """
+SELECT 'model-' || cast(min(event_id) AS string) AS candidate, cast(cast(ts AS date) AS timestamp) + INTERVAL '6' HOUR AS start_at, cast(cast(ts AS date) AS timestamp) + INTERVAL '30' HOUR AS end_at,
+ CASE (min(event_id) % 5) WHEN 0 THEN 1 WHEN 1 THEN 5 WHEN 2 THEN 25 WHEN 3 THEN 50 ELSE 0 END AS traffic FROM @events GROUP BY cast(ts AS date)""")
