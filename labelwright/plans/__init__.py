@@ -4,7 +4,7 @@ import importlib
 
 from labelwright.plans.catalog import ORACLES, QUERIES
 
-for _module in ("dashboards", "compliance", "labels", "fields", "nutrition", "complaints", "training", "telemetry"):
+for _module in ("dashboards", "compliance", "labels", "fields", "nutrition", "complaints", "training", "telemetry", "files"):
     importlib.import_module(f"labelwright.plans.{_module}")
 
 __all__ = ["ORACLES", "QUERIES"]
