@@ -13,3 +13,15 @@ def settle(df: DataFrame, name: str, value: Column) -> DataFrame:
     whole expression copied into it; nothing is pushed through a generate step.
     """
     return df.select("*", F.explode(F.array(value)).alias(name))
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Give costly per-row work all cores when the input has fewer files than there are.
+
+    A table of a few files would otherwise be read and worked on by a few tasks. A large
+    table has more files than cores and is left as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if len(df.inputFiles()) >= cores:
+        return df
+    return df.repartition(cores, *keys)

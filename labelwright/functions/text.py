@@ -160,7 +160,8 @@ def extract_date(raw: Column) -> Column:
             found = [F.regexp_extract(piece, pattern + "$", i) for i in range(parts + 1)]
             lead = F.substr(piece, F.lit(1), F.length(piece) - F.length(found[0]))
             before = F.concat(acc["seen"], lead)
-            usable = ~hits(before, P.MONEY_BEFORE) & ~before.rlike(P.DIGITS_BEFORE)
+            glued = before.rlike(P.DIGITS_BEFORE) & before.rlike(r"\d")
+            usable = ~hits(before, P.MONEY_BEFORE) & ~glued
             return F.struct(
                 F.concat(acc["seen"], piece).alias("seen"),
                 F.coalesce(acc["iso"], F.when(usable, build(*found[1:]))).alias("iso"),

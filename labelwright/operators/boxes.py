@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from labelwright.functions import geometry as G
 from labelwright.functions import patterns as P
 from labelwright.functions import text as T
-from labelwright.functions.plan import settle
+from labelwright.functions.plan import settle, spread
 from labelwright.functions.rounding import half_up
+from labelwright.session import materialize
 
 BAND = 64.0
 NEAR = 6.0
@@ -142,9 +143,11 @@ def labelled_values(detections: DataFrame, wanted=tuple(FIELDS)) -> DataFrame:
     """Best value per image and field: in the label's own box, else in the nearest box, else in
     that box joined with the one nearest to it.
 
-    Only boxes that hit a label pattern take part as anchors. The best candidate is a
+    Only boxes that hit a label pattern take part as anchors; they and the boxes near them
+    are the only intermediate tables. The best candidate is a
     ``min`` over structs, which combines before the shuffle.
     """
+    detections = spread(detections, "image_id")
     label_hit = F.filter(
         F.array(*[F.when(T.hits(F.col("text"), FIELDS[f]), F.lit(f)) for f in wanted]), lambda f: f.isNotNull()
     )
@@ -164,13 +167,15 @@ def labelled_values(detections: DataFrame, wanted=tuple(FIELDS)) -> DataFrame:
     )
     anchors = settle(anchors, "rest", rest)
     anchors = settle(anchors, "own", _read(F.col("field"), F.col("rest"), F.col("a.text"), wanted))
+    # Label boxes are few; both branches below start from them, so they are written once.
+    anchors = materialize(anchors, "anchors")
     none = F.lit(None).cast("bigint")
     same_box = anchors.filter(F.col("own").isNotNull()).select(
         "image_id", "field", F.lit(0.0).alias("dist"), F.col("a.det_id").alias("anchor"), none.alias("first"),
         none.alias("second"), F.lit(0.0).alias("hop"), F.col("own").alias("value"), F.col("a.confidence").alias("confidence"),
     )
     near = neighbours(anchors.filter(F.col("own").isNull()), detections, F.col("size") * NEAR)
-    near = settle(near, "direct", _read(F.col("field"), F.col("b.text"), F.col("b.text"), wanted))
+    near = materialize(settle(near, "direct", _read(F.col("field"), F.col("b.text"), F.col("b.text"), wanted)), "near")
     one_hop = near.filter(F.col("direct").isNotNull()).select(
         "image_id", "field", "dist", F.col("a.det_id").alias("anchor"), F.col("b.det_id").alias("first"), none.alias("second"),
         F.lit(0.0).alias("hop"), F.col("direct").alias("value"),
@@ -228,9 +233,8 @@ def _letters(text: Column) -> Column:
     return F.regexp_replace(F.lower(text), "[^a-z0-9]", "")
 
 
-def same_text(a: Column, b: Column) -> Column:
+def same_letters(x: Column, y: Column) -> Column:
     """1 for equal letters and digits, 0.8 when one contains the other, else 0."""
-    x, y = _letters(a), _letters(b)
     return (
         F.when((x == "") | (y == ""), F.lit(0.0))
         .when(x == y, F.lit(1.0))
@@ -244,24 +248,25 @@ def fuse(full: DataFrame, regions: DataFrame, margin: float = 5.0) -> DataFrame:
 
     A whole-image box meets the region boxes whose band range covers its centre.
     """
-    wide = regions.select(
+    wide = settle(spread(regions, "image_id"), "r_letters", _letters(F.col("text"))).select(
         "image_id",
-        F.col("text").alias("r_text"),
+        "r_letters",
         *[F.col(c).alias(f"r_{c}") for c in ("x0", "y0", "x1", "y1")],
         F.explode(
             F.sequence(F.floor((F.col("y0") - margin) / BAND), F.floor((F.col("y1") + margin) / BAND))
         ).alias("band"),
     )
     cx, cy = G.center(G.box())
-    located = full.withColumn("cx", cx).withColumn("cy", cy).withColumn("band", F.floor(cy / BAND))
+    located = settle(spread(full, "image_id"), "letters", _letters(F.col("text")))
+    located = located.withColumn("cx", cx).withColumn("cy", cy).withColumn("band", F.floor(cy / BAND))
     repeats = (
         (located["image_id"] == wide["image_id"])
         & (located["band"] == wide["band"])
         & F.col("cx").between(F.col("r_x0") - margin, F.col("r_x1") + margin)
         & F.col("cy").between(F.col("r_y0") - margin, F.col("r_y1") + margin)
-        & (same_text(located["text"], F.col("r_text")) > 0.6)
+        & (same_letters(F.col("letters"), F.col("r_letters")) > 0.6)
     )
-    kept = located.join(wide, repeats, "left_anti").drop("cx", "cy", "band")
+    kept = located.join(wide, repeats, "left_anti").drop("cx", "cy", "band", "letters")
     return regions.withColumn("source", F.lit("roi")).unionByName(kept.withColumn("source", F.lit("full")))
 
 

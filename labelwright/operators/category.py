@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from labelwright.functions.plan import settle
+from labelwright.functions.plan import settle, spread
 from labelwright.functions.rounding import half_up
 
 # ---- Fixed values: order of categories, layers with weights, whole-word signals ---------------
@@ -87,7 +87,7 @@ def scores(products: DataFrame) -> DataFrame:
             *[parts[layer].alias(layer) for layer in WEIGHTS],
         )
 
-    return settle(products, "points", F.array(*[entry(c) for c in CATEGORIES]))
+    return settle(spread(products), "points", F.array(*[entry(c) for c in CATEGORIES]))
 
 
 def detect(products: DataFrame) -> DataFrame:

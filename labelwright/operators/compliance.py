@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from labelwright.functions import quantity
 from labelwright.functions.evidence import has_value, known, listed
 from labelwright.functions.literals import map_of
+from labelwright.functions.plan import spread
 from labelwright.functions.rounding import half_up
 from labelwright.operators.rulebook import CLAUSES, with_clauses
 
@@ -333,7 +334,7 @@ def evaluate(products: DataFrame, rule_numbers=("6", "7", "8", "9", "11"), thres
     open scope have none of rules 7 to 9.
     """
     ready = (
-        _with_quantities(prepare(products))
+        _with_quantities(prepare(spread(products)))
         .withColumn("scope", scope_status(F.col("consumer_type")))
         .withColumn("basis", quantity.price_basis(F.col("net_value"), F.col("net_unit"), F.col("package_type")))
     )
