@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from labelwright.operators.audit import one_row
+
 # ---- Fixed values --------------------------------------------------------------------------
 CLASS_IDS = [0, 1, 2]
 DONE = ["ACCEPTED", "CORRECTED"]
@@ -218,7 +220,7 @@ def preflight(images: DataFrame, annotations: DataFrame) -> DataFrame:
         code((c("products") > 0) & ~c("train"), "MISSING_TRAIN_SPLIT"), code((c("products") > 0) & ~c("validation"), "MISSING_VALIDATION_SPLIT"),
         code(c("leak"), "PRODUCT_SPLIT_LEAKAGE"), code(c("blocked"), "LICENSE_GATE_FAILED"), code(c("denied"), "PRIVACY_GATE_FAILED"),
     ))
-    return i.crossJoin(F.broadcast(a)).select("products", "verified", F.array_join(reasons, ",").alias("reasons"))  # one row each
+    return one_row(i, a).select("products", "verified", F.array_join(reasons, ",").alias("reasons"))
 
 
 # ---- samples ---------------------------------------------------------------------------------

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from labelwright.functions.rounding import half_up, percent
@@ -14,9 +15,17 @@ def stage_timings(runs: DataFrame) -> DataFrame:
     per_stage = runs.select("stage", "duration_ms").unionByName(whole).groupBy("stage").agg(
         F.count("*").alias("runs"), F.sum("duration_ms").alias("total_ms"), half_up(F.avg("duration_ms"), 4).alias("avg_ms"), F.max("duration_ms").alias("max_ms")
     )
-    total = per_stage.filter(F.col("stage") == "TOTAL").select(F.col("total_ms").alias("_all"))
-    # One row: the total of all runs.
-    return per_stage.crossJoin(F.broadcast(total)).withColumn("share_pct", half_up(F.col("total_ms") * 100 / F.col("_all"), 2)).drop("_all")
+    # A window over the aggregated stages, of which there is a handful.
+    every = F.max(F.when(F.col("stage") == "TOTAL", F.col("total_ms"))).over(W.partitionBy())
+    return per_stage.withColumn("share_pct", half_up(F.col("total_ms") * 100 / every, 2))
+
+
+def one_row(*frames: DataFrame) -> DataFrame:
+    """Frames of one row each, side by side, without a join."""
+    stacked = frames[0]
+    for frame in frames[1:]:
+        stacked = stacked.unionByName(frame, allowMissingColumns=True)
+    return stacked.agg(*[F.max(c).alias(c) for c in stacked.columns])
 
 
 def image_profile(images: DataFrame) -> DataFrame:
@@ -32,7 +41,7 @@ def image_profile(images: DataFrame) -> DataFrame:
         F.percentile("width", F.lit(0.5)).alias("median_width"),
         F.percentile("height", F.lit(0.5)).alias("median_height"),
     )
-    return i.crossJoin(F.broadcast(p))  # one row each
+    return one_row(i, p)
 
 
 def image_audit(images: DataFrame) -> DataFrame:
@@ -138,9 +147,9 @@ def variant_scores(results: DataFrame) -> DataFrame:
         F.coalesce(F.sum(F.when(F.col("success"), F.col("latency_ms"))) / F.nullif(F.count_if("success"), F.lit(0)), F.lit(0.0)).alias("avg_latency_ms"),
     )
     scored = s.withColumn("score", half_up(F.col("fields") * 100 + F.col("avg_confidence") * 10 - F.col("avg_latency_ms") / 1000, 6))
-    # A handful of variants: the best one is a one-row aggregate.
-    best = scored.agg(F.max_by("variant", F.struct("score", -F.ascii("variant"))).alias("best"))
-    return scored.crossJoin(F.broadcast(best)).select(
+    # A handful of aggregated variants, so the window over all of them is small.
+    best = F.first("variant").over(W.partitionBy().orderBy(F.desc("score"), "variant"))
+    return scored.withColumn("best", best).select(
         "variant", "successes", F.col("fields").cast("bigint").alias("fields"), half_up(F.col("avg_confidence"), 6).alias("avg_confidence"),
         half_up(F.col("avg_latency_ms"), 6).alias("avg_latency_ms"), "score", (F.col("variant") == F.col("best")).alias("best"),
     )

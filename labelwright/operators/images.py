@@ -74,8 +74,7 @@ def annotation_manifest(images: DataFrame) -> DataFrame:
     """Standard file names, everything pending, with the number of images of each view."""
     counts = images.groupBy("view").agg(F.count("*").alias("in_view"))
     ext = F.lower(F.regexp_extract("path", r"\.[a-zA-Z]+$", 0))
-    # One row per view.
-    return images.join(F.broadcast(counts), "view").select(
+    return images.join(counts, "view").select(
         "image_id", "product_id", "view", F.concat(F.concat_ws("_", "product_id", "view"), ext).alias("file_name"), F.lit("pending").alias("status"), "in_view"
     )
 

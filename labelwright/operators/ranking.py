@@ -11,11 +11,12 @@ from labelwright.session import materialize
 _LOW_BITS = (1 << 33) - 1
 
 
-def numbered(df: DataFrame, order: list[str], name: str = "n", start: int = 0) -> DataFrame:
+def numbered(df: DataFrame, order: list[str], name: str = "n", start: int = 0, total: str | None = None) -> DataFrame:
     """Consecutive numbers over a total order, without a single-task window.
 
     The rows are range-partitioned and sorted, their place inside the partition is stored
     with them, and only the partition sizes (one row per partition) are summed up.
+    ``total`` names a column for the number of all rows.
     """
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
@@ -29,9 +30,12 @@ def numbered(df: DataFrame, order: list[str], name: str = "n", start: int = 0) -
     )
     sizes = stored.groupBy("_part").agg(F.count("*").alias("_size"))
     before = F.sum("_size").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1))
-    offsets = sizes.select("_part", F.coalesce(before, F.lit(0)).alias("_before"))
+    offsets = sizes.select("_part", F.coalesce(before, F.lit(0)).alias("_before"), F.sum("_size").over(W.partitionBy()).alias("_total"))
     number = (F.col("_before") + F.col("_place") + 1 + start).cast("bigint")
-    return stored.join(F.broadcast(offsets), "_part").withColumn(name, number).drop("_part", "_place", "_before")
+    rows = stored.join(F.broadcast(offsets), "_part").withColumn(name, number)
+    if total:
+        rows = rows.withColumn(total, F.col("_total"))
+    return rows.drop("_part", "_place", "_before", "_total")
 
 
 def value_counts(df: DataFrame, keys: list[str], value: str) -> DataFrame:

@@ -21,11 +21,9 @@ def polynomial_split(product: Column) -> Column:
 def seeded_split(products: DataFrame, seed: str, share: float = 0.8) -> DataFrame:
     """Exactly the first ``share`` of the products in seeded hash order go to train."""
     rows = products.select("product_id").distinct().withColumn("h", F.md5(F.concat(F.lit(seed), F.col("product_id"))))
-    placed = numbered(rows, ["h", "product_id"], "place")
-    total = placed.agg(F.floor(F.count("*") * share).alias("cut"))
-    return placed.crossJoin(F.broadcast(total)).select(  # one row
-        "product_id", F.when(F.col("place") <= F.col("cut"), F.lit("train")).otherwise(F.lit("val")).alias("split")
-    )
+    placed = numbered(rows, ["h", "product_id"], "place", total="total")
+    inside = F.col("place") <= F.floor(F.col("total") * share)
+    return placed.select("product_id", F.when(inside, F.lit("train")).otherwise(F.lit("val")).alias("split"))
 
 
 def leaking_products(images: DataFrame) -> DataFrame:

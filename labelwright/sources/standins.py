@@ -201,11 +201,9 @@ SELECT p_partkey AS product_id, CASE WHEN p_partkey % 43 = 0 THEN NULL ELSE p_na
  CASE WHEN p_partkey % 3 <> 1 THEN cast(p_partkey % 25 AS double) / 10 END AS salt_g, p_retailprice AS popularity FROM @part""")
 
 define("nutrients_a", """
-SELECT p_partkey AS pair_id, n.name, cast((p_partkey * n.step) % 50 AS double) AS value, 'g' AS unit FROM @part CROSS JOIN
- (SELECT 'Energy' AS name, 3 AS step UNION ALL SELECT 'Protein', 5 UNION ALL SELECT 'Sodium', 7 UNION ALL SELECT 'Total Fat', 11) n WHERE (p_partkey + n.step) % 4 <> 0""")
+SELECT p_partkey AS pair_id, n.name, cast((p_partkey * n.step) % 50 AS double) AS value, 'g' AS unit FROM @part «LATERAL VIEW explode(array(named_struct('name', 'Energy', 'step', 3), named_struct('name', 'Protein', 'step', 5), named_struct('name', 'Sodium', 'step', 7), named_struct('name', 'Total Fat', 'step', 11))) t AS n¦CROSS JOIN unnest([{'name': 'Energy', 'step': 3}, {'name': 'Protein', 'step': 5}, {'name': 'Sodium', 'step': 7}, {'name': 'Total Fat', 'step': 11}]) t(n)» WHERE (p_partkey + n.step) % 4 <> 0""")
 define("nutrients_b", """
-SELECT p_partkey AS pair_id, n.name, CASE WHEN p_partkey % 6 = 0 THEN NULL ELSE cast((p_partkey * n.step) % 47 AS double) END AS value, 'g' AS unit FROM @part CROSS JOIN
- (SELECT 'Energy' AS name, 3 AS step UNION ALL SELECT 'Protein', 5 UNION ALL SELECT 'Dietary Fibre', 7 UNION ALL SELECT 'Total Fat', 11) n WHERE (p_partkey + n.step) % 3 <> 0""")
+SELECT p_partkey AS pair_id, n.name, CASE WHEN p_partkey % 6 = 0 THEN NULL ELSE cast((p_partkey * n.step) % 47 AS double) END AS value, 'g' AS unit FROM @part «LATERAL VIEW explode(array(named_struct('name', 'Energy', 'step', 3), named_struct('name', 'Protein', 'step', 5), named_struct('name', 'Dietary Fibre', 'step', 7), named_struct('name', 'Total Fat', 'step', 11))) t AS n¦CROSS JOIN unnest([{'name': 'Energy', 'step': 3}, {'name': 'Protein', 'step': 5}, {'name': 'Dietary Fibre', 'step': 7}, {'name': 'Total Fat', 'step': 11}]) t(n)» WHERE (p_partkey + n.step) % 3 <> 0""")
 
 
 # ---- complaints ---------------------------------------------------------------------------
