@@ -320,6 +320,7 @@ def panel_relation(values: DataFrame, panels: DataFrame, detections: DataFrame)
     )
 
 
+# Fixed values of measurement.
 MAX_RELATIVE_UNCERTAINTY = 0.5
 LENGTH_UNITS = ["mm", "cm", "m", "inch", "in"]
 

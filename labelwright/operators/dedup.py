@@ -97,8 +97,8 @@ def near_duplicates(images: DataFrame, threshold: int = REVIEW_BITS, bands: int
     The nearest one decides, the earliest on ties. With the default threshold both tiers
     are exact; with ``NEAR_BITS`` the cheaper first tier alone is.
     """
-    distinct = first_of_each(images, "fp", "image_id")
-    pairs = close_pairs(distinct, threshold, bands or bands_for(threshold, 0))
+    distinct = materialize(first_of_each(images, "fp", "image_id"), "fingerprints")
+    pairs = close_pairs(distinct, threshold, bands or bands_for(threshold, distinct.count()))
     nearest = pairs.groupBy("fp").agg(F.min(F.struct("distance", F.col("o_first").alias("id"))).alias("n"))
     known = distinct.join(nearest, "fp", "left")
     rows = images.join(known, "fp")

@@ -33,7 +33,7 @@ def shared_dir(spark: SparkSession) -> str:
 
     Only a session without one (a test on this machine) gets a folder of its own.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if configured:
         return configured
     if not spark.sparkContext.master.startswith("local"):

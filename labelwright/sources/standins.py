@@ -42,6 +42,8 @@ def duck_sql(sql: str) -> str:
 
 def spark_view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A stand-in view or raw table as a DataFrame."""
+    # The tables hold UTC times without a zone; day and window bounds are meant in UTC.
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
     ref = lambda table: f"parquet.`{sf_dir}/{table}.parquet`"
     return spark.sql(_expand(f"SELECT * FROM @{name}", ref, 1))
 
