@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelwright.llm import robust_rules
+from labelwright.llm import credential_link, host_reputation, robust_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,3 +25,31 @@ def op7_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     out = robust_rules.screen(docs, ["doc_id"])
     return out.select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "d2")
+
+
+@query
+def op10_credential_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    found = credential_link.scan(docs, ["doc_id"])
+    base = F.filter("spans", lambda s: s["place"] < len(credential_link.CERTAIN))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+    return found.select(
+        "row.doc_id",
+        count("assign").alias("n_assign"),
+        count("access").alias("n_access"),
+        count("hex").alias("n_hex"),
+        F.sha2(credential_link.written(base), 256).alias("base_sha256"),
+        credential_link.written(F.col("spans")).alias("spans"),
+    )
+
+
+@query
+def op2_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page's label is that of the document with its id; bad means toxic or of low quality."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    outcomes = labels.select(F.col("doc_id").alias("page_id"), ((F.col("toxic") == 1) | (F.col("quality") == 0)).alias("bad"))
+    return host_reputation.judge(pages, outcomes).select("row.page_id", "host", "path", "rule", "verdict", "n_labelled")
+
+
+ORACLES["op2_host_reputation"] = host_reputation.SQL
