@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelwright.llm import credential_link, host_reputation, robust_rules
+from labelwright.llm import credential_link, fst_bpe, host_reputation, robust_rules, style_tree
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -53,3 +54,16 @@ def op2_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op2_host_reputation"] = host_reputation.SQL
+
+
+@query
+def op8_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return style_tree.extract(pages, ["page_id", "url"]).select("row.page_id", "row.url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@query
+def op9_fst_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return fst_bpe.digests(docs, path, public_tokenizers.PATTERN).select("row.doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
