@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelwright.llm import credential_link, fst_bpe, host_reputation, robust_rules, style_tree
+from labelwright.llm import credential_link, fst_bpe, host_reputation, lsh_forest, robust_rules, style_tree
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -67,3 +67,9 @@ def op9_fst_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     return fst_bpe.digests(docs, path, public_tokenizers.PATTERN).select("row.doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+@query
+def op5_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return lsh_forest.near_duplicates(docs, ["doc_id"]).select("row.doc_id", "n_shingles", "component_id", "kept")
