@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelwright.llm import credential_link, fst_bpe, host_reputation, lsh_forest, pstable, robust_rules, style_tree
+from labelwright.llm import brown_lm, credential_link, fst_bpe, host_reputation, lsh_forest, pstable, robust_rules, style_tree
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -79,3 +79,9 @@ def op5_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_pstable_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     return pstable.near_duplicates(vectors, ["vec_id"]).select("row.vec_id", "n_links", "component_id", "kept")
+
+
+@query
+def op1_brown_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return brown_lm.score(docs, ["doc_id"]).select("row.doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
