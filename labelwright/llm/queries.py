@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelwright.llm import brown_lm, credential_link, fst_bpe, host_reputation, lsh_forest, pstable, robust_rules, style_tree
+from labelwright.llm import bestfit, brown_lm, credential_link, fst_bpe, host_reputation, line_dedup, lsh_forest, pstable, robust_rules, style_tree
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -85,3 +86,25 @@ def op4_pstable_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_brown_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return brown_lm.score(docs, ["doc_id"]).select("row.doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query
+def op3_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    out = line_dedup.dedup_lines(docs)
+    return out.select("row.doc_id", "dropped", "copy", F.sha2(F.coalesce("row.text", F.lit("")), 256).alias("text_sha256"), F.col("row.n_chars").alias("n_chars"))
+
+
+@query
+def op6_variable_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return bestfit.packed(docs, ["doc_id"]).select("row.doc_id", "piece", "start", "n_tokens", "shard", "bin", "offset", "capacity")
+
+
+@query
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+if corpus_pipeline.ORACLE_SQL is not None:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
