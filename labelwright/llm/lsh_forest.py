@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from labelwright.llm.graph import components
 from labelwright.llm.shingles import Shingler
+from labelwright.llm.sieve import sifted
 from labelwright.llm.store import save
 
 WIDTH, PERCENT = 4, 80
@@ -166,7 +167,8 @@ def links(staged: DataFrame, forest: DataFrame) -> DataFrame:
     """Confirmed links between classes, enough of them to connect all that any candidate connects."""
     pairs = save(candidates(forest), "candidates")
     ends = pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct()
-    texts = save(staged.select("rid", "text").join(ends, "rid", "left_semi"), "texts")
+    likely = sifted(staged.select("rid", "text"), ends, "rid").where("maybe").drop("maybe")
+    texts = save(likely.join(ends, "rid", "left_semi"), "texts")
     # each class's most similar candidate
     both = pairs.select("a", "b", "agree", F.explode(F.array("a", "b")).alias("rid"))
     best = both.groupBy("rid").agg(F.max(F.struct("agree", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
