@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from bisect import insort
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -32,6 +33,7 @@ from pyspark.sql import functions as F
 
 #: Entries a task keeps of states, pair tests and coded pieces before it starts afresh.
 KEEP = 600_000
+_BYTES = [bytes((b,)) for b in range(256)]
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -46,6 +48,9 @@ class Transducer:
         self.ranks = ranks
         self.starts = {token[:n] for token in ranks for n in range(1, len(token))}
         self.longest = max(map(len, ranks), default=0)
+        #: of a token, its parts at the edge with the rank at which each is merged away
+        self.right_edge: dict[bytes, list[tuple[bytes, int]]] = {}
+        self.left_edge: dict[bytes, list[tuple[bytes, int]]] = {}
         self.clear()
 
     def clear(self) -> None:
@@ -66,38 +71,56 @@ class Transducer:
             self.states.append((open_, lasts, alive))
         return to
 
-    def _merge(self, data: bytes) -> list[bytes]:
-        """The tokens of a short string by applying merges in rank order; used on token pairs only."""
-        parts = [data[i : i + 1] for i in range(len(data))]
-        ranks = self.ranks
-        while len(parts) > 1:
-            best, at = min((ranks.get(parts[i] + parts[i + 1], len(ranks) + 1), i) for i in range(len(parts) - 1))
-            if best > len(ranks):
-                break
+    def _halves(self, token: bytes) -> tuple[bytes, bytes]:
+        """The two parts of a token's last merge, by applying merges in rank order."""
+        parts = [token[i : i + 1] for i in range(len(token))]
+        ranks, none = self.ranks, len(self.ranks) + 1
+        while len(parts) > 2:
+            best, at = min((ranks.get(parts[i] + parts[i + 1], none), i) for i in range(len(parts) - 1))
+            if best == none:
+                raise ValueError(f"token {token!r} cannot be merged")
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return parts
+        return parts[0], parts[1]
+
+    def _edge(self, token: bytes, right: bool) -> list[tuple[bytes, int]]:
+        """The token and its parts at one edge, each with the rank of the merge that ends it."""
+        edges = self.right_edge if right else self.left_edge
+        got = edges.get(token)
+        if got is None:
+            got, part, end = [], token, len(self.ranks) + 1
+            while True:
+                got.append((part, end))
+                if len(part) == 1:
+                    break
+                end = self.ranks[part]
+                part = self._halves(part)[right]
+            edges[token] = got
+        return got
 
     def _pair(self, left: bytes, right: bytes) -> bool:
+        """Whether two tokens stay two tokens: no merge across their border comes first.
+
+        A part has a lower rank than what it is merged into, so merging runs through the ranks in
+        order and a part lives from its own rank to that of the merge that ends it. A merge across
+        the border happens if its rank is below both ends; at equal ranks the left one is first.
+        """
         if not left:
             return True
         key = (left, right)
         ok = self.fits.get(key)
         if ok is None:
-            ok = self.fits[key] = self._merge(left + right) == [left, right]
+            rank, ok = self.ranks.get, True
+            for a, end_a in self._edge(left, True):
+                for b, end_b in self._edge(right, False):
+                    t = rank(a + b)
+                    if t is not None and t < end_a and t <= end_b:
+                        ok = False
+                        break
+                if not ok:
+                    break
+            self.fits[key] = ok
         return ok
 
-    def _last(self, open_: bytes, lasts: list[bytes | None], alive: list[int]) -> bytes | None:
-        """The last token of the open bytes.
-
-        None: their encoding has no boundary where the open bytes begin. No later token can start
-        at such a place, or that boundary would not have become certain.
-        """
-        for start in alive:
-            left, token = lasts[start], open_[start:]
-            if left is not None and token in self.ranks and self._pair(left, token):
-                return token
-        return None
-
     def _ids(self, lasts: list[bytes | None], end: int) -> tuple[int, ...]:
         out = []
         while end:
@@ -108,20 +131,36 @@ class Transducer:
 
     def _move(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
         open_, lasts, alive = self.states[state]
-        open_ += bytes((byte,))
-        n = len(open_)
-        lasts = [*lasts, self._last(open_, lasts, alive)]
-        # a token that covers the next byte starts here, or where a vocabulary prefix runs up to here
-        alive = [s for s in alive if open_[s:] in self.starts] + [n]
+        open_ += _BYTES[byte]
+        n, ranks, starts = len(open_), self.ranks, self.starts
+        # the last token of the open bytes; None: their encoding has no boundary where they begin.
+        # No later token can start at such a place, or that boundary would not have become certain
+        last, still = None, []
+        for s in alive:
+            token = open_[s:]
+            if last is None and token in ranks:
+                left = lasts[s]
+                if left is not None and self._pair(left, token):
+                    last = token
+            # a token that covers the next byte starts here, or where a vocabulary prefix runs up to here
+            if token in starts:
+                still.append(s)
+        still.append(n)
+        lasts = [*lasts, last]
         # the boundaries that all of these share are certain: walk the latest back until they meet
-        meet = {s for s in alive if lasts[s] is not None}
+        meet = [s for s in still if lasts[s] is not None]
         while len(meet) > 1:
-            late = max(meet)
-            meet.remove(late)
-            meet.add(late - len(lasts[late]))
-        cut = meet.pop()
-        out = self._ids(lasts, cut)
-        to = self._state(open_[cut:], lasts[cut:], [s - cut for s in alive if s >= cut])
+            late = meet.pop()
+            before = late - len(lasts[late])
+            if before not in meet:
+                insort(meet, before)
+        cut = meet[0]
+        if cut:
+            out = self._ids(lasts, cut)
+            to = self._state(open_[cut:], lasts[cut:], [s - cut for s in still if s >= cut])
+        else:
+            out = ()
+            to = self._state(open_, lasts, still)
         self.moves[state << 8 | byte] = got = (to, out)
         return got
 
@@ -216,14 +255,14 @@ class Codec:
         self.fst = Transducer(ranks)
         self.pieces = regex.compile(pattern)
         self.bytes_of = {i: t for t, i in ranks.items()}
+        self.written = {i: str(i) for i in ranks.values()}
         self.coded: dict[str, tuple[int, ...]] = {}
 
     def encode(self, text: str) -> list[int]:
         """The ids of a text; pieces seen before are not run through the transducer again."""
         out: list[int] = []
         coded = self.coded
-        for m in self.pieces.finditer(text):
-            piece = m.group()
+        for piece in self.pieces.findall(text):
             ids = coded.get(piece)
             if ids is None:
                 ids = tuple(self.fst.encode(piece.encode("utf-8", "surrogatepass")))
@@ -291,7 +330,7 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
             sha = hashlib.sha256()
             for portion in c.decode(ids, 65536):
                 sha.update(portion.encode("utf-8"))
-            rows.append((len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), sha.hexdigest()))
+            rows.append((len(ids), hashlib.sha256(" ".join(map(c.written.__getitem__, ids)).encode()).hexdigest(), sha.hexdigest()))
         return pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
     # only columns other than the text are carried beside it
