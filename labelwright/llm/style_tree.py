@@ -24,6 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from labelwright.llm.sieve import sifted
 from labelwright.llm.store import save
 from labelwright.llm.words import ascii_lower
 
@@ -203,7 +204,11 @@ def extract(pages: DataFrame, keep: list[str]) -> DataFrame:
     inside = F.col("path").rlike("/(article|main)\\b")
     low = importance(parsed).where(F.col("importance") < F.when(inside, LEAST_INSIDE).otherwise(LEAST)).groupBy(F.col("host").alias("site")).agg(F.collect_set("path").alias("low"))
     # style nodes of one host, not rows: the list is as long as the site's templates are varied
-    out = parsed.drop("shapes").join(low, F.col("host") == F.col("site"), "left")
+    low = save(low, "low")
+    # pages of hosts that lose nothing, which are most, are not shuffled
+    marked = sifted(parsed.drop("shapes"), low.select(F.col("site").alias("host")), "host")
+    found = marked.where("maybe").join(low, F.col("host") == F.col("site"), "left").select("row", "blocks", "low")
+    out = found.unionByName(marked.where("NOT maybe").select("row", "blocks", F.lit(None).cast("array<string>").alias("low")))
     stay = F.when(F.col("low").isNull(), F.col("blocks")).otherwise(F.filter("blocks", lambda b: ~F.arrays_overlap(F.col("low"), _paths_above(b["path"]))))
     out = out.withColumn("stay", stay)
     best = F.when(F.size("stay") == 0, F.col("blocks")).otherwise(F.col("stay"))
