@@ -15,13 +15,15 @@ def settle(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.select("*", F.explode(F.array(value)).alias(name))
 
 
+#: Session setting: so many partitions for costly per-row work; unset, the input's own partitions stay.
+SPREAD = "spark.labelwright.spreadPartitions"
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Give costly per-row work all cores when the input has fewer files than there are.
+    """Deal costly per-row work over the partitions that the session asks for.
 
-    A table of a few files would otherwise be read and worked on by a few tasks. A large
-    table has more files than cores and is left as it is, without a shuffle.
+    Meant for inputs of fewer splits than cores, as in the bench; a large table has splits enough
+    and needs no shuffle.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if len(df.inputFiles()) >= cores:
-        return df
-    return df.repartition(cores, *keys)
+    parts = df.sparkSession.conf.get(SPREAD, None)
+    return df.repartition(int(parts), *keys) if parts else df

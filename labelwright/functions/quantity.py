@@ -10,18 +10,18 @@ from labelwright.functions.rounding import half_up
 
 # ---- Fixed values: spelling -> canonical unit -------------------------------------------
 UNIT_SPELLINGS = {
-    "g": "g gm gms gram grams",
-    "kg": "kg kgs kilogram kilograms",
-    "mg": "mg mgs milligram milligrams",
-    "L": "l liter liters litre litres",
-    "mL": "ml mls milliliter milliliters millilitre millilitres",
-    "cL": "cl centiliter centilitre",
-    "m": "m meter meters metre metres",
-    "cm": "cm centimeter centimeters centimetre centimetres",
-    "mm": "mm millimeter millimeters millimetre millimetres",
-    "cm2": "cm2|sq cm|square cm|sq. cm",
-    "m2": "m2|sq m|square m|sq. m",
-    "unit": "pc pcs piece pieces u unit units n no nos number numbers",
+    "g": ["g", "gm", "gms", "gram", "grams"],
+    "kg": ["kg", "kgs", "kilogram", "kilograms"],
+    "mg": ["mg", "mgs", "milligram", "milligrams"],
+    "L": ["l", "liter", "liters", "litre", "litres"],
+    "mL": ["ml", "mls", "milliliter", "milliliters", "millilitre", "millilitres"],
+    "cL": ["cl", "centiliter", "centilitre"],
+    "m": ["m", "meter", "meters", "metre", "metres"],
+    "cm": ["cm", "centimeter", "centimeters", "centimetre", "centimetres"],
+    "mm": ["mm", "millimeter", "millimeters", "millimetre", "millimetres"],
+    "cm2": ["cm2", "sq cm", "square cm", "sq. cm"],
+    "m2": ["m2", "sq m", "square m", "sq. m"],
+    "unit": ["pc", "pcs", "piece", "pieces", "u", "unit", "units", "n", "no", "nos", "number", "numbers"],
 }
 # canonical unit -> kind, factor to the kind's base unit, base unit
 UNIT_KINDS = {
@@ -40,14 +40,22 @@ UNIT_KINDS = {
 }
 # unit-sale-price units -> kind, factor to kg / L / m
 PRICE_UNITS = {
-    "mass": {1.0: "kg kgs kilogram kilograms", 0.001: "g gm gram gramme gms grams", 0.000001: "mg milligram milligrams"},
-    "volume": {1.0: "l litre liter litres liters", 0.001: "ml millilitre milliliter millilitres"},
+    "mass": {
+        "g": 0.001, "gm": 0.001, "gram": 0.001, "gramme": 0.001, "gms": 0.001, "grams": 0.001, "kg": 1.0, "kgs": 1.0, "kilogram": 1.0,
+        "kilograms": 1.0, "mg": 0.000001, "milligram": 0.000001, "milligrams": 0.000001,
+    },
+    "volume": {
+        "ml": 0.001, "millilitre": 0.001, "milliliter": 0.001, "millilitres": 0.001, "l": 1.0, "litre": 1.0, "liter": 1.0, "litres": 1.0,
+        "liters": 1.0,
+    },
     "length": {
-        1.0: "m metre meter metres",
-        0.01: "cm centimetre centimeter centimetres",
-        0.001: "mm millimetre millimeter millimetres",
+        "cm": 0.01, "centimetre": 0.01, "centimeter": 0.01, "centimetres": 0.01, "m": 1.0, "metre": 1.0, "meter": 1.0, "metres": 1.0,
+        "mm": 0.001, "millimetre": 0.001, "millimeter": 0.001, "millimetres": 0.001,
+    },
+    "count": {
+        "unit": 1.0, "units": 1.0, "piece": 1.0, "pieces": 1.0, "pcs": 1.0, "no": 1.0, "nos": 1.0, "number": 1.0, "each": 1.0,
+        "count": 1.0,
     },
-    "count": {1.0: "unit units piece pieces pcs no nos number each count"},
 }
 # kind -> small basis, factor, large basis
 PRICE_BASES = {
@@ -61,8 +69,8 @@ QUANTITY_PATTERN = r"^(-?\d+(?:\.\d+)?)\s*([a-zA-Z.2]+(?:[ \.]?[a-zA-Z]+)?)$"
 
 
 def _spellings():
-    for unit, text in UNIT_SPELLINGS.items():
-        for word in text.split("|" if "|" in text else " "):
+    for unit, spelled in UNIT_SPELLINGS.items():
+        for word in spelled:
             yield word, unit
 
 
@@ -104,7 +112,7 @@ def invalid_reason(q: Column) -> Column:
 
 def price_basis(value: Column, unit: Column, package_type: Column) -> Column:
     """struct(status, kind, basis_unit, basis_quantity, reason_code) of the expected basis."""
-    units = [(w, kind, f) for kind, groups in PRICE_UNITS.items() for f, words in groups.items() for w in words.split()]
+    units = [(w, kind, f) for kind, factors in PRICE_UNITS.items() for w, f in factors.items()]
     key = F.lower(F.trim(unit))
     kind = map_of((w, k) for w, k, _ in units)[key]
     base = value * map_of((w, f) for w, _, f in units)[key]

@@ -77,7 +77,7 @@ def labelled_quantity(text: Column) -> Column:
 
 def classify_quantity(text: Column) -> Column:
     """struct(value, unit, kind, multiplier); null unless the unit is known and the value positive."""
-    units = [(w, kind, f) for kind, table in P.QUANTITY_TOKEN_UNITS.items() for f, words in table.items() for w in words.split()]
+    units = [(w, kind, f) for kind, factors in P.QUANTITY_TOKEN_UNITS.items() for w, f in factors.items()]
     trimmed = F.trim(text)
     value = group(trimmed, P.QUANTITY_TOKEN, 1, False).try_cast("double")
     unit = F.lower(group(trimmed, P.QUANTITY_TOKEN, 2, False))

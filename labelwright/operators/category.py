@@ -11,52 +11,79 @@ from labelwright.functions.plan import settle, spread
 from labelwright.functions.rounding import half_up
 
 # ---- Fixed values: order of categories, layers with weights, whole-word signals ---------------
-CATEGORIES = "food beverage cosmetic personal_care household electronics pharmaceutical agricultural".split()
+CATEGORIES = [
+    "food", "beverage", "cosmetic", "personal_care", "household", "electronics", "pharmaceutical", "agricultural",
+]
 WEIGHTS = {"EXPLICIT": 10, "PACKAGING": 6, "NAME": 5, "CONTEXT": 2, "UNIT": 1, "NEGATIVE": -15}
 SIGNALS = {
     "EXPLICIT": {
-        "food": "fssai|food safety|dietary supplement|proprietary food|health supplement",
-        "beverage": "fssai|packaged drinking water|sweetened beverage|carbonated water",
-        "cosmetic": "cosmetic product|toiletries|for cosmetic use",
-        "pharmaceutical": "ayurvedic medicine|prescription drug|schedule h|pharmacopoeia|rx only",
+        "food": ["fssai", "food safety", "dietary supplement", "proprietary food", "health supplement"],
+        "beverage": ["fssai", "packaged drinking water", "sweetened beverage", "carbonated water"],
+        "cosmetic": ["cosmetic product", "toiletries", "for cosmetic use"],
+        "pharmaceutical": ["ayurvedic medicine", "prescription drug", "schedule h", "pharmacopoeia", "rx only"],
     },
     "PACKAGING": {
-        "food": "nutritional information|nutrition facts|calories|protein|carbohydrate|fat|ingredients|best before|use by|trans fat",
-        "beverage": "nutritional information|nutrition facts|calories|added sugar",
-        "cosmetic": "for external use only|avoid contact with eyes|directions for use|patch test|dermatologically tested",
-        "personal_care": "for external use only|avoid contact with eyes|directions for use|patch test",
-        "pharmaceutical": "for external use only|dosage|physician|keep out of reach of children|store in a cool dry place",
-        "household": "keep out of reach of children|for external use only|harmful if swallowed|corrosive|caution:",
-        "electronics": "input 100-240v|ac adapter|power consumption|wattage|voltage|hz|warranty",
+        "food": [
+            "nutritional information", "nutrition facts", "calories", "protein", "carbohydrate", "fat", "ingredients", "best before",
+            "use by", "trans fat",
+        ],
+        "beverage": ["nutritional information", "nutrition facts", "calories", "added sugar"],
+        "cosmetic": [
+            "for external use only", "avoid contact with eyes", "directions for use", "patch test", "dermatologically tested",
+        ],
+        "personal_care": ["for external use only", "avoid contact with eyes", "directions for use", "patch test"],
+        "pharmaceutical": [
+            "for external use only", "dosage", "physician", "keep out of reach of children", "store in a cool dry place",
+        ],
+        "household": [
+            "keep out of reach of children", "for external use only", "harmful if swallowed", "corrosive", "caution:",
+        ],
+        "electronics": ["input 100-240v", "ac adapter", "power consumption", "wattage", "voltage", "hz", "warranty"],
     },
     "NAME": {
-        "food": "biscuits?|chips|snack|masala|atta|noodles|pasta|flour|rice|dal|spice|cereal|bread",
-        "beverage": "juice|drink|water|soda|tea|coffee",
-        "cosmetic": "shampoo|lotion|cream|lipstick|makeup|moisturizer|foundation|sunscreen|conditioner",
-        "personal_care": "toothbrush|toothpaste|soap|deodorant|perfume|razor|sanitary|body wash|hair oil",
-        "household": "surface cleaner|floor cleaner|household cleaner|detergent|cleaner|dishwash|laundry|disinfectant|phenyl",
-        "electronics": "charger|adapter|earphones|headphones|speaker|laptop|smartphone|battery|power bank",
-        "pharmaceutical": "tablet|capsule|medicine|syrup|ointment",
-        "agricultural": "seed|fertilizer|pesticide|insecticide|herbicide",
+        "food": [
+            "biscuits?", "chips", "snack", "masala", "atta", "noodles", "pasta", "flour", "rice", "dal", "spice", "cereal", "bread",
+        ],
+        "beverage": ["juice", "drink", "water", "soda", "tea", "coffee"],
+        "cosmetic": [
+            "shampoo", "lotion", "cream", "lipstick", "makeup", "moisturizer", "foundation", "sunscreen", "conditioner",
+        ],
+        "personal_care": [
+            "toothbrush", "toothpaste", "soap", "deodorant", "perfume", "razor", "sanitary", "body wash", "hair oil",
+        ],
+        "household": [
+            "surface cleaner", "floor cleaner", "household cleaner", "detergent", "cleaner", "dishwash", "laundry", "disinfectant",
+            "phenyl",
+        ],
+        "electronics": [
+            "charger", "adapter", "earphones", "headphones", "speaker", "laptop", "smartphone", "battery", "power bank",
+        ],
+        "pharmaceutical": ["tablet", "capsule", "medicine", "syrup", "ointment"],
+        "agricultural": ["seed", "fertilizer", "pesticide", "insecticide", "herbicide"],
     },
     "CONTEXT": {
-        "food": "food|eat|delicious|taste|snack|nutrition|biscuits?|chips|masala|spice",
-        "beverage": "drink|thirst|refreshing|liquid|juice|water|soda|tea|coffee",
-        "cosmetic": "skin|hair|beauty|glow|shine|complexion|shampoo|lotion|cream",
-        "personal_care": "hygiene|soap|toothpaste",
-        "household": "clean|wash|stain|dirt|floor|surface|home|laundry|detergent|cleaner",
-        "electronics": "device|power|charge|electronic|adapter|charger",
-        "pharmaceutical": "health|relief|pain|cure|doctor|tablets?|capsules?|syrup",
-        "agricultural": "crop|farm|yield|plant|seed|fertilizer",
+        "food": ["food", "eat", "delicious", "taste", "snack", "nutrition", "biscuits?", "chips", "masala", "spice"],
+        "beverage": ["drink", "thirst", "refreshing", "liquid", "juice", "water", "soda", "tea", "coffee"],
+        "cosmetic": ["skin", "hair", "beauty", "glow", "shine", "complexion", "shampoo", "lotion", "cream"],
+        "personal_care": ["hygiene", "soap", "toothpaste"],
+        "household": ["clean", "wash", "stain", "dirt", "floor", "surface", "home", "laundry", "detergent", "cleaner"],
+        "electronics": ["device", "power", "charge", "electronic", "adapter", "charger"],
+        "pharmaceutical": ["health", "relief", "pain", "cure", "doctor", "tablets?", "capsules?", "syrup"],
+        "agricultural": ["crop", "farm", "yield", "plant", "seed", "fertilizer"],
     },
     "NEGATIVE": {
-        "food": "not for human consumption|for external use only|poison|do not swallow",
-        "beverage": "not for human consumption|for external use only|poison|do not swallow",
-        "cosmetic": "not for human consumption|poison|do not apply on skin",
+        "food": ["not for human consumption", "for external use only", "poison", "do not swallow"],
+        "beverage": ["not for human consumption", "for external use only", "poison", "do not swallow"],
+        "cosmetic": ["not for human consumption", "poison", "do not apply on skin"],
     },
 }
 UNIT_SIGNALS = {
-    "food": "g kg", "beverage": "ml l", "cosmetic": "ml g", "household": "ml l kg g", "electronics": "units n u", "pharmaceutical": "mg ml",
+    "food": ["g", "kg"],
+    "beverage": ["ml", "l"],
+    "cosmetic": ["ml", "g"],
+    "household": ["ml", "l", "kg", "g"],
+    "electronics": ["units", "n", "u"],
+    "pharmaceutical": ["mg", "ml"],
 }
 # -----------------------------------------------------------------------------------------------
 
@@ -70,7 +97,7 @@ def _points(text: Column, layer: str, category: str) -> Column:
     signals = SIGNALS[layer].get(category)
     if not signals:
         return F.lit(0)
-    found = [F.when(text.rlike("(?i)" + word_pattern(s)), 1).otherwise(0) for s in signals.split("|")]
+    found = [F.when(text.rlike("(?i)" + word_pattern(s)), 1).otherwise(0) for s in signals]
     return reduce(lambda a, b: a + b, found) * WEIGHTS[layer]
 
 
@@ -80,7 +107,7 @@ def scores(products: DataFrame) -> DataFrame:
 
     def entry(category: str) -> Column:
         parts = {layer: _points(name if layer == "NAME" else ocr, layer, category) for layer in SIGNALS}
-        units = UNIT_SIGNALS.get(category, "").split()
+        units = UNIT_SIGNALS.get(category, [])
         parts["UNIT"] = F.coalesce(F.when(unit.isin(units), 1), F.lit(0)) if units else F.lit(0)
         return F.struct(
             F.lit(category).alias("category"),

@@ -21,8 +21,39 @@ from labelwright.functions.plan import spread
 from labelwright.functions.rounding import half_up
 from labelwright.operators.rulebook import CLAUSES, with_clauses
 
-# The declarations that have to stand on a package.
-MANDATORY_FIELDS = ["mrp", "netQuantity"]
+# The declarations that may have to stand on a package.
+MANDATORY_FIELDS = [
+    "manufacturerName",
+    "manufacturerAddress",
+    "packerName",
+    "packerAddress",
+    "importerName",
+    "importerAddress",
+    "countryOfOrigin",
+    "commonGenericName",
+    "netQuantity",
+    "monthYearOfManufacture",
+    "dateOfPacking",
+    "bestBefore",
+    "useBy",
+    "mrp",
+    "consumerCarePhone",
+    "consumerCareEmail",
+    "unitSalePrice",
+    "dimensions",
+]
+# The clauses whose declaration is visual evidence.
+VISUAL_CLAUSES = [
+    "surroundingSpace",
+    "presentedDeclarations",
+    "wrapperVisibility",
+    "legibility",
+    "prominence",
+    "contrastingPresentation",
+    "languageFramework",
+    "medicalDeviceOverride",
+    "pdpLocation",
+]
 PANEL_MIN_CONFIDENCE = 0.6
 FIELD_MIN_CONFIDENCE = 0.8
 
@@ -46,10 +77,7 @@ def prepare(products: DataFrame) -> DataFrame:
         "numeralLetterHeight": c("size_evidence"),
         **{
             key: c("visual_evidence")
-            for key in (
-                "surroundingSpace presentedDeclarations wrapperVisibility legibility prominence "
-                "contrastingPresentation languageFramework medicalDeviceOverride pdpLocation"
-            ).split()
+            for key in VISUAL_CLAUSES
         },
     }
     context = {

@@ -6,6 +6,7 @@ so a fingerprint that a third of all images share takes part once.
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
@@ -50,21 +51,21 @@ def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
-def bands_for(threshold: int, distinct: int) -> int:
-    """How many bands to cut 64 bits into: few wide ones for very many fingerprints (small
-    buckets), more narrow ones for few (short probe lists). Any number gives the same result."""
-    if distinct > 500_000_000:
-        return 3
-    return 4 if threshold <= NEAR_BITS else 8
+#: Search radii in bits with the bands that 64 bits are cut into; each radius only looks for a
+#: neighbour of fingerprints that the one before left without any. Candidates of the last tier grow
+#: with the square of those that are left, by 2^-8 per band.
+TIERS = ((3, 4), (NEAR_BITS, 4), (REVIEW_BITS, 8))
 
 
 def _probes(width: int, radius: int) -> list[int]:
     return [sum(1 << b for b in bits) for r in range(radius + 1) for bits in combinations(range(width), r)]
 
 
-def close_pairs(fingerprints: DataFrame, threshold: int, bands: int) -> DataFrame:
+def close_pairs(fingerprints: DataFrame, threshold: int, bands: int, known: DataFrame | None = None) -> DataFrame:
     """All pairs of distinct fingerprints within ``threshold`` bits, each the later one first.
 
+    The earlier ones come from ``known``, by default the same table.
+
     Two numbers that differ in at most t of 64 bits differ in at most t // bands bits in
     some band. One side lists its bands, the other also lists every value within that
     many bits of its own, so equal (band, value) keys find every pair: an exact equi-join.
@@ -73,7 +74,7 @@ def close_pairs(fingerprints: DataFrame, threshold: int, bands: int) -> DataFram
     masks = F.lit(_probes(width, threshold // bands)).cast("array<bigint>")
     part = lambda i: F.shiftrightunsigned(F.col("fp"), i * width).bitwiseAND(F.lit((1 << width) - 1))
     cut = F.array(*[F.struct(F.lit(i).alias("band"), part(i).alias("value")) for i in range(bands)])
-    base = fingerprints.select(F.col("fp").alias("o_fp"), F.col("first").alias("o_first"), F.explode(cut).alias("k")).select(
+    base = (fingerprints if known is None else known).select(F.col("fp").alias("o_fp"), F.col("first").alias("o_first"), F.explode(cut).alias("k")).select(
         "o_fp", "o_first", "k.band", "k.value"
     )
     probe = (
@@ -91,15 +92,22 @@ def close_pairs(fingerprints: DataFrame, threshold: int, bands: int) -> DataFram
     )
 
 
-def near_duplicates(images: DataFrame, threshold: int = REVIEW_BITS, bands: int | None = None) -> DataFrame:
+def near_duplicates(images: DataFrame, threshold: int = REVIEW_BITS, tiers=TIERS) -> DataFrame:
     """Each image against those registered before it: near duplicate, review or unique.
 
-    The nearest one decides, the earliest on ties. With the default threshold both tiers
-    are exact; with ``NEAR_BITS`` the cheaper first tier alone is.
+    The nearest one decides, the earliest on ties. All pairs within a tier's radius are found, so
+    what a tier settles has its nearest neighbour; only the rest goes on to the next radius.
     """
     distinct = materialize(first_of_each(images, "fp", "image_id"), "fingerprints")
-    pairs = close_pairs(distinct, threshold, bands or bands_for(threshold, distinct.count()))
-    nearest = pairs.groupBy("fp").agg(F.min(F.struct("distance", F.col("o_first").alias("id"))).alias("n"))
+    left, settled = distinct, []
+    for bits, bands in tiers:
+        pairs = close_pairs(left, min(bits, threshold), bands, distinct)
+        found = pairs.groupBy("fp").agg(F.min(F.struct("distance", F.col("o_first").alias("id"))).alias("n"))
+        settled.append(materialize(found, "nearest"))
+        if bits >= threshold:
+            break
+        left = materialize(left.join(settled[-1].select("fp"), "fp", "left_anti"), "unsettled")
+    nearest = reduce(DataFrame.unionByName, settled)
     known = distinct.join(nearest, "fp", "left")
     rows = images.join(known, "fp")
     copy = F.col("image_id") != F.col("first")
@@ -115,7 +123,7 @@ def near_duplicates(images: DataFrame, threshold: int = REVIEW_BITS, bands: int
     )
 
 
-def duplicate_groups(images: DataFrame, bits: int = 9, bands: int = 4, rounds: int = 50) -> DataFrame:
+def duplicate_groups(images: DataFrame, bits: int = 9, bands: int = 4) -> DataFrame:
     """Connected groups of images closer than the limit, labelled by their first image.
 
     Labels move to the smallest neighbour and then jump to their label's label, so the
@@ -126,7 +134,7 @@ def duplicate_groups(images: DataFrame, bits: int = 9, bands: int = 4, rounds: i
     pairs = close_pairs(distinct, bits, bands).select(F.col("first").alias("a"), F.col("o_first").alias("b")).distinct()
     edges = materialize(pairs.union(pairs.select("b", "a")), "edges")
     labels = materialize(distinct.select(F.col("first").alias("node"), F.col("first").alias("label")), "labels")
-    for _ in range(rounds):
+    while True:
         offered = edges.join(labels, edges["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("offer"))
         moved = labels.join(offered, labels["node"] == offered["a"], "left").select(
             "node", "label", F.least("label", F.coalesce("offer", "label")).alias("next")
@@ -137,8 +145,6 @@ def duplicate_groups(images: DataFrame, bits: int = 9, bands: int = 4, rounds: i
         labels = step.select("node", "label")
         if step.filter(F.col("old") != F.col("label")).isEmpty():
             break
-    else:
-        raise RuntimeError("duplicate groups did not settle; raise the number of rounds")
     sized = images.join(distinct, "fp").join(labels, F.col("first") == F.col("node")).select("image_id", F.col("label").alias("group_id"))
     return sized
 

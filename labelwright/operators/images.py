@@ -10,25 +10,34 @@ from labelwright.operators.ranking import numbered
 from labelwright.session import materialize
 
 # ---- Fixed values --------------------------------------------------------------------------
-VIEW_WORDS = {"front": "front", "back": "back", "declaration": "declaration|legal|label"}
-CATEGORY_NAMES = (
-    "food beverage snack spice staples dairy personal_care oral_care household cleaning cosmetic pharmaceutical electronics agricultural other unknown"
-).split()
+VIEW_WORDS = {
+    "front": ["front"],
+    "back": ["back"],
+    "declaration": ["declaration", "legal", "label"],
+}
+CATEGORY_NAMES = [
+    "food", "beverage", "snack", "spice", "staples", "dairy", "personal_care", "oral_care", "household", "cleaning", "cosmetic",
+    "pharmaceutical", "electronics", "agricultural", "other", "unknown",
+]
 CATEGORY_WORDS = {
-    "staples": "staple staples rice atta aata flour wheat gram dal lentil pulses",
-    "spice": "spice spices masala turmeric cumin chilli chili curry coriander",
-    "dairy": "dairy milk paneer butter ghee curd yogurt yoghurt cheese",
-    "beverage": "beverage beverages drink juice cola soda softdrink water",
-    "snack": "snack snacks chips biscuit biscuits cookie cookies namkeen namkin wafers",
-    "personal_care": "personal_care personalcare soap shampoo lotion bodywash body_wash deodorant conditioner facewash",
-    "oral_care": "oral_care oralcare toothpaste toothbrush mouthwash dental",
-    "cosmetic": "cosmetic cosmetics makeup lipstick foundation kajal cream lotion_bar",
-    "household": "household homecare home_care home",
-    "cleaning": "cleaning detergent dishwash cleaner floor_cleaner wipe bleach",
-    "pharmaceutical": "pharmaceutical pharma medicine tablet syrup capsule ointment ayurvedic ayurveda",
-    "electronics": "electronics electronic battery bulb charger cable",
-    "agricultural": "agricultural agriculture fertilizer fertiliser pesticide insecticide seed",
-    "food": "food edible noodle noodles pasta sauce pickle honey jam soup oat",
+    "staples": ["staple", "staples", "rice", "atta", "aata", "flour", "wheat", "gram", "dal", "lentil", "pulses"],
+    "spice": ["spice", "spices", "masala", "turmeric", "cumin", "chilli", "chili", "curry", "coriander"],
+    "dairy": ["dairy", "milk", "paneer", "butter", "ghee", "curd", "yogurt", "yoghurt", "cheese"],
+    "beverage": ["beverage", "beverages", "drink", "juice", "cola", "soda", "softdrink", "water"],
+    "snack": ["snack", "snacks", "chips", "biscuit", "biscuits", "cookie", "cookies", "namkeen", "namkin", "wafers"],
+    "personal_care": [
+        "personal_care", "personalcare", "soap", "shampoo", "lotion", "bodywash", "body_wash", "deodorant", "conditioner", "facewash",
+    ],
+    "oral_care": ["oral_care", "oralcare", "toothpaste", "toothbrush", "mouthwash", "dental"],
+    "cosmetic": ["cosmetic", "cosmetics", "makeup", "lipstick", "foundation", "kajal", "cream", "lotion_bar"],
+    "household": ["household", "homecare", "home_care", "home"],
+    "cleaning": ["cleaning", "detergent", "dishwash", "cleaner", "floor_cleaner", "wipe", "bleach"],
+    "pharmaceutical": [
+        "pharmaceutical", "pharma", "medicine", "tablet", "syrup", "capsule", "ointment", "ayurvedic", "ayurveda",
+    ],
+    "electronics": ["electronics", "electronic", "battery", "bulb", "charger", "cable"],
+    "agricultural": ["agricultural", "agriculture", "fertilizer", "fertiliser", "pesticide", "insecticide", "seed"],
+    "food": ["food", "edible", "noodle", "noodles", "pasta", "sauce", "pickle", "honey", "jam", "soup", "oat"],
 }
 KIND_POINTS = {"back": 5, "ingredients": 5, "nutrition": 5, "packaging": 4, "front": 3}
 LARGE_AREA = 300_000
@@ -43,7 +52,7 @@ def view_of(path: Column) -> Column:
     """View named by the file; none or more than one gives unknown."""
     name = F.regexp_replace(F.element_at(F.split(path, r"[\\/]"), -1), r"(?i)\.[a-z0-9]+$", "")
     token = _tokens(name)
-    found = F.array_compact(F.array(*[F.when(token.rlike(rf"(^|_)({words})($|_)"), F.lit(view)) for view, words in VIEW_WORDS.items()]))
+    found = F.array_compact(F.array(*[F.when(token.rlike(rf"(^|_)({'|'.join(words)})($|_)"), F.lit(view)) for view, words in VIEW_WORDS.items()]))
     return F.when(F.size(found) == 1, found[0]).otherwise(F.lit("unknown"))
 
 
@@ -51,8 +60,8 @@ def infer_category(folders: DataFrame) -> DataFrame:
     """Category with most keyword hits in folder and file; a tie stays unknown. A given value wins."""
     rows = folders.select("*", _tokens(F.col("folder")).alias("a"), _tokens(F.col("file")).alias("b"))
 
-    def hits(column: str, words: str) -> Column:
-        return sum((F.when(F.col(column).rlike(f"(^|_){w}($|_)"), 1).otherwise(0) for w in words.split()), F.lit(0))
+    def hits(column: str, words: list[str]) -> Column:
+        return sum((F.when(F.col(column).rlike(f"(^|_){w}($|_)"), 1).otherwise(0) for w in words), F.lit(0))
 
     table = F.array(*[
         F.struct(F.lit(name).alias("category"), hits("a", words).alias("folder"), hits("b", words).alias("file")) for name, words in CATEGORY_WORDS.items()

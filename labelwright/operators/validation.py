@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 CHECK_STATUSES = ["PASS", "FAIL", "REVIEW", "NOT_APPLICABLE", "PENDING"]
 COMPLIANCE_STATUSES = ["PENDING", "COMPLIANT", "NON_COMPLIANT", "REVIEW"]
 ANALYSIS_STATUSES = ["PENDING", "PROCESSING", "COMPLETED", "FAILED"]
-CATEGORIES = "food beverage cosmetic personal_care household electronics pharmaceutical agricultural other unknown".split()
+CATEGORIES = [
+    "food", "beverage", "cosmetic", "personal_care", "household", "electronics", "pharmaceutical", "agricultural", "other", "unknown",
+]
 COMPLAINT_REASONS = [
     "Missing mandatory declaration",
     "Incorrect MRP declaration",
@@ -23,6 +25,9 @@ COMPLAINT_REASONS = [
     "Misleading consumer information",
     "Other compliance concern",
 ]
+LOCATION_SOURCES = ["GPS", "MANUAL"]
+DETECTION_STATUSES = ["DETECTED", "REVIEW", "UNKNOWN"]
+MAX_REASON, MAX_DESCRIPTION, MAX_ADDITIONAL_INFO = 200, 5000, 2000
 PRIORITIES = ["LOW", "MEDIUM", "HIGH"]
 # column, kind of rule, argument
 PRODUCT_RULES = [
@@ -40,6 +45,11 @@ PRODUCT_RULES = [
     ("category_confidence", "max", 1),
     ("latitude", "min", -90),
     ("latitude", "max", 90),
+    ("longitude", "min", -180),
+    ("longitude", "max", 180),
+    ("location_accuracy", "min", 0),
+    ("location_source", "enum", LOCATION_SOURCES),
+    ("category_detection_status", "enum", DETECTION_STATUSES),
 ]
 # ---------------------------------------------------------------------------------------------
 
@@ -94,7 +104,7 @@ def location(df: DataFrame) -> DataFrame:
         F.when(F.col("latitude").isNull() | F.col("longitude").isNull(), F.lit("coordinates required"))
         .when(~inside(lat, 90), F.lit("latitude out of range"))
         .when(~inside(lng, 180), F.lit("longitude out of range"))
-        .when(~F.coalesce(F.col("source").isin("GPS", "MANUAL"), F.lit(False)), F.lit("unknown source"))
+        .when(~F.coalesce(F.col("source").isin(LOCATION_SOURCES), F.lit(False)), F.lit("unknown source"))
     )
     keep = lambda v: F.when(F.col("error").isNull(), v)
     return df.withColumn("error", error).select(
@@ -109,6 +119,9 @@ def complaints(df: DataFrame) -> DataFrame:
         F.when(F.col("product_id").isNull() | ~filled("reason") | ~filled("description"), F.lit("required fields missing"))
         .when(~F.col("reason").isin(COMPLAINT_REASONS), F.lit("unknown reason"))
         .when(F.length("description") < 20, F.lit("description too short"))
+        .when(F.length(F.trim("reason")) > MAX_REASON, F.lit("reason too long"))
+        .when(F.length(F.trim("description")) > MAX_DESCRIPTION, F.lit("description too long"))
+        .when(F.length(F.trim("additional_info")) > MAX_ADDITIONAL_INFO, F.lit("additional information too long"))
     )
     priority = F.when(F.col("priority").isin(PRIORITIES), F.col("priority")).otherwise(F.lit("MEDIUM"))
     return df.withColumn("error", error).withColumn("priority", priority)

@@ -24,7 +24,11 @@ _ERRORS = {
     "category": "CASE WHEN category NOT IN (" + ", ".join(f"'{c}'" for c in validation.CATEGORIES) + ") THEN 'enum' END",
     "category_confidence": "CASE WHEN category_confidence < 0 THEN 'min' WHEN category_confidence > 1 THEN 'max' END",
     "compliance_status": "CASE WHEN compliance_status NOT IN ('PENDING','COMPLIANT','NON_COMPLIANT','REVIEW') THEN 'enum' END",
+    "category_detection_status": "CASE WHEN category_detection_status NOT IN ('DETECTED','REVIEW','UNKNOWN') THEN 'enum' END",
     "latitude": "CASE WHEN latitude < -90 THEN 'min' WHEN latitude > 90 THEN 'max' END",
+    "location_accuracy": "CASE WHEN location_accuracy < 0 THEN 'min' END",
+    "location_source": "CASE WHEN location_source NOT IN ('GPS','MANUAL') THEN 'enum' END",
+    "longitude": "CASE WHEN longitude < -180 THEN 'min' WHEN longitude > 180 THEN 'max' END",
     "mrp": f"CASE WHEN {_required('mrp')} THEN 'required' WHEN mrp < 0 THEN 'min' END",
     "net_unit": f"CASE WHEN {_required('net_unit')} THEN 'required' END",
     "net_value": f"CASE WHEN {_required('net_value')} THEN 'required' WHEN net_value < 0 THEN 'min' END",
@@ -51,7 +55,8 @@ def validate_location(spark, sf):
 @query("validate_complaints", f"""
 SELECT complaint_id, CASE WHEN priority IN ('LOW','MEDIUM','HIGH') THEN priority ELSE 'MEDIUM' END AS priority,
  CASE WHEN reason IS NULL THEN 'required fields missing' WHEN reason NOT IN ({', '.join(f"'{r}'" for r in validation.COMPLAINT_REASONS)}) THEN 'unknown reason'
- WHEN length(description) < 20 THEN 'description too short' END AS error FROM @complaints""")
+ WHEN length(description) < 20 THEN 'description too short' WHEN length(trim(reason)) > 200 THEN 'reason too long' WHEN length(trim(description)) > 5000 THEN 'description too long'
+ WHEN length(trim(additional_info)) > 2000 THEN 'additional information too long' END AS error FROM @complaints""")
 def validate_complaints(spark, sf):
     return validation.complaints(_view(spark, sf, "complaints")).select("complaint_id", "priority", "error")
 

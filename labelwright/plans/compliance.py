@@ -23,11 +23,19 @@ def _with_panel(df):
     field = lambda name, value, conf, rel: F.struct(
         F.lit(name).alias("field"), value.alias("value"), conf.alias("confidence"), rel.alias("relation")
     )
+    key = F.col("product_id")
+    relation = lambda m: F.when(key % m == 0, "OUTSIDE").when(key % m == 1, "PARTIAL").when(key % m != 2, "INSIDE")
     return df.withColumn(
         "panel_fields",
         F.array(
             field("mrp", F.col("mrp").cast("string"), F.col("mrp_field_confidence"), F.col("mrp_relation")),
             field("netQuantity", F.col("net_value").cast("string"), F.lit(0.95), F.col("quantity_relation")),
+            field("manufacturerName", F.col("manufacturer_name"), F.when(key % 19 == 0, 0.7).otherwise(0.9), relation(13)),
+            field("countryOfOrigin", F.col("country_of_origin"), F.lit(0.9), relation(11)),
+            field("commonGenericName", F.col("common_generic_name"), F.when(key % 23 == 0, F.lit(None)).otherwise(0.85), relation(17)),
+            field("dateOfPacking", F.col("date_of_packing").cast("string"), F.lit(0.8), relation(29)),
+            # not a mandatory declaration: its place does not matter
+            field("batchNumber", F.lit("B1"), F.lit(0.5), F.lit("OUTSIDE")),
         ),
     )
 
@@ -49,7 +57,8 @@ _CLAUSES = "(VALUES " + ", ".join(
 define("rule_days", "SELECT DISTINCT CAST(o_orderdate AS DATE) + 10000 AS day FROM @orders")
 _ACTIVE = f"""active AS (SELECT d.day, r.* FROM days d JOIN {_RULES}
   ON (r.effective_from IS NULL OR d.day >= r.effective_from) AND (r.effective_to IS NULL OR d.day <= r.effective_to)),
- inforce AS (SELECT * FROM active a WHERE NOT EXISTS (SELECT 1 FROM active b WHERE b.day = a.day AND b.replaces = a.rule_id))"""
+ inforce AS (SELECT a.* FROM active a LEFT JOIN (SELECT DISTINCT day, replaces FROM active WHERE replaces IS NOT NULL) b
+  ON b.day = a.day AND b.replaces = a.rule_id WHERE b.day IS NULL)"""
 
 
 @query("rules_as_of", f"""WITH days AS (SELECT * FROM @rule_days), {_ACTIVE}
@@ -148,7 +157,7 @@ _UNITS = "(VALUES " + ", ".join(
     for w, u in quantity._spellings()
 ) + ")"
 _PRICE_UNITS = "(VALUES " + ", ".join(
-    f"('{w}', '{k}', {f!r}::DOUBLE)" for k, g in quantity.PRICE_UNITS.items() for f, ws in g.items() for w in ws.split()
+    f"('{w}', '{k}', {f!r}::DOUBLE)" for k, factors in quantity.PRICE_UNITS.items() for w, f in factors.items()
 ) + ")"
 _QTY = f"""SELECT f.*, CASE WHEN net_value IS NOT NULL AND trim(net_unit) <> '' THEN net_value END AS q_value,
   CASE WHEN net_value IS NOT NULL AND trim(net_unit) <> '' THEN coalesce(u.unit, lower(trim(net_unit))) END AS q_unit,
@@ -226,15 +235,27 @@ _MEASURE = f"""CASE WHEN {_KEYGONE} THEN 'FAIL:CONFIRMED_ABSENT' WHEN {_HAS} THE
  WHEN {_LIMIT_SQL} IS NULL THEN 'REVIEW:NO_VERIFIED_THRESHOLD'
  WHEN physical_height - height_uncertainty >= {_LIMIT_SQL} THEN 'PASS:MEETS_THRESHOLD'
  WHEN physical_height + height_uncertainty < {_LIMIT_SQL} THEN 'FAIL:BELOW_THRESHOLD' ELSE 'REVIEW:STRADDLES_THRESHOLD' END"""
+_RELATION = "CASE WHEN product_id % {0} = 0 THEN 'OUTSIDE' WHEN product_id % {0} = 1 THEN 'PARTIAL' WHEN product_id % {0} <> 2 THEN 'INSIDE' END"
+_FUSED = ", ".join(
+    f"{{'value': {v}, 'confidence': {c}, 'relation': {r}}}"
+    for v, c, r in (
+        ("CAST(mrp AS VARCHAR)", "mrp_field_confidence", "mrp_relation"),
+        ("CAST(net_value AS VARCHAR)", "0.95::DOUBLE", "quantity_relation"),
+        ("manufacturer_name", "CASE WHEN product_id % 19 = 0 THEN 0.7 ELSE 0.9 END::DOUBLE", _RELATION.format(13)),
+        ("country_of_origin", "0.9::DOUBLE", _RELATION.format(11)),
+        ("common_generic_name", "CASE WHEN product_id % 23 <> 0 THEN 0.85::DOUBLE END", _RELATION.format(17)),
+        ("CAST(date_of_packing AS VARCHAR)", "0.8::DOUBLE", _RELATION.format(29)),
+    )
+)
+_FUSED = f"list_filter([{_FUSED}], lambda x: coalesce(x.value, '') NOT IN ('', 'UNKNOWN', 'REVIEW'))"
+_SOME = lambda test: f"len(list_filter({_FUSED}, lambda x: coalesce({test}, false))) > 0"
 _PANEL = f"""CASE WHEN visual_status IS NULL THEN {_PRESENCE} WHEN visual_status <> 'SUCCESS' THEN 'REVIEW:MODEL_UNAVAILABLE'
  WHEN NOT panel_found THEN 'REVIEW:PANEL_NOT_FOUND' WHEN panel_confidence < 0.6 THEN 'REVIEW:PANEL_LOW_CONFIDENCE'
- WHEN mrp IS NULL AND net_value IS NULL THEN 'REVIEW:NO_DECLARATIONS'
- WHEN mrp IS NOT NULL AND mrp_field_confidence < 0.8 THEN 'REVIEW:FIELD_LOW_CONFIDENCE'
- WHEN (mrp IS NOT NULL AND coalesce(mrp_relation, '') = 'OUTSIDE') OR (net_value IS NOT NULL AND coalesce(quantity_relation, '') = 'OUTSIDE')
-  THEN 'REVIEW:FIELD_OUTSIDE'
- WHEN mrp IS NOT NULL AND coalesce(mrp_relation, '') = 'PARTIAL' THEN 'REVIEW:FIELD_PARTIAL'
- WHEN (mrp IS NOT NULL AND mrp_relation IS NULL) OR (net_value IS NOT NULL AND quantity_relation IS NULL)
-  THEN 'REVIEW:FIELD_RELATION_UNKNOWN' ELSE 'PASS:ALL_INSIDE' END"""
+ WHEN len({_FUSED}) = 0 THEN 'REVIEW:NO_DECLARATIONS'
+ WHEN {_SOME("x.confidence < 0.8")} THEN 'REVIEW:FIELD_LOW_CONFIDENCE'
+ WHEN {_SOME("x.relation = 'OUTSIDE'")} THEN 'REVIEW:FIELD_OUTSIDE'
+ WHEN {_SOME("x.relation = 'PARTIAL'")} THEN 'REVIEW:FIELD_PARTIAL'
+ WHEN {_SOME("coalesce(x.relation, 'UNKNOWN') <> 'INSIDE'")} THEN 'REVIEW:FIELD_RELATION_UNKNOWN' ELSE 'PASS:ALL_INSIDE' END"""
 _MPE = """CASE WHEN observed_value IS NULL THEN 'REVIEW:NO_MEASUREMENT' WHEN bad IS NOT NULL THEN 'FAIL:DECLARED_INVALID'
  WHEN o_kind = 'UNKNOWN' OR observed_value <= 0 THEN 'FAIL:OBSERVED_INVALID' WHEN q_kind <> o_kind THEN 'FAIL:KIND_MISMATCH'
  ELSE 'REVIEW:TOLERANCE_UNVERIFIED' END"""

@@ -24,7 +24,7 @@ def extract_mrp(spark, sf):
 
 
 _QUNITS = "(VALUES " + ", ".join(
-    f"('{w}', '{k}', {f!r}::DOUBLE)" for k, t in P.QUANTITY_TOKEN_UNITS.items() for f, ws in t.items() for w in ws.split()
+    f"('{w}', '{k}', {f!r}::DOUBLE)" for k, factors in P.QUANTITY_TOKEN_UNITS.items() for w, f in factors.items()
 ) + ") u(word, kind, multiplier)"
 _TOKEN = f"""SELECT d.*, try_cast(regexp_extract(trim(text), {_sq(P.QUANTITY_TOKEN)}, 1) AS DOUBLE) AS qv,
  lower(regexp_extract(trim(text), {_sq(P.QUANTITY_TOKEN)}, 2)) AS qu FROM @detections d"""

@@ -191,7 +191,7 @@ def token_rejoin(spark, sf):
 
 define("region_boxes", """
 SELECT image_id, det_id, CASE WHEN det_id % 3 = 0 THEN text || '!' WHEN det_id % 3 = 1 THEN text || ' x' ELSE 'other' END AS text, confidence,
- x0 + 2 AS x0, y0 + 1 AS y0, x1 + 2 AS x1, y1 + 1 AS y1 FROM @detections WHERE det_id < 100""")
+ x0 + 2 AS x0, y0 + 1 AS y0, x1 + 2 AS x1, y1 + 1 AS y1 FROM @detections WHERE det_id % 3 <> 2 OR det_id % 2 = 0""")
 _LET = lambda c: f"regexp_replace(lower({c}), '[^a-z0-9]', '', 'g')"
 
 

@@ -144,7 +144,7 @@ SELECT p_partkey AS product_id, p_name || CASE p_partkey % 6 WHEN 0 THEN ' Spice
  CASE p_partkey % 5 WHEN 0 THEN 'masala_front.jpg' WHEN 1 THEN 'front.jpg' WHEN 2 THEN 'chips-back.png' WHEN 3 THEN 'shampoo.jpg' ELSE 'honey.jpg' END AS file,
  CASE p_partkey % 20 WHEN 7 THEN 'dairy' WHEN 8 THEN 'toys' END AS override FROM @part""")
 _TOK = lambda c: f"regexp_replace(lower({c}), '[^a-z0-9]+', '_', 'g')"
-_HITS = lambda c, words: " + ".join(f"CAST(regexp_matches({c}, '(^|_){w}($|_)') AS INT)" for w in words.split())
+_HITS = lambda c, words: " + ".join(f"CAST(regexp_matches({c}, '(^|_){w}($|_)') AS INT)" for w in words)
 _CATS = " UNION ALL ".join(f"SELECT product_id, '{k}' AS category, {_HITS('a', ws)} AS fh, {_HITS('b', ws)} AS gh FROM t" for k, ws in images.CATEGORY_WORDS.items())
 
 
@@ -210,16 +210,16 @@ WITH p AS (SELECT b.image_id, a.image_id AS other, bit_count(xor(a.fp, b.fp))::I
 SELECT f.image_id, CASE WHEN d <= 10 THEN 'near_duplicate' WHEN d <= 18 THEN 'review' ELSE 'unique' END AS status, other AS duplicate_of, d AS distance FROM @fingerprints f LEFT JOIN n USING (image_id)"""
 
 
-@query("near_dup_class", _NEAR.format(10))
+@query("near_dup_class", _NEAR.format(18))
 def near_dup_class(spark, sf):
-    """The first tier alone: everything within ten bits, found exactly."""
-    return dedup.near_duplicates(_v(spark, sf, "fingerprints"), dedup.NEAR_BITS)
+    """Near duplicates, images to review and unique ones."""
+    return dedup.near_duplicates(_v(spark, sf, "fingerprints"))
 
 
-@query("near_dup_review", _NEAR.format(18))
+@query("near_dup_review", f"SELECT * FROM ({_NEAR.format(18)}) WHERE status = 'review'")
 def near_dup_review(spark, sf):
-    """Both tiers: exact up to eighteen bits."""
-    return dedup.near_duplicates(_v(spark, sf, "fingerprints"), dedup.REVIEW_BITS)
+    """What a person has to look at: the nearest image is eleven to eighteen bits away."""
+    return dedup.near_duplicates(_v(spark, sf, "fingerprints")).filter(F.col("status") == "review")
 
 
 @query("dup_groups", """

@@ -215,7 +215,8 @@ SELECT o_orderkey AS complaint_id, CASE WHEN o_orderkey % 11 = 0 THEN (o_custkey
  CASE o_orderkey % 13 WHEN 0 THEN 'Missing mandatory declaration' WHEN 1 THEN 'Incorrect MRP declaration' WHEN 2 THEN 'Expired product on sale' WHEN 3 THEN 'Incorrect net quantity'
   WHEN 4 THEN 'Missing manufacturer information' WHEN 5 THEN 'Missing country of origin' WHEN 6 THEN 'Missing batch/lot number' WHEN 7 THEN 'Missing date of manufacture/expiry'
   WHEN 8 THEN 'Non-compliant labelling' WHEN 9 THEN 'Misleading consumer information' WHEN 10 THEN 'Other compliance concern' WHEN 11 THEN 'bad smell' END AS reason,
- CASE WHEN o_orderkey % 14 = 0 THEN 'too short' ELSE 'The label of order ' || cast(o_orderkey AS string) || ' is wrong' END AS description,
+ CASE WHEN o_orderkey % 14 = 0 THEN 'too short' WHEN o_orderkey % 29 = 1 THEN repeat('This label is wrong. ', 300) ELSE 'The label of order ' || cast(o_orderkey AS string) || ' is wrong' END AS description,
+ CASE WHEN o_orderkey % 31 = 2 THEN repeat('See the photo. ', 200) WHEN o_orderkey % 31 = 3 THEN 'See the photo.' END AS additional_info,
  CASE o_orderkey % 5 WHEN 0 THEN 'LOW' WHEN 1 THEN 'HIGH' WHEN 2 THEN 'URGENT' WHEN 3 THEN 'MEDIUM' END AS priority,
  CASE o_orderstatus WHEN 'F' THEN 'RESOLVED' WHEN 'P' THEN 'UNDER_REVIEW' ELSE 'SUBMITTED' END AS status, cast(o_orderdate AS timestamp) AS submitted_at FROM @orders""")
 define("complaint_events", """
@@ -232,7 +233,9 @@ define("raw_products", """
 SELECT o_orderkey AS product_id, CASE WHEN o_orderkey % 50 = 0 THEN NULL ELSE o_custkey % 50 END AS user_id, CASE WHEN o_orderkey % 10 = 0 THEN '  ' ELSE 'Pack ' || cast(o_orderkey AS string) END AS product_name,
  CASE WHEN o_orderkey % 12 = 0 THEN NULL WHEN o_orderkey % 12 = 1 THEN -1.5 ELSE o_totalprice END AS mrp, CASE WHEN o_orderkey % 8 = 0 THEN -3.0 ELSE 4.0 END AS net_value, CASE WHEN o_orderkey % 15 = 0 THEN NULL ELSE 'g' END AS net_unit,
  CASE WHEN o_orderkey % 6 = 0 THEN 'PASS' ELSE 'COMPLIANT' END AS compliance_status, CASE WHEN o_orderkey % 20 = 3 THEN 'DONE' ELSE 'COMPLETED' END AS analysis_status, CASE WHEN o_orderkey % 21 = 4 THEN 'toys' ELSE 'food' END AS category,
- CASE WHEN o_orderkey % 22 = 5 THEN 1.5 ELSE 0.5 END AS category_confidence, CASE WHEN o_orderkey % 23 = 6 THEN -95.0 ELSE 12.0 END AS latitude FROM @orders""")
+ CASE WHEN o_orderkey % 22 = 5 THEN 1.5 ELSE 0.5 END AS category_confidence, CASE WHEN o_orderkey % 23 = 6 THEN -95.0 ELSE 12.0 END AS latitude,
+ CASE WHEN o_orderkey % 25 = 7 THEN 181.5 WHEN o_orderkey % 25 = 8 THEN -200.0 ELSE 77.0 END AS longitude, CASE WHEN o_orderkey % 26 = 9 THEN -1.0 WHEN o_orderkey % 26 = 10 THEN NULL ELSE 5.0 END AS location_accuracy,
+ CASE WHEN o_orderkey % 27 = 11 THEN 'WIFI' WHEN o_orderkey % 27 = 12 THEN NULL ELSE 'GPS' END AS location_source, CASE WHEN o_orderkey % 28 = 13 THEN 'SURE' ELSE 'REVIEW' END AS category_detection_status FROM @orders""")
 define("raw_detections", """
 SELECT l_orderkey AS batch_id, l_linenumber AS det_id, CASE WHEN l_partkey % 211 = 0 THEN '' ELSE 'text' END AS text, CASE WHEN l_partkey % 199 = 1 THEN NULL ELSE l_discount * 10 END AS confidence,
  CASE WHEN l_partkey % 97 = 2 THEN 3 ELSE 4 END AS points, CASE WHEN l_partkey % 89 = 3 THEN NULL ELSE l_quantity END AS coord FROM @lineitem""")
