@@ -156,7 +156,7 @@ def test_recommendations(spark):
 
     def page(*products):
         rows = [(i, "biscuits", name, {f"{k}_100g": v for k, v in n.items()}, float(-i)) for i, (name, n) in enumerate(products)]
-        return nutrition.search_page(spark.createDataFrame(rows, "product_id long, category string, name string, nutriments map<string,double>, popularity double"))
+        return nutrition.comparable(spark.createDataFrame(rows, "product_id long, category string, name string, nutriments map<string,double>, popularity double"))
 
     better = ("better", {"sugars": 10.0, "energy-kcal": 400.0})
     worse = ("worse", {"sugars": 40.0, "energy-kcal": 500.0})
