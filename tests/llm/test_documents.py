@@ -299,10 +299,10 @@ def test_lines(spark):
     rnd = random.Random(9)
     vocab = [f"term{k}" for k in range(3000)]
     line = lambda n=30: rnd.choices(vocab, k=n)
-    shared, near = line(), line(60)
+    shared, near = line(), line(200)
     other = list(near)
     other[20] = "changed"
-    own = [" ".join(line()) for _ in range(6)]
+    own = [" ".join(line(60)) for _ in range(6)]
     rows = [
         (1, "\n".join([own[0], " ".join(shared), own[1]])),
         (2, "\n".join([own[2], " ".join(shared).upper() + " !", own[3], " ".join(near)])),
