@@ -14,7 +14,7 @@ METRIC_GATES = [("map50", 0.70, 0.05), ("map50_95", 0.50, 0.03), ("precision", 0
 
 
 def evaluate(candidates: DataFrame, champions: DataFrame) -> DataFrame:
-    """PASS or REJECT with every broken gate; without a champion only the minima count."""
+    """PASS or REJECT with every broken gate and each metric's change; without a champion only the minima count."""
     old = champions.select("run_id", *[F.col(m).alias(f"old_{m}") for m, _, _ in METRIC_GATES])
     rows = candidates.join(old, "run_id", "left")
     minima = [F.when(F.col(m) < least, F.lit(f"FAILED_MIN_{m.upper()}")) for m, least, _ in METRIC_GATES]
@@ -23,7 +23,8 @@ def evaluate(candidates: DataFrame, champions: DataFrame) -> DataFrame:
     ]
     reasons = F.concat_ws(",", *minima, *drops)
     return rows.withColumn("reasons", reasons).select(
-        "run_id", F.when(F.col("reasons") == "", F.lit("PASS")).otherwise(F.lit("REJECT")).alias("decision"), "reasons"
+        "run_id", F.when(F.col("reasons") == "", F.lit("PASS")).otherwise(F.lit("REJECT")).alias("decision"), "reasons",
+        *[half_up(F.col(m) - F.col(f"old_{m}"), 6).alias(f"delta_{m}") for m, _, _ in METRIC_GATES],
     )
 
 

@@ -73,21 +73,28 @@ def src_annotations(spark, sf):
     )
 
 
-@query("src_labels", "SELECT class_id, x_center AS x, y_center AS y, width AS w, height AS h FROM @annotations")
+_LABEL_FILE = "'product_' || cast(image_id % 20 AS string) || '_' || CASE image_id % 3 WHEN 0 THEN 'front' WHEN 1 THEN 'back' ELSE 'declaration' END"
+define("label_lines_named", f"SELECT *, {_LABEL_FILE} AS name FROM @annotations")
+
+
+@query("src_labels", """SELECT split_part(name, '_', 1) || '_' || split_part(name, '_', 2) AS product_id, split_part(name, '_', 3) AS view, class_id,
+ round(x_center, 6) AS x, round(y_center, 6) AS y, round(width::DOUBLE, 6) AS w, round(height, 6) AS h FROM @label_lines_named""")
 def src_labels(spark, sf):
-    """Annotations as label text and back; six decimals keep these values."""
-    a = spark_view(spark, sf, "annotations")
+    """Annotations as label text, in folders named after product and view, and what is read from there."""
+    a = spark_view(spark, sf, "label_lines_named")
     c = F.col
     path = _folder(spark, "labels")
-    files.write_label_text(a.select(ann.label_line(c("class_id"), c("x_center"), c("y_center"), c("width").cast("double"), c("height")).alias("line")), path)
-    r = lambda n: F.round(n, 6)
-    rows = files.label_files(spark, path).select("class_id", "x", "y", "w", "h")
-    exact = a.select("class_id", c("x_center").alias("x"), c("y_center").alias("y"), c("width").alias("w"), c("height").alias("h"))
-    # The printed sixth decimal identifies the stored value.
-    key = lambda df: [r(c(n)).alias(f"k_{n}") for n in "xywh"]
-    got = rows.groupBy("class_id", *key(rows)).agg(F.count("*").alias("n_file"))
-    want = exact.select("*", *key(exact))
-    return want.join(got, ["class_id", "k_x", "k_y", "k_w", "k_h"]).select("class_id", "x", "y", "w", "h")
+    line = ann.label_line(c("class_id"), c("x_center"), c("y_center"), c("width").cast("double"), c("height"))
+    a.select("name", line.alias("value")).write.partitionBy("name").text(path)
+    return files.label_files(spark, path).select("product_id", "view", "class_id", "x", "y", "w", "h")
+
+
+@query("sink_report", "SELECT status, count(*) AS complaints FROM @complaints GROUP BY 1")
+def sink_report(spark, sf):
+    """A small report written as JSON and read back."""
+    path = _folder(spark, "report")
+    files.write_report(spark_view(spark, sf, "complaints").groupBy("status").agg(F.count("*").alias("complaints")), path, "json")
+    return spark.read.schema("status string, complaints bigint").json(path)
 
 
 @query("binary_inventory")

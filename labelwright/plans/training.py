@@ -556,12 +556,15 @@ define("model_metrics", """
 SELECT user_id AS run_id, floor(avg(value) * 100) / 100 / 100 + 0.25 AS map50, floor(avg(value) * 100) / 100 / 150 + 0.2 AS map50_95, floor(max(value) * 100) / 100 / 600 + 0.3 AS precision, cast(count(*) % 40 AS double) / 100 + 0.6 AS recall FROM @events GROUP BY 1""")
 
 
+_CHANGES = ", ".join(f"floor(({a} - {b}) * 1e6 + 0.5) / 1e6 AS delta_{m}" for a, b, m in (("a", "ha", "map50"), ("b", "hb", "map50_95"), ("p", "hp", "precision"), ("r", "hr", "recall")))
+
+
 @query("model_gates", f"""
 WITH p AS (SELECT c.run_id, c.map50 AS a, c.map50_95 AS b, c.precision AS p, c.recall AS r, h.map50 AS ha, h.map50_95 AS hb, h.precision AS hp, h.recall AS hr FROM @model_metrics c LEFT JOIN @model_metrics h ON h.run_id = c.run_id - 1),
  q AS (SELECT run_id, concat_ws(',', CASE WHEN a < 0.7 THEN 'FAILED_MIN_MAP50' END, CASE WHEN b < 0.5 THEN 'FAILED_MIN_MAP50_95' END, CASE WHEN p < 0.75 THEN 'FAILED_MIN_PRECISION' END, CASE WHEN r < 0.75 THEN 'FAILED_MIN_RECALL' END,
   CASE WHEN floor((ha - a) * 1e9 + 0.5) / 1e9 > 0.05 THEN 'REGRESSION_MAP50_EXCEEDED' END, CASE WHEN floor((hb - b) * 1e9 + 0.5) / 1e9 > 0.03 THEN 'REGRESSION_MAP50_95_EXCEEDED' END, CASE WHEN floor((hp - p) * 1e9 + 0.5) / 1e9 > 0.05 THEN 'REGRESSION_PRECISION_EXCEEDED' END,
-  CASE WHEN floor((hr - r) * 1e9 + 0.5) / 1e9 > 0.05 THEN 'REGRESSION_RECALL_EXCEEDED' END) AS reasons FROM p)
-SELECT run_id, CASE WHEN reasons = '' THEN 'PASS' ELSE 'REJECT' END AS decision, reasons FROM q""")
+  CASE WHEN floor((hr - r) * 1e9 + 0.5) / 1e9 > 0.05 THEN 'REGRESSION_RECALL_EXCEEDED' END) AS reasons, {_CHANGES} FROM p)
+SELECT run_id, CASE WHEN reasons = '' THEN 'PASS' ELSE 'REJECT' END AS decision, reasons, delta_map50, delta_map50_95, delta_precision, delta_recall FROM q""")
 def model_gates(spark, sf):
     """Each run against the one before it."""
     m = _v(spark, sf, "model_metrics")
