@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from labelwright.functions.literals import map_of
 from labelwright.operators.audit import one_row
 
 # ---- Fixed values --------------------------------------------------------------------------
@@ -119,6 +120,16 @@ def last_annotations(annotations: DataFrame) -> DataFrame:
     return annotations.groupBy("image_id").agg(last)
 
 
+# Why an image has its priority.
+PRIORITY_REASONS = {
+    1: "declaration_panel candidate",
+    2: "back-panel view",
+    3: "underrepresented category",
+    4: "product lacks verified annotation",
+    5: "remaining unannotated candidate",
+}
+
+
 def queue(images: DataFrame, annotations: DataFrame, registry: DataFrame, open_statuses=("PENDING",)) -> DataFrame:
     """Every image with the reason it is left out, or its priority in the queue.
 
@@ -150,9 +161,17 @@ def queue(images: DataFrame, annotations: DataFrame, registry: DataFrame, open_s
     declared = (F.col("view") == "declaration") | F.coalesce(F.col("a.class_id") == 2, F.lit(False))
     lacks = F.col("verified").isNull() | (F.col("in_product") <= 1)
     priority = F.when(declared, 1).when(F.col("view") == "back", 2).when(F.col("in_category") <= 1, 3).when(lacks, 4).otherwise(5)
+    due = excluded.isNull()
+    reasons = F.concat_ws(
+        "; ",
+        F.when(due, map_of(PRIORITY_REASONS)[priority]),
+        F.when(due & (priority == 1) & (F.col("view") == "declaration"), F.lit("declaration view")),
+        F.when(due & dup.isin("near_duplicate", "review"), F.lit("flagged for perceptual duplicate review")),
+    )
     return rows.select(
         "image_id", "product_id", "path", "view", "category", excluded.alias("excluded"),
         F.when(excluded.isNull(), priority).alias("priority"),
+        reasons.alias("reasons"),
         dup.isin("near_duplicate", "review").alias("duplicate_review"),
         F.coalesce(status, F.lit("NO_ANNOTATION")).alias("annotation_status"),
         F.coalesce("a.provenance", F.lit("none")).alias("provenance"),

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from labelwright.functions.literals import map_of, structs_of
 from labelwright.functions.plan import settle, spread
 from labelwright.functions.rounding import half_up
 
@@ -117,6 +118,21 @@ def scores(products: DataFrame) -> DataFrame:
     return settle(spread(products), "points", F.array(*[entry(c) for c in CATEGORIES]))
 
 
+def _winning(category: Column) -> Column:
+    """What was matched for a category, as layer:text in the order of the tables.
+
+    Only the patterns of the winning category are read again.
+    """
+    rows = [(c, layer, f"(?i){word_pattern(s)}") for layer, table in SIGNALS.items() for c, signals in table.items() for s in signals]
+    own = F.filter(structs_of({"category": "string", "layer": "string", "pattern": "string"}, rows), lambda r: r["category"] == category)
+    text = lambda r: F.when(r["layer"] == "NAME", F.coalesce("name", F.lit(""))).otherwise(F.coalesce("ocr_text", F.lit("")))
+    hits = F.transform(own, lambda r: F.struct(r["layer"].alias("layer"), F.call_function("regexp_extract", text(r), r["pattern"], F.lit(0)).alias("found")))
+    named = F.transform(F.filter(hits, lambda h: h["found"] != ""), lambda h: F.concat(h["layer"], F.lit(":"), F.lower(h["found"])))
+    units = map_of(UNIT_SIGNALS)[category]
+    unit = F.when(F.coalesce(F.array_contains(units, F.lower("unit")), F.lit(False)), F.array(F.concat(F.lit("UNIT:"), F.lower("unit")))).otherwise(F.array().cast("array<string>"))
+    return F.array_join(F.concat(named, unit), ",")
+
+
 def detect(products: DataFrame) -> DataFrame:
     """Best category per product with status, confidence and the layers that spoke for it.
 
@@ -127,7 +143,7 @@ def detect(products: DataFrame) -> DataFrame:
         F.transform(F.col("points"), lambda p, i: F.struct(total(p).alias("score"), (-i).alias("order"), p.alias("p"))), asc=False
     )
     best = settle(scores(products), "ranked", ranked).select(
-        "product_id", F.col("ranked")[0].alias("top"), F.col("ranked")[1]["score"].alias("second")
+        "product_id", "ocr_text", "name", "unit", F.col("ranked")[0].alias("top"), F.col("ranked")[1]["score"].alias("second")
     )
     score = F.col("top.score")
     clear = (score >= F.col("second") * 1.5) | (score - F.col("second") >= 8)
@@ -145,5 +161,6 @@ def detect(products: DataFrame) -> DataFrame:
         "status",
         half_up(confidence, 2).alias("confidence"),
         F.when(known, F.array_join(layers, ",")).otherwise(F.lit("")).alias("evidence"),
+        F.when(known, _winning(F.col("top.p.category"))).otherwise(F.lit("")).alias("signals"),
         score.cast("bigint").alias("score"),
     )

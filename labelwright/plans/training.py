@@ -425,7 +425,10 @@ def _queue(spark, sf):
     return ann.queue(_v(spark, sf, "images"), _v(spark, sf, "annotations"), _v(spark, sf, "source_registry"))
 
 
-@query("verification_queue", f"{_VQ} SELECT * EXCLUDE (excluded) FROM q WHERE excluded IS NULL")
+_WHY = " ".join(f"WHEN {k} THEN '{v}'" for k, v in ann.PRIORITY_REASONS.items())
+
+
+@query("verification_queue", f"{_VQ} SELECT * EXCLUDE (excluded), concat_ws('; ', CASE priority {_WHY} END, CASE WHEN priority = 1 AND view = 'declaration' THEN 'declaration view' END, CASE WHEN duplicate_review THEN 'flagged for perceptual duplicate review' END) AS reasons FROM q WHERE excluded IS NULL")
 def verification_queue(spark, sf):
     return _queue(spark, sf).filter(F.col("excluded").isNull()).drop("excluded").orderBy("priority", "product_id", "image_id", "path")
 
