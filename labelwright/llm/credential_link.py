@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from labelwright.llm.sieve import sifted
 from labelwright.llm.store import save
 
 #: Parts this near to each other, in code points between their starts, belong together.
@@ -113,8 +114,12 @@ def scan(docs: DataFrame, carry: list[str]) -> DataFrame:
         .groupBy("rid")
         .agg(F.array_sort(F.collect_list(F.struct("start", "place", "kind", "end"))).alias("spans"))
     )
+    spans = save(spans, "spans")
     empty = F.array().cast(spans.schema["spans"].dataType)
-    return rows.select("rid", "row").join(spans, "rid", "left").select("row", F.coalesce("spans", empty).alias("spans"))
+    # most texts hold nothing; they are not shuffled
+    marked = sifted(rows.select("rid", "row"), spans, "rid")
+    some = marked.where("maybe").join(spans, "rid", "left").select("row", F.coalesce("spans", empty).alias("spans"))
+    return some.unionByName(marked.where("NOT maybe").select("row", empty.alias("spans")))
 
 
 def written(spans: Column) -> Column:

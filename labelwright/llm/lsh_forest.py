@@ -22,13 +22,13 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelwright.llm.graph import components
 from labelwright.llm.shingles import Shingler
 from labelwright.llm.sieve import sifted
-from labelwright.llm.store import save
+from labelwright.llm.store import drop, save
 
 WIDTH, PERCENT = 4, 80
 TREES, DEPTH, NEAR, HASHES = 10, 8, 4, 128
@@ -136,7 +136,10 @@ def candidates(forest: DataFrame) -> DataFrame:
     ordered = rows.repartitionByRange(parts, "tree", "key", "rid").sortWithinPartitions("tree", "key", "rid")
     found = save(ordered.mapInPandas(_neighbours, _PAIR), "neighbours")
     cuts = found.where("cut IS NOT NULL").groupBy("cut").applyInPandas(_across, "a long, b long, agree long")
-    return found.where("a IS NOT NULL").select("a", "b", "agree").unionByName(cuts).groupBy("a", "b").agg(F.max("agree").alias("agree"))
+    pairs = found.where("a IS NOT NULL").select("a", "b", "agree").unionByName(cuts).groupBy("a", "b").agg(F.max("agree").alias("agree"))
+    pairs = save(pairs, "candidates")
+    drop(found)
+    return pairs
 
 
 def _confirmed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -163,11 +166,16 @@ def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.select("a", "b").join(b, "b").join(a, "a").select("a", "b", "text_a", "text_b").mapInPandas(_confirmed, "a long, b long")
 
 
+def text_of(staged: DataFrame) -> Column:
+    """The text stands in the row itself if that carries it."""
+    return F.col("row.text") if "text" in staged.schema["row"].dataType.names else F.col("text")
+
+
 def links(staged: DataFrame, forest: DataFrame) -> DataFrame:
     """Confirmed links between classes, enough of them to connect all that any candidate connects."""
-    pairs = save(candidates(forest), "candidates")
+    pairs = candidates(forest)
     ends = pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct()
-    likely = sifted(staged.select("rid", "text"), ends, "rid").where("maybe").drop("maybe")
+    likely = sifted(staged.select("rid", text_of(staged).alias("text")), ends, "rid").where("maybe").drop("maybe")
     texts = save(likely.join(ends, "rid", "left_semi"), "texts")
     # each class's most similar candidate
     both = pairs.select("a", "b", "agree", F.explode(F.array("a", "b")).alias("rid"))
@@ -178,28 +186,38 @@ def links(staged: DataFrame, forest: DataFrame) -> DataFrame:
     right = groups.select(F.col("node").alias("b"), F.col("component").alias("group_b"))
     apart = pairs.join(left, "a", "left").join(right, "b", "left")
     apart = apart.where(F.coalesce("group_a", "a") != F.coalesce("group_b", "b")).join(best, ["a", "b"], "left_anti")
-    second = save(confirm(apart, texts), "confirmed")
-    return first.unionByName(second)
+    second = confirm(apart, texts)
+    both = save(first.unionByName(second), "links")
+    drop(pairs, texts, first)
+    return both
 
 
-def near_duplicates(docs: DataFrame, carry: list[str]) -> DataFrame:
-    """The carried columns as ``row`` with n_shingles, component_id (smallest doc_id) and kept.
-
-    Exactly one row of each component is kept, also if ids repeat.
-    """
+def grouped(docs: DataFrame, carry: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The staged rows (row, doc, rid, n) and, for those with shingles, rid, component_id and kept."""
     sign = F.pandas_udf("n long, set_a long, set_b long, keys binary, sketch binary")(_signed)
-    numbered = docs.select(F.struct(*carry).alias("row"), F.col("doc_id").alias("doc"), "text", F.monotonically_increasing_id().alias("rid"))
-    staged = save(numbered.select("*", sign("text").alias("s")).select("row", "doc", "text", "rid", "s.*"), "signed")
+    text = [] if "text" in carry else ["text"]
+    numbered = docs.select(F.struct(*carry).alias("row"), F.col("doc_id").alias("doc"), *text, F.monotonically_increasing_id().alias("rid"))
+    staged = numbered.withColumn("s", sign(text_of(numbered))).select("row", "doc", *text, "rid", "s.*")
+    staged = save(staged, "signed")
     full = staged.where("n > 0")
     classes = full.groupBy("n", "set_a", "set_b").agg(F.min("rid").alias("class"))
     member = save(full.select("rid", "n", "set_a", "set_b", "doc").join(classes, ["n", "set_a", "set_b"]).select("rid", "doc", "class"), "members")
     heads = classes.select(F.col("class").alias("rid"))
     found = links(staged, full.select("rid", "keys", "sketch").join(heads, "rid"))
     groups = components(found).select(F.col("node").alias("class"), "component")
-    member = member.join(groups, "class", "left").select("rid", "doc", F.coalesce("component", "class").alias("group"))
-    member = save(member, "grouped")
-    least = member.groupBy("group").agg(F.min(F.struct(F.col("doc").isNull().alias("none"), F.col("doc").alias("doc"), F.col("rid").alias("rid"))).alias("head"))
-    named = member.join(least, "group").select("rid", F.col("head.doc").alias("component_id"), (F.col("rid") == F.col("head.rid")).alias("kept"))
+    group = save(member.join(groups, "class", "left").select("rid", "doc", F.coalesce("component", "class").alias("group")), "grouped")
+    drop(member, found)
+    least = group.groupBy("group").agg(F.min(F.struct(F.col("doc").isNull().alias("none"), F.col("doc").alias("doc"), F.col("rid").alias("rid"))).alias("head"))
+    named = group.join(least, "group").select("rid", F.col("head.doc").alias("component_id"), (F.col("rid") == F.col("head.rid")).alias("kept"))
+    return staged, named
+
+
+def near_duplicates(docs: DataFrame, carry: list[str]) -> DataFrame:
+    """The carried columns as ``row`` with n_shingles, component_id (smallest doc_id) and kept.
+
+    Exactly one row of each component is kept, also if ids repeat.
+    """
+    staged, named = grouped(docs, carry)
     out = staged.select("row", "rid", "doc", "n").join(named, "rid", "left")
     return out.select(
         "row",
@@ -210,5 +228,12 @@ def near_duplicates(docs: DataFrame, carry: list[str]) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents without all but one of each group of near duplicates."""
-    return near_duplicates(docs, docs.columns).where("kept").select("row.*")
+    """The documents without all but one of each group of near duplicates.
+
+    Only documents that may have to go are shuffled.
+    """
+    staged, named = grouped(docs, docs.columns)
+    copies = save(named.where("NOT kept").select("rid"), "copies")
+    marked = sifted(staged.select("row", "rid"), copies, "rid")
+    stay = marked.where("maybe").join(copies, "rid", "left_anti").select("row")
+    return stay.unionByName(marked.where("NOT maybe").select("row")).select("row.*")

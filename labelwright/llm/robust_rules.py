@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from labelwright.llm.store import save
+from labelwright.llm.store import drop, save
 from labelwright.llm.words import WHITE, words
 
 SYMBOLS = "#*$%&|<>"
@@ -24,6 +24,8 @@ MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 #: A group's own estimate needs so many documents.
 MIN_GROUP = 100
+#: Groups whose names are broadcast; more are joined by shuffle.
+MAX_BROADCAST = 50_000
 STEPS = 4
 #: Quantiles of chi-square with 4 degrees of freedom: 0.975 for reweighting, 1 - 1e-5 for rejection.
 CHI_REWEIGHT = 11.143
@@ -113,8 +115,9 @@ def grouped(read: DataFrame) -> DataFrame:
         .when(F.col("n_lang") >= MIN_GROUP, F.to_json(F.array("lang")))
         .otherwise(F.lit(""))
     )
-    keys = sizes.join(per_lang, "lang").select("lang", "source", key.alias("group"))
-    return read.join(keys, ["lang", "source"])
+    keys = save(sizes.join(per_lang, "lang").select("lang", "source", key.alias("group")), "groups")
+    # a row per language and source; where these were counted to be few the documents stay in place
+    return read.join(F.broadcast(keys) if keys.count() <= MAX_BROADCAST else keys, ["lang", "source"])
 
 
 def _cholesky(groups: DataFrame) -> DataFrame:
@@ -183,8 +186,9 @@ def estimates(read: DataFrame) -> DataFrame:
 
 def screen(docs: DataFrame, carry: list[str]) -> DataFrame:
     """The carried columns as ``row`` with statistics, distance ``d2``, ``base_failed`` and ``kept`` of every document."""
-    read = save(statistics(docs, carry), "statistics")
-    read = save(grouped(read), "grouped")
+    first = save(statistics(docs, carry), "statistics")
+    read = save(grouped(first), "grouped")
+    drop(first)
     # the estimates are of texts that pass the base rule: shorter ones have no stable shares
     solid = read.where(~F.col("base_failed"))
     groups = estimates(solid)

@@ -21,8 +21,9 @@ def save(df: DataFrame, label: str) -> DataFrame:
     return kept
 
 
-def drop(df: DataFrame) -> None:
-    """Delete a table that ``save`` wrote and that no later plan reads."""
-    spark: SparkSession = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df.llm_path)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def drop(*tables: DataFrame) -> None:
+    """Delete tables that ``save`` wrote and that no later plan reads."""
+    for df in tables:
+        spark: SparkSession = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.llm_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
