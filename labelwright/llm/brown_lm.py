@@ -154,7 +154,10 @@ def best_class(own: int, after: np.ndarray, before: np.ndarray, twin: float, big
     # the cell of a class with itself gets both sides and the word's own pairs at once
     diag = rest[k, k]
     gain += _phi(diag + after[k] + before[k] + twin) - _phi(diag + after[k]) - _phi(diag + before[k]) + _phi(diag)
-    size, weight = rest.sum(axis=1)[:classes], after.sum() + twin
+    # words of a class, of its present one without this word; pairs into the word stay with their class
+    weight = after.sum() + twin
+    size = big.sum(axis=1)[:classes]
+    size[own] -= weight
     gain -= 2 * (_phi(size + weight) - _phi(size))
     best = int(gain.argmax())
     return own if gain[own] >= gain[best] - 1e-9 else best
