@@ -330,6 +330,52 @@ def test_lines_exact_by_brute_force(spark, sf_dir, docs):
     assert len(out) == len(docs) and total <= dropped <= 1.2 * total + 20
 
 
+def near_lines(changed):
+    """Lines of 12 to 40 words, each with a copy that has this share of its words changed for words as long."""
+    rnd = random.Random(changed)
+    word = lambda size: "".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=size))
+    vocab = [word(rnd.randint(2, 9)) for _ in range(5000)]
+    out = []
+    for k in range(300):
+        line = rnd.sample(vocab, rnd.randint(12, 40))
+        copy = list(line)
+        for at in rnd.sample(range(len(line)), max(1, int(changed * len(line)))):
+            copy[at] = word(len(copy[at]))
+        out += [(2 * k, " ".join(line)), (2 * k + 1, " ".join(copy))]
+    return out
+
+
+def edits(x, y):
+    row = list(range(len(y) + 1))
+    for i, a in enumerate(x, 1):
+        last, row[0] = row[0], i
+        for j, b in enumerate(y, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (a != b))
+    return row[-1]
+
+
+def test_line_recall(spark):
+    """Of the copies at an edit similarity of 0.8 to 0.95 nearly all are found, nothing else."""
+    for changed in (0.05, 0.1, 0.19):
+        rows = near_lines(changed)
+        want = {b[0] for a, b in zip(rows[::2], rows[1::2], strict=True) if edits(a[1], b[1]) <= max(len(a[1]), len(b[1])) // 5}
+        out = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"))
+        got = {r.doc_id for r in out.where("dropped > 0").select("row.doc_id").collect()}
+        assert got <= want and len(got) >= 0.97 * len(want) and len(want) > 200
+
+
+def test_line_hot_template(spark, monkeypatch):
+    """In a crowded bucket a line meets all others, not the next ones only."""
+    monkeypatch.setattr(line_dedup, "BLOCK", 50)
+    rnd = random.Random(8)
+    word = lambda size: "".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=size))
+    head = [word(6) for _ in range(20)]
+    rows = [(i, " ".join(head + [word(6) for _ in range(14)])) for i in range(400)]
+    rows += [(400 + i, rows[i * 13][1][:-2] + "zq") for i in range(30)]
+    out = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id for r in out.where("dropped > 0").select("row.doc_id").collect()} == set(range(400, 430))
+
+
 def test_line_edges(edge, nothing):
     out = line_dedup.dedup_lines(edge)
     assert out.count() == edge.count() and out.select("row.*").columns == edge.columns
