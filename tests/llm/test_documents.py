@@ -376,6 +376,16 @@ def test_line_hot_template(spark, monkeypatch):
     assert {r.doc_id for r in out.where("dropped > 0").select("row.doc_id").collect()} == set(range(400, 430))
 
 
+def test_no_line_vanishes(spark):
+    """A document of little but repeats stays if another one lost a line to it."""
+    rnd = random.Random(4)
+    long = [" ".join(f"w{rnd.randrange(10**6)}" for _ in range(30)) for _ in range(4)]
+    own = [" ".join(f"v{rnd.randrange(10**6)}" for _ in range(8)) for _ in range(2)]
+    rows = [(1, "\n".join(long)), (2, "\n".join([own[0], *long])), (3, "\n".join([own[0], own[1]])), (4, "\n".join(long)), (5, None), (6, "")]
+    got = {r.doc_id: r.text for r in line_dedup.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: rows[0][1], 2: own[0], 3: own[1], 5: None, 6: ""}
+
+
 def test_line_edges(edge, nothing):
     out = line_dedup.dedup_lines(edge)
     assert out.count() == edge.count() and out.select("row.*").columns == edge.columns
