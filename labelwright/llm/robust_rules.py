@@ -31,8 +31,10 @@ STEPS = 4
 CHI_REWEIGHT = 11.143
 CUTOFF = 28.5
 #: Least standard deviation of each statistic: shares that are zero in nearly all clean texts would
-#: otherwise have no scatter at all and any other value would be infinitely far away.
-FLOORS = {"x_length": 0.08, "x_symbols": 0.05, "x_lines": 0.20, "x_repeats": 0.20}
+#: otherwise have no scatter at all and any other value would be infinitely far away. The root of a
+#: share of n independent things has the binomial error 1 / (2 sqrt(n)); here n is that of the
+#: shortest clean text: 12 lines, and ``MIN_WORDS`` words of which three go together.
+FLOORS = {"x_length": 0.08, "x_symbols": 0.05, "x_lines": 0.5 / 12**0.5, "x_repeats": 0.5 / (MIN_WORDS / 3) ** 0.5}
 VECTOR = list(FLOORS)
 PAIRS = [(i, j) for i in range(len(VECTOR)) for j in range(i + 1)]
 

@@ -57,6 +57,24 @@ def test_quality_outliers(spark):
     assert kept == set(range(450))
 
 
+def test_quality_each_statistic(spark):
+    """Each statistic alone rejects a planted outlier that passes the base rule; moderate values stay."""
+    rnd = random.Random(6)
+    word = lambda size=None: "".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=size or rnd.randint(3, 8)))
+    plain = lambda n: [" ".join(word() for _ in range(10)) for _ in range(n)]
+    phrase = lambda share: " ".join(" ".join(["one same phrase"] * (k % 100 < 100 * share) or [word() for _ in range(3)]) for k in rnd.sample(range(100), 100))
+    texts = ["\n".join(plain(rnd.randint(6, 30))) for _ in range(300)]
+    lines = plain(16)
+    texts += ["\n".join([*lines, *lines[:2]]), phrase(0.15)]
+    stay = len(texts)
+    texts += ["\n".join([" ".join(plain(60)), *["x"] * 40]), phrase(0.45), " ".join(plain(10)) + " #" * 60, " ".join(word(19) for _ in range(200))]
+    rows = [(i, t, "en", "s") for i, t in enumerate(texts)]
+    out = robust_rules.screen(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), ["doc_id"])
+    got = {r.row.doc_id: r for r in out.collect()}
+    assert not any(r.base_failed for r in got.values())
+    assert {i for i, r in got.items() if r.kept} == set(range(stay))
+
+
 def test_quality_edges(edge, nothing):
     out = robust_rules.screen(edge, edge.columns).collect()
     assert len(out) == edge.count()
