@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelwright.llm import bestfit, brown_lm, credential_link, fst_bpe, host_reputation, line_dedup, lsh_forest, pstable, robust_rules, style_tree
+from labelwright.llm import bestfit, brown_lm, credential_link, fst_bpe, host_reputation, line_dedup, lsh_forest, pstable, robust_rules, simplex_clusters, stratified_search, style_tree
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -101,6 +101,26 @@ def op6_variable_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bestfit.packed(docs, ["doc_id"]).select("row.doc_id", "piece", "start", "n_tokens", "shard", "bin", "offset", "capacity")
 
 
+@query
+def op11_simplex_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    out = simplex_clusters.cluster(vectors, ["vec_id"])
+    return out.select("row.vec_id", "cluster", "distance", "cluster_inertia", "inertia", simplex_clusters.digest().alias("centroid_sha256"))
+
+
+ORACLES["op11_simplex_clusters"] = simplex_clusters.sql()
+
+
+@query
+def op12_stratified_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
+    return stratified_search.search(docs, items, ["item_id"]).select("row.item_id", "rank", "doc_id", "score")
+
+
+ORACLES["op12_stratified_search"] = stratified_search.SQL
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
