@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelwright.llm import bestfit, brown_lm, credential_link, fst_bpe, host_reputation, line_dedup, lsh_forest, pstable, robust_rules, simplex_clusters, stratified_search, style_tree
+from labelwright.llm import bestfit, brown_lm, credential_link, fst_bpe, host_reputation, line_dedup, lsh_forest, phrase_fingerprint, pstable, robust_rules, simplex_clusters, stratified_search, style_tree
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -121,6 +121,13 @@ def op12_stratified_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLES["op12_stratified_search"] = stratified_search.SQL
 
 
+@query
+def op13_phrase_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    out = phrase_fingerprint.fingerprints(docs, ["doc_id"])
+    return out.select("row.doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
