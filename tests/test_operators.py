@@ -1,6 +1,7 @@
 """Golden cases and invariants of the other operators."""
 
 import datetime as dt
+import math
 import random
 
 import pytest
@@ -163,11 +164,44 @@ def test_recommendations(spark):
     other = ("other", {"fiber": 3.0})
     got = nutrition.recommendations(nutrition.score_scans(scans, page(better, worse, other))).collect()
     assert [r["candidate_id"] for r in got] == [0]
-    status = lambda *p: nutrition.recommendation_status(nutrition.score_scans(scans, page(*p))).first()["status"]
+    status = lambda *p: nutrition.recommendation_status(scans, nutrition.score_scans(scans, page(*p))).first()["status"]
     assert status(worse) == "scanned_competitive"
     assert status(other) == "no_comparable_products"
 
 
+def test_recommendations_in_blocks(spark, monkeypatch):
+    """The same five whatever the blocks, with a front that most products are in and products that tie."""
+    rnd = random.Random(4)
+    pick = lambda: {k: float(rnd.randrange(1, 40)) for k in ("sugars", "saturated-fat", "energy-kcal", "fat") if rnd.random() > 0.1}
+    made = [(i, "biscuits", f"p{i}", {f"{k}_100g": v for k, v in pick().items()}, float(rnd.randrange(5))) for i in range(700)]
+    products = spark.createDataFrame(made, "product_id long, category string, name string, nutriments map<string,double>, popularity double")
+    scans = products.where("product_id < 150").select(
+        F.concat(F.lit("s"), "product_id").alias("scan_id"), "category", nutrition.canonical_nutriments(F.col("nutriments")).alias("values"), F.lit(0.9).alias("category_confidence")
+    )
+    weights = nutrition.PROFILES["biscuits"]
+    keep = {"sugars": "sugars", "saturatedFat": "saturated-fat", "energy": "energy-kcal", "totalFat": "fat"}
+
+    def score(scan, product):
+        pairs = [(w, max(-1, min(1, (scan[k] - product[k]) / scan[k]))) for k, (w, _) in weights.items() if k in scan and k in product]
+        if pairs:
+            return math.floor(math.floor(sum(w * d for w, d in pairs) / sum(w for w, _ in pairs) * 1e9 + 0.5) / 1e9 * 1000 + 0.5) / 1000
+
+    values = {i: {k: n[f"{f}_100g"] for k, f in keep.items() if f"{f}_100g" in n} for i, _, _, n, _ in made}
+    popularity = {i: p for i, _, _, _, p in made}
+    want = {}
+    for i in range(150):
+        found = [(-x, -popularity[j], j) for j, v in values.items() if v and (x := score(values[i], v)) is not None and x > 0.02]
+        want[f"s{i}"] = [j for *_, j in sorted(found)[:5]]
+    for block, part in ((2048, 4096), (37, 20)):
+        monkeypatch.setattr(nutrition, "BLOCK", block)
+        monkeypatch.setattr(nutrition, "SCANS", part)
+        rows = nutrition.recommendations(nutrition.score_scans(scans, nutrition.comparable(products))).collect()
+        got = {k: [] for k in want}
+        for r in sorted(rows, key=lambda r: r.position):
+            got[r.scan_id].append(r.candidate_id)
+        assert got == want
+
+
 def test_learning_score(spark):
     row = lambda conf, consent: (1, consent, "proprietary", conf, "1", "1 g", "PASS", "food", False)
     schema = "sample_id int, consent string, source_type string, confidence double, mrp string, net_quantity string, compliance_status string, category string, user_corrected boolean"
