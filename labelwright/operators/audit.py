@@ -96,9 +96,8 @@ def ocr_baseline(readings: DataFrame) -> DataFrame:
         F.min("confidence").alias("min_confidence"),
         F.max("confidence").alias("max_confidence"),
     )
-    counts = ranking.value_counts(readings, ["view"], "confidence")
-    upper = ranking.order_statistic("confidence", F.floor(F.col("total") / 2) + 1)
-    return totals.join(counts.groupBy("view").agg(upper.alias("median_confidence")), "view", "left")
+    upper = ranking.order_statistics(readings, ["view"], "confidence", {"median_confidence": lambda n: F.floor(n / 2) + 1})
+    return totals.join(upper.drop("total"), "view", "left")
 
 
 def field_coverage(products: DataFrame, fields: list[str]) -> DataFrame:
@@ -114,15 +113,19 @@ def field_coverage(products: DataFrame, fields: list[str]) -> DataFrame:
 
 def latency_stats(runs: DataFrame, keys: list[str], value: str = "seconds") -> DataFrame:
     """Mean, median, extremes and the exclusive 95th percentile per key."""
-    counts = ranking.value_counts(runs, keys, value)
     basic = runs.groupBy(*keys).agg(
         F.count(value).alias("n"), half_up(F.avg(value), 6).alias("mean"), F.min(value).alias("min"), F.max(value).alias("max")
     )
-    low = ranking.order_statistic(value, F.floor((F.col("total") + 1) / 2))
-    high = ranking.order_statistic(value, F.floor(F.col("total") / 2) + 1)
-    median = counts.groupBy(*keys).agg(half_up((low + high) / 2, 6).alias("median"))
-    p95 = ranking.exclusive_quantile(counts, keys, value, 19, 20).select(*keys, half_up(F.col("quantile"), 6).alias("p95"))
-    return basic.join(median, keys).join(p95, keys)
+    ranks = {
+        "low": lambda n: F.floor((n + 1) / 2),
+        "high": lambda n: F.floor(n / 2) + 1,
+        "p_low": lambda n: ranking.exclusive_place(n, 19, 20)[0],
+        "p_high": lambda n: ranking.exclusive_place(n, 19, 20)[0] + 1,
+    }
+    at = ranking.order_statistics(runs, keys, value, ranks)
+    p95 = ranking.exclusive_quantile(F.col("p_low"), F.col("p_high"), F.col("total"), 19, 20)
+    at = at.select(*keys, half_up((F.col("low") + F.col("high")) / 2, 6).alias("median"), half_up(p95, 6).alias("p95"))
+    return basic.join(at, keys)
 
 
 def failure_class(error: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Mapping
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -38,34 +40,59 @@ def numbered(df: DataFrame, order: list[str], name: str = "n", start: int = 0, t
     return rows.drop("_part", "_place", "_before", "_total")
 
 
-def value_counts(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Values of each group with their count and the number of rows up to and including them.
+#: Bins of a histogram pass.
+BINS = 1024
+
 
-    Counting first means that the window sees each distinct value once; a measured value
-    (a latency in milliseconds, a two-digit confidence) has few of those however many rows there are.
+def order_statistics(df: DataFrame, keys: list[str], value: str, ranks: Mapping[str, Callable[[Column], Column]]) -> DataFrame:
+    """Per group the number of values as ``total`` and the exact values at the given ranks.
+
+    ``ranks`` names each wanted value and gives its 1-based rank from the column of totals; ranks
+    beyond the ends give the ends. Selection is by histogram passes: values are counted once, then
+    every pass cuts the interval that holds a rank into ``BINS`` and goes on with the bin that holds
+    it, between the smallest and the largest value found in that bin, until both are the same. The
+    passes combine before the shuffle and a window only ever sees the bins; no group's values are
+    sorted or gathered. A pass narrows the interval a thousandfold, so few are needed whatever the
+    number of rows. Null and NaN values are left out.
     """
-    counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("rows"))
-    upto = W.partitionBy(*keys).orderBy(value).rowsBetween(W.unboundedPreceding, 0)
-    whole = W.partitionBy(*keys)
-    return counted.withColumn("upto", F.sum("rows").over(upto)).withColumn("total", F.sum("rows").over(whole))
-
-
-def order_statistic(value: str, rank: Column) -> Column:
-    """Aggregate over ``value_counts`` rows: the value at a 1-based rank."""
-    return F.min(F.when(F.col("upto") >= rank, F.col(value)))
-
-
-def exclusive_quantile(counted: DataFrame, keys: list[str], value: str, i: int, parts: int) -> DataFrame:
-    """The ``i``-th of ``parts`` cut points by the exclusive method: position i(n+1)/parts, its
-    index held inside 1 … n−1, so it may extrapolate; 0 for fewer than two values."""
-    position = F.col("total") * i + i
-    j = F.greatest(F.lit(1), F.least(F.floor(position / parts), F.col("total") - 1))
-    delta = position - j * parts
-    agg = counted.groupBy(*keys).agg(
-        order_statistic(value, j).alias("_low"),
-        order_statistic(value, j + 1).alias("_high"),
-        F.max(delta).alias("_delta"),
-        F.max("total").alias("total"),
+    number = F.col(value).cast("double")
+    if not keys:
+        return order_statistics(df.withColumn("_all", F.lit(0)), ["_all"], value, ranks).drop("_all")
+    counted = df.where(number.isNotNull() & ~F.isnan(number)).groupBy(*keys, number.alias("_v")).agg(F.count("*").alias("_rows"))
+    counted = materialize(counted, "counted")
+    whole = counted.groupBy(*keys).agg(F.sum("_rows").alias("total"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    wanted = F.array(*[F.struct(F.lit(name).alias("_name"), f(F.col("total")).cast("bigint").alias("_rank")) for name, f in ranks.items()])
+    state = whole.withColumn("_w", F.explode(wanted)).select(
+        *keys, "total", "_w._name", F.greatest(F.lit(1), F.least("_w._rank", "total")).alias("_rank"), "_lo", "_hi", F.lit(0).cast("bigint").alias("_below")
     )
-    cut = (F.col("_low") * (parts - F.col("_delta")) + F.col("_high") * F.col("_delta")) / parts
-    return agg.select(*keys, F.when(F.col("total") < 2, F.lit(0.0)).otherwise(cut).alias("quantile"))
+    state = materialize(state, "ranks")
+    place = [*keys, "_name"]
+    while not state.where("_lo < _hi").isEmpty():
+        open_ = state.where("_lo < _hi")
+        within = counted.join(open_, keys).where(F.col("_v").between(F.col("_lo"), F.col("_hi")))
+        # halves, so that the width is finite; a width below the smallest number has two bins
+        share = F.try_divide(F.col("_v") / 2 - F.col("_lo") / 2, F.col("_hi") / 2 - F.col("_lo") / 2)
+        at = F.coalesce(F.floor(share * BINS), (F.col("_v") > F.col("_lo")).cast("bigint"))
+        bins = within.groupBy(*place, "total", "_rank", "_below", F.least(at, F.lit(BINS - 1)).alias("_bin")).agg(
+            F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_rows").alias("_n")
+        )
+        upto = F.col("_below") + F.sum("_n").over(W.partitionBy(*place).orderBy("_bin").rowsBetween(W.unboundedPreceding, 0))
+        hit = bins.withColumn("_upto", upto).where((F.col("_upto") >= F.col("_rank")) & (F.col("_upto") - F.col("_n") < F.col("_rank")))
+        narrowed = hit.select(*keys, "total", "_name", "_rank", "_lo", "_hi", (F.col("_upto") - F.col("_n")).alias("_below"))
+        state = materialize(narrowed.unionByName(state.where("_lo >= _hi")), "ranks")
+    found = [F.max(F.when(F.col("_name") == name, F.col("_lo"))).alias(name) for name in ranks]
+    return state.groupBy(*keys, "total").agg(*found)
+
+
+def exclusive_place(total: Column, i: int, parts: int) -> tuple[Column, Column]:
+    """Rank below the ``i``-th of ``parts`` cut points by the exclusive method, and how far beyond it the
+    point lies (in ``parts``-ths of a step): position i(n+1)/parts, its index held inside 1 ... n-1."""
+    position = total * i + i
+    j = F.greatest(F.lit(1), F.least(F.floor(position / parts), total - 1))
+    return j, position - j * parts
+
+
+def exclusive_quantile(low: Column, high: Column, total: Column, i: int, parts: int) -> Column:
+    """The cut point between the values at its rank and the next one, so it may extrapolate; 0 for fewer than two values."""
+    _, delta = exclusive_place(total, i, parts)
+    return F.when(total < 2, F.lit(0.0)).otherwise((low * (parts - delta) + high * delta) / parts)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from labelwright.functions.hashing import hex_bucket
 from labelwright.functions.literals import map_of
 from labelwright.functions.rounding import half_up
+from labelwright.operators import ranking
 
 # ---- Fixed values --------------------------------------------------------------------------
 MIN_SAMPLES = 1000
@@ -63,12 +64,35 @@ def rollback_alerts(events: DataFrame, size: str) -> DataFrame:
     )
 
 
-def drift(events: DataFrame, size: str, p95: Column | None = None) -> DataFrame:
-    """95th percentile of latency and share of empty results; exact in batch, approximate in a stream."""
-    quantile = F.percentile("latency_ms", F.lit(0.95)) if p95 is None else p95
+def drift(events: DataFrame, size: str) -> DataFrame:
+    """95th percentile of latency (interpolated, exact) and share of empty results per time window.
+
+    Ranks are found by histogram passes, so no window's latencies are gathered.
+    """
+    timed = events.select(F.window("ts", size).alias("window"), "latency_ms", "prediction_count")
+    empty = timed.groupBy("window").agg((F.count_if(F.col("prediction_count") == 0) / F.count("*")).alias("empty"))
+    at = lambda n: (n - 1) * 0.95
+    ranks = {"low": lambda n: F.floor(at(n)) + 1, "high": lambda n: F.ceil(at(n)) + 1}
+    found = ranking.order_statistics(timed, ["window"], "latency_ms", ranks)
+    part = at(F.col("total")) - F.floor(at(F.col("total")))
+    p95 = found.select("window", (F.col("low") + (F.col("high") - F.col("low")) * part).alias("p95"))
+    return _drifted(empty.join(p95, "window", "left"))
+
+
+#: The stream's 95th percentile is that of a mergeable sketch: the value returned is an element whose rank is
+#: off by at most one part in so many; windows of fewer rows are exact.
+SKETCH = 10_000
+
+
+def drift_in_stream(events: DataFrame, size: str) -> DataFrame:
+    """The same with a sketch of bounded size as the state of a window."""
     agg = events.groupBy(F.window("ts", size).alias("window")).agg(
-        quantile.alias("p95"), (F.count_if(F.col("prediction_count") == 0) / F.count("*")).alias("empty")
+        F.percentile_approx("latency_ms", 0.95, SKETCH).alias("p95"), (F.count_if(F.col("prediction_count") == 0) / F.count("*")).alias("empty")
     )
+    return _drifted(agg)
+
+
+def _drifted(agg: DataFrame) -> DataFrame:
     return agg.select(
         *_times(), half_up(F.col("p95"), 4).alias("p95_ms"), half_up(F.col("empty"), 6).alias("no_detection_rate"),
         (F.col("p95") > MAX_P95_MS).alias("slow"), (F.col("empty") > MAX_NO_DETECTION).alias("blind"),

@@ -57,8 +57,7 @@ def health(events: DataFrame, size: str, min_samples: int, slide: str | None = N
 
 
 def drift(events: DataFrame, size: str) -> DataFrame:
-    approx = F.percentile_approx("latency_ms", 0.95, 10000)
-    return telemetry.drift(events.withWatermark("ts", WATERMARK), size, approx)
+    return telemetry.drift_in_stream(events.withWatermark("ts", WATERMARK), size)
 
 
 def without_repeats(samples: DataFrame, key: str, ts: str = "ts") -> DataFrame:

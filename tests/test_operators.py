@@ -115,11 +115,36 @@ def test_exclusive_quantile(spark, values):
     import statistics
 
     df = spark.createDataFrame([("a", v) for v in values], "k string, v double")
-    got = ranking.exclusive_quantile(ranking.value_counts(df, ["k"], "v"), ["k"], "v", 19, 20).first()["quantile"]
+    at = lambda n: ranking.exclusive_place(n, 19, 20)[0]
+    found = ranking.order_statistics(df, ["k"], "v", {"low": at, "high": lambda n: at(n) + 1})
+    got = found.select(ranking.exclusive_quantile(F.col("low"), F.col("high"), F.col("total"), 19, 20).alias("q")).first()["q"]
     want = statistics.quantiles(values, n=20)[18] if len(values) > 1 else 0.0
     assert got == pytest.approx(want)
 
 
+def test_order_statistics_of_any_values(spark, monkeypatch):
+    """Exact ranks of continuous, tied, tiny and huge values, in groups of which one holds most rows."""
+    monkeypatch.setattr(ranking, "BINS", 8)
+    rnd = random.Random(3)
+    groups = {
+        "hot": [rnd.gauss(0, 1e3) for _ in range(3000)] + [17.0] * 2000,
+        "wide": [rnd.choice([-1, 1]) * 10.0 ** rnd.randint(-12, 12) for _ in range(300)] + [1.7e308, -1.7e308, 5e-324, 0.0],
+        "tie": [2.5] * 40,
+        "one": [-1.0],
+    }
+    rows = [(k, v) for k, vs in groups.items() for v in vs] + [("hot", None), ("hot", float("nan")), ("none", None)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    ranks = {"least": lambda n: F.lit(1), "third": lambda n: F.floor(n / 3) + 1, "median": lambda n: F.floor((n + 1) / 2), "past": lambda n: n + 5}
+    got = {r.k: r for r in ranking.order_statistics(df, ["k"], "v", ranks).collect()}
+    assert set(got) == set(groups)
+    for k, vs in groups.items():
+        vs, n = sorted(vs), len(vs)
+        assert (got[k].total, got[k].least, got[k].third, got[k].median, got[k].past) == (n, vs[0], vs[n // 3], vs[(n + 1) // 2 - 1], vs[-1])
+    whole = ranking.order_statistics(df, [], "v", {"median": lambda n: F.floor((n + 1) / 2)}).first()
+    every = sorted(v for vs in groups.values() for v in vs)
+    assert whole["median"] == every[(len(every) + 1) // 2 - 1]
+
+
 def test_split_is_disjoint_and_exact(spark):
     products = spark.range(503).select(F.concat(F.lit("p"), F.col("id").cast("string")).alias("product_id"))
     out = splits.seeded_split(products, "s")
