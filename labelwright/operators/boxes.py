@@ -174,14 +174,20 @@ def labelled_values(detections: DataFrame, wanted=tuple(FIELDS)) -> DataFrame:
         "image_id", "field", F.lit(0.0).alias("dist"), F.col("a.det_id").alias("anchor"), none.alias("first"),
         none.alias("second"), F.lit(0.0).alias("hop"), F.col("own").alias("value"), F.col("a.confidence").alias("confidence"),
     )
-    near = neighbours(anchors.filter(F.col("own").isNull()), detections, F.col("size") * NEAR)
+    # a value in a label's own box has distance zero: no other label of that image and field can win
+    settled = same_box.select("image_id", "field").distinct()
+    open_ = anchors.filter(F.col("own").isNull()).join(settled, ["image_id", "field"], "left_anti")
+    near = neighbours(open_, detections, F.col("size") * NEAR)
     near = materialize(settle(near, "direct", _read(F.col("field"), F.col("b.text"), F.col("b.text"), wanted)), "near")
     one_hop = near.filter(F.col("direct").isNotNull()).select(
         "image_id", "field", "dist", F.col("a.det_id").alias("anchor"), F.col("b.det_id").alias("first"), none.alias("second"),
         F.lit(0.0).alias("hop"), F.col("direct").alias("value"),
         ((F.col("a.confidence") + F.col("b.confidence")) / 2).alias("confidence"),
     )
-    outer = near.filter(F.col("direct").isNull()).select(
+    # the first hop orders the results: boxes farther than the nearest one with a value start no second hop
+    nearest = near.filter(F.col("direct").isNotNull()).groupBy("image_id", "field").agg(F.min("dist").alias("best"))
+    outer = near.filter(F.col("direct").isNull()).join(nearest, ["image_id", "field"], "left")
+    outer = outer.filter(F.col("best").isNull() | (F.col("dist") <= F.col("best"))).select(
         "image_id", "field", "size", F.col("dist").alias("first_dist"), F.col("a").alias("anchor_box"), F.col("b").alias("a")
     )
     pairs = neighbours(outer, detections, F.col("size") * 8).filter(F.col("b.det_id") != F.col("anchor_box.det_id"))
