@@ -18,3 +18,8 @@ def known(value: Column) -> Column:
 
 def listed(names: Column, name: Column) -> Column:
     return F.coalesce(F.array_contains(names, name), F.lit(False))
+
+
+def plain_number(value: Column) -> Column:
+    """A number as people write it: no point where nothing follows it."""
+    return F.regexp_replace(value.cast("string"), r"\.0$", "")

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelwright.functions import quantity
-from labelwright.functions.evidence import has_value, known, listed
+from labelwright.functions.evidence import has_value, known, listed, plain_number
 from labelwright.functions.literals import map_of
 from labelwright.functions.plan import spread
 from labelwright.functions.rounding import half_up
@@ -278,15 +278,20 @@ def _measurement(key: Column, rule_id: Column, thresholds: Mapping[str, float],
     )
 
 
-def _panel(key: Column) -> Column:
-    """Location of the fused declarations relative to the detected display panel."""
-    review = lambda code: _outcome("REVIEW", code)
-    relevant = F.filter(
+def _panel_declarations() -> Column:
+    """Fused declarations that have to stand on a package and were read."""
+    return F.filter(
         F.col("panel_fields"),
         lambda f: F.array_contains(F.array(*[F.lit(m) for m in MANDATORY_FIELDS]), f["field"])
         & has_value(f["value"])
         & (f["value"] != "REVIEW"),
     )
+
+
+def _panel(key: Column) -> Column:
+    """Location of the fused declarations relative to the detected display panel."""
+    review = lambda code: _outcome("REVIEW", code)
+    relevant = _panel_declarations()
     some = lambda test: F.exists(relevant, test)
     relation = lambda f: F.coalesce(f["relation"], F.lit("UNKNOWN"))
     status = F.col("visual_status")
@@ -354,11 +359,60 @@ def permissible_error(products: DataFrame) -> DataFrame:
     )
 
 
+# Fixed value: where the clauses are published.
+SOURCE_DOCUMENT = "Legal Metrology (Packaged Commodities) Rules, 2011 (as amended)"
+_MEASURED = ["CALIBRATION_NOT_TRUSTED", "NO_VERIFIED_THRESHOLD", "MEETS_THRESHOLD", "BELOW_THRESHOLD", "STRADDLES_THRESHOLD"]
+_PLACED = ["FIELD_LOW_CONFIDENCE", "FIELD_OUTSIDE", "FIELD_PARTIAL", "FIELD_RELATION_UNKNOWN", "ALL_INSIDE"]
+
+
+def _item(field: Column, value: Column, source: str | Column, state: str | Column = "PRESENT", confidence: Column | None = None) -> Column:
+    text = lambda x: F.lit(x) if isinstance(x, str) else x
+    known_to = F.lit(None).cast("double") if confidence is None else confidence.cast("double")
+    return F.struct(field.alias("field"), value.alias("value"), text(source).alias("source"), text(state).alias("state"), known_to.alias("confidence"))
+
+
+def _evidence(number: Column, key: Column, evaluator: Column, outcome: Column) -> Column:
+    """What led to an outcome: array of (field, value, source, state, confidence), empty where nothing did.
+
+    A confirmed absence is an item without value; a declaration gives its value, read or explicit;
+    a measurement its height; the panel clause every fused declaration with its place and confidence.
+    """
+    reason = outcome["reason_code"]
+    said = F.concat_ws(" ", plain_number(F.col("net_value")), F.col("net_unit"))
+    seen = F.concat_ws(" ", plain_number(F.col("observed_value")), F.col("observed_unit"))
+    value = (
+        F.when(key == "netQuantity", said)
+        .when(key == "mrp", plain_number(F.col("mrp")))
+        .when(key == "consumerCareDetails", F.concat_ws(", ", "care_phone", "care_email"))
+        .otherwise(F.trim(F.col("declared")[key]))
+    )
+    origin = F.when(number.isin("7", "8", "9"), F.lit("explicit")).otherwise(F.lit("ocr"))
+    quantity_item = _item(F.lit("netQuantity"), said, "ocr")
+    placed = F.transform(_panel_declarations(), lambda f: _item(f["field"], f["value"], "vision", F.coalesce(f["relation"], F.lit("UNKNOWN")), f["confidence"]))
+    height = F.format_string("%.2f mm", F.col("physical_height"))
+    return _chain(
+        [
+            (reason == "CONFIRMED_ABSENT", F.array(_item(key, F.lit(None).cast("string"), "ocr", "ABSENT_CONFIRMED"))),
+            (reason == "NO_EVIDENCE", F.array().cast(_EVIDENCE)),
+            ((evaluator == "permissible_error") & (reason != "NO_MEASUREMENT"), F.array(quantity_item, _item(F.lit("observedQuantity"), seen, "manual"))),
+            (evaluator == "quantity_expression", F.array(quantity_item)),
+            (reason.isin("PRESENT", "MALFORMED"), F.array(_item(key, value, origin))),
+            ((evaluator == "measurement") & reason.isin(_MEASURED), F.array(_item(key, height, "measurement"))),
+            ((evaluator == "panel") & reason.isin(_PLACED), placed),
+        ],
+        F.array().cast(_EVIDENCE),
+    )
+
+
+_EVIDENCE = "array<struct<field:string,value:string,source:string,state:string,confidence:double>>"
+
+
 def evaluate(products: DataFrame, rule_numbers=("6", "7", "8", "9", "11"), thresholds=None, trusted=()) -> DataFrame:
     """Checks of the given rules in one pass.
 
-    Outcomes that depend on the product alone are worked out before the clauses are
-    exploded. Out-of-scope products have no checks of rules 6 to 9; products with an
+    Each check carries the evidence that led to it, its legal source and the least confidence of its
+    evidence (null where none states one). Outcomes that depend on the product alone are worked out
+    before the clauses are exploded. Out-of-scope products have no checks of rules 6 to 9; products with an
     open scope have none of rules 7 to 9.
     """
     ready = (
@@ -408,8 +462,15 @@ def evaluate(products: DataFrame, rule_numbers=("6", "7", "8", "9", "11"), thres
             "c.automation_level",
             "o.status",
             "o.reason_code",
-            F.when(F.col("o.status") == "PASS", F.col("declared")[key]).alias("evidence_value"),
+            F.when(
+                F.col("fits.status") == "APPLICABLE", _evidence(number, key, F.col("c.evaluator"), F.col("o"))
+            ).otherwise(F.array().cast(_EVIDENCE)).alias("evidence"),
+            F.struct(
+                F.lit(SOURCE_DOCUMENT).alias("document"), number.alias("rule_number"), F.col("c.rule_id").alias("rule_id"),
+                F.lit(None).cast("date").alias("effective_from"), F.lit(None).cast("date").alias("effective_to"),
+            ).alias("source"),
         )
+        .withColumn("confidence", F.array_min(F.transform("evidence", lambda e: e["confidence"])))
     )
 
 

@@ -275,7 +275,34 @@ _EVALUATE = f"""CASE evaluator WHEN 'presence' THEN {_PRESENCE} WHEN 'generic' T
  WHEN 'quantity_expression' THEN CASE WHEN {_GONE % "'netQuantity'"} THEN 'FAIL:CONFIRMED_ABSENT'
    WHEN net_value IS NULL AND net_unit IS NULL THEN 'REVIEW:NO_EVIDENCE' WHEN bad IS NOT NULL THEN 'FAIL:' || bad ELSE 'PASS:PRESENT' END
  WHEN 'permissible_error' THEN {_MPE} ELSE 'REVIEW:NO_EVALUATOR' END"""
-_CHECKS = f"""SELECT product_id, user_id, rule_number, rule_id, clause_key, automation_level, declared,
+_PLAIN = lambda x: f"regexp_replace(CAST({x} AS VARCHAR), '\\.0$', '')"
+_ITEM = lambda field, value, source, state="'PRESENT'", conf="CAST(NULL AS DOUBLE)": f"{{'field': {field}, 'value': {value}, 'source': {source}, 'state': {state}, 'confidence': {conf}}}"
+_SAID_Q = f"concat_ws(' ', {_PLAIN('net_value')}, net_unit)"
+_PANEL_ITEMS = ", ".join(
+    _ITEM(f"'{name}'", v, "'vision'", f"coalesce({r}, 'UNKNOWN')", c)
+    for name, v, c, r in (
+        ("mrp", "CAST(mrp AS VARCHAR)", "mrp_field_confidence", "mrp_relation"),
+        ("netQuantity", "CAST(net_value AS VARCHAR)", "0.95::DOUBLE", "quantity_relation"),
+        ("manufacturerName", "manufacturer_name", "CASE WHEN product_id % 19 = 0 THEN 0.7 ELSE 0.9 END::DOUBLE", _RELATION.format(13)),
+        ("countryOfOrigin", "country_of_origin", "0.9::DOUBLE", _RELATION.format(11)),
+        ("commonGenericName", "common_generic_name", "CASE WHEN product_id % 23 <> 0 THEN 0.85::DOUBLE END", _RELATION.format(17)),
+        ("dateOfPacking", "CAST(date_of_packing AS VARCHAR)", "0.8::DOUBLE", _RELATION.format(29)),
+    )
+)
+_NOTHING = f"list_filter([{_ITEM(chr(39) * 2, chr(39) * 2, chr(39) * 2)}], lambda x: false)"
+_EVIDENCE = f"""CASE WHEN fits NOT LIKE 'APPLICABLE%' THEN {_NOTHING}
+ WHEN o LIKE '%:CONFIRMED_ABSENT' THEN [{_ITEM('clause_key', 'CAST(NULL AS VARCHAR)', "'ocr'", "'ABSENT_CONFIRMED'")}]
+ WHEN o LIKE '%:NO_EVIDENCE' THEN {_NOTHING}
+ WHEN evaluator = 'permissible_error' AND o NOT LIKE '%:NO_MEASUREMENT' THEN [{_ITEM("'netQuantity'", _SAID_Q, "'ocr'")},
+  {_ITEM("'observedQuantity'", f"concat_ws(' ', {_PLAIN('observed_value')}, observed_unit)", "'manual'")}]
+ WHEN evaluator = 'quantity_expression' THEN [{_ITEM("'netQuantity'", _SAID_Q, "'ocr'")}]
+ WHEN o LIKE '%:PRESENT' OR o LIKE '%:MALFORMED' THEN [{_ITEM('clause_key', f"""CASE clause_key WHEN 'netQuantity' THEN {_SAID_Q}
+   WHEN 'mrp' THEN {_PLAIN('mrp')} WHEN 'consumerCareDetails' THEN concat_ws(', ', care_phone, care_email) ELSE trim(declared) END""", "CASE WHEN rule_number IN ('7', '8', '9') THEN 'explicit' ELSE 'ocr' END")}]
+ WHEN evaluator = 'measurement' AND split_part(o, ':', 2) IN ('CALIBRATION_NOT_TRUSTED', 'NO_VERIFIED_THRESHOLD', 'MEETS_THRESHOLD', 'BELOW_THRESHOLD', 'STRADDLES_THRESHOLD')
+  THEN [{_ITEM('clause_key', "printf('%.2f mm', physical_height)", "'measurement'")}]
+ WHEN evaluator = 'panel' AND (o LIKE '%:FIELD_%' OR o LIKE '%:ALL_INSIDE') THEN list_filter([{_PANEL_ITEMS}], lambda x: coalesce(x.value, '') NOT IN ('', 'UNKNOWN', 'REVIEW'))
+ ELSE {_NOTHING} END"""
+_CHECKS = f"""SELECT product_id, user_id, rule_number, rule_id, clause_key, automation_level, declared, {_EVIDENCE} AS evidence,
  split_part(o, ':', 1) AS status, split_part(o, ':', 2) AS reason_code FROM (
  SELECT *, CASE WHEN fits LIKE 'APPLICABLE%' THEN {_EVALUATE} ELSE fits END AS o FROM (
   SELECT *, {_FITS % ('', '')} AS fits, {_DECLARED} AS declared, {_INVALID} AS bad,
@@ -294,7 +321,7 @@ def _check_query(name, numbers):
 
     @query(name, f"SELECT {_CHECK_COLUMNS} FROM ({_CHECKS}) WHERE rule_number IN ({listed})")
     def run(spark, sf):
-        return ops.evaluate(_with_panel(_facts(spark, sf)), numbers, THRESHOLDS, TRUSTED).drop("evidence_value")
+        return ops.evaluate(_with_panel(_facts(spark, sf)), numbers, THRESHOLDS, TRUSTED).drop("evidence", "source", "confidence")
 
     return run
 
@@ -352,9 +379,11 @@ def report_summary(spark, sf):
 
 @query("report_rows", """
 SELECT product_id, coalesce(nullif(common_generic_name, ''), 'Not detected') AS product_name,
+ coalesce(brand_name, 'Not detected') AS brand_name, coalesce(category, 'Unknown') AS category, coalesce(batch_lot_number, 'Not detected') AS batch_lot_number,
+ coalesce(strftime(date_of_packing, '%Y-%m-%d'), 'Not detected') AS date_of_packing,
  coalesce(manufacturer_name, 'Not detected') AS manufacturer_name, coalesce(country_of_origin, 'Not detected') AS country_of_origin,
- CASE WHEN mrp IS NULL OR mrp = 0 THEN 'Not detected' ELSE '₹' || printf('%.2f', mrp) END AS mrp,
- CASE WHEN net_value IS NULL OR net_value = 0 THEN 'Not detected' ELSE printf('%.2f', net_value) || ' ' || net_unit END AS net_quantity,
+ CASE WHEN mrp IS NULL OR mrp = 0 THEN 'Not detected' ELSE '₹' || regexp_replace(CAST(mrp AS VARCHAR), '\\.0$', '') END AS mrp,
+ CASE WHEN net_value IS NULL OR net_value = 0 THEN 'Not detected' ELSE regexp_replace(CAST(net_value AS VARCHAR), '\\.0$', '') || ' ' || net_unit END AS net_quantity,
  coalesce(strftime(date_of_manufacture, '%Y-%m-%d'), 'Not detected') AS date_of_manufacture,
  coalesce(strftime(expiry_date, '%Y-%m-%d'), 'Not detected') AS expiry_date,
  'Phone: ' || coalesce(care_phone, 'N/A') || ', Email: ' || coalesce(care_email, 'N/A') AS consumer_care
@@ -363,12 +392,27 @@ def report_rows(spark, sf):
     return reports.report_rows(_facts(spark, sf))
 
 
-@query("context_projection", f"""SELECT product_id, rule_number, clause_key, status, reason_code,
- concat_ws('|', CASE WHEN status = 'PASS' THEN declared END, automation_level, rule_id) AS evidence
+_LISTED = "array_to_string(list_transform({0}, lambda e: e.field || '=' || coalesce(e.value, '') || '@' || e.source || ':' || e.state), '|')"
+
+
+def _listed(checks):
+    item = lambda e: F.concat(e["field"], F.lit("="), F.coalesce(e["value"], F.lit("")), F.lit("@"), e["source"], F.lit(":"), e["state"])
+    return checks.withColumn("evidence", F.array_join(F.transform("evidence", item), "|"))
+
+
+@query("context_projection", f"""SELECT product_id, rule_number, clause_key, status, reason_code, {_LISTED.format('evidence[1:3]')} AS evidence
  FROM ({_CHECKS}) WHERE status <> 'NOT_APPLICABLE'""")
 def context_projection(spark, sf):
-    checks = _all(spark, sf).withColumn("evidence", F.array_compact(F.array("evidence_value", "automation_level", "rule_id")))
-    return reports.context_projection(checks).withColumn("evidence", F.array_join("evidence", "|"))
+    return _listed(reports.context_projection(_all(spark, sf)))
+
+
+@query("clause_evidence", f"""SELECT product_id, rule_number, clause_key, status, len(evidence)::INT AS items, {_LISTED.format('evidence')} AS evidence,
+ list_min(list_transform(evidence, lambda e: e.confidence)) AS confidence, '{ops.SOURCE_DOCUMENT}' || ' ' || rule_id AS source FROM ({_CHECKS}) WHERE len(evidence) > 0""")
+def clause_evidence(spark, sf):
+    """Checks with what led to them: fields, values, where they come from, and the legal source."""
+    checks = _all(spark, sf).where(F.size("evidence") > 0).withColumn("items", F.size("evidence"))
+    source = F.concat_ws(" ", "source.document", "source.rule_id").alias("source")
+    return _listed(checks).select("product_id", "rule_number", "clause_key", "status", "items", "evidence", "confidence", source)
 
 
 @query("validate_checks", f"""SELECT rule_number, count(*) AS n, count(*) FILTER (WHERE NOT (rule_id <> '' AND

@@ -116,7 +116,9 @@ SELECT p_partkey AS product_id, p_partkey % 20 AS user_id,
   CASE p_partkey % 16 WHEN 0 THEN 'OUTSIDE' WHEN 1 THEN 'PARTIAL' WHEN 2 THEN NULL ELSE 'INSIDE' END AS mrp_relation,
   CASE WHEN p_partkey % 20 = 3 THEN cast(0.7 AS double) ELSE cast(0.9 AS double) END AS mrp_field_confidence,
   CASE WHEN p_partkey % 18 = 5 THEN NULL WHEN p_partkey % 18 = 6 THEN 'OUTSIDE' ELSE 'INSIDE' END AS quantity_relation,
-  date '2022-01-01' + cast(p_partkey % 2500 AS int) AS as_of
+  date '2022-01-01' + cast(p_partkey % 2500 AS int) AS as_of,
+  CASE WHEN p_partkey % 15 <> 0 THEN p_brand END AS brand_name, CASE WHEN p_partkey % 16 <> 0 THEN lower(p_type) END AS category,
+  CASE WHEN p_partkey % 4 <> 3 THEN 'B' || cast(p_partkey * 7 AS string) END AS batch_lot_number
 FROM @part""")
 
 
