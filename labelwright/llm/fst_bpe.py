@@ -25,14 +25,16 @@ import hashlib
 from bisect import insort
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
+from operator import itemgetter
 
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Entries a task keeps of states, pair tests and coded pieces before it starts afresh.
-KEEP = 600_000
+#: Entries a task keeps of states and pair tests, and of coded pieces, before it starts afresh.
+KEEP, CODED = 600_000, 300_000
 _BYTES = [bytes((b,)) for b in range(256)]
 
 
@@ -248,6 +250,12 @@ class Utf8Stream:
         return "�" if left else ""
 
 
+#: Ids of a piece, their number, as text, and the bytes they stand for.
+Coded = tuple[tuple[int, ...], int, str, bytes]
+#: Pieces whose bytes the decoder is fed at once.
+PORTION = 65_536
+
+
 class Codec:
     """Whole texts to ids and back."""
 
@@ -256,22 +264,30 @@ class Codec:
         self.pieces = regex.compile(pattern)
         self.bytes_of = {i: t for t, i in ranks.items()}
         self.written = {i: str(i) for i in ranks.values()}
-        self.coded: dict[str, tuple[int, ...]] = {}
+        self.coded: dict[str, Coded] = {}
+
+    def _coded(self, piece: str) -> Coded:
+        """A piece's ids, their number, as text, and the bytes they stand for."""
+        ids = tuple(self.fst.encode(piece.encode("utf-8", "surrogatepass")))
+        got = (ids, len(ids), " ".join(map(self.written.__getitem__, ids)), self.decode_bytes(ids))
+        if len(piece) <= 64:
+            if len(self.coded) > CODED:
+                self.coded.clear()
+            self.coded[piece] = got
+        return got
+
+    def parts(self, text: str) -> list[Coded]:
+        """The pieces of a text; those seen before are not run through the transducer again."""
+        pieces = self.pieces.findall(text)
+        found = list(map(self.coded.get, pieces))
+        if None in found:
+            get = self.coded.get
+            found = [f or get(p) or self._coded(p) for f, p in zip(found, pieces, strict=True)]
+        return found
 
     def encode(self, text: str) -> list[int]:
-        """The ids of a text; pieces seen before are not run through the transducer again."""
-        out: list[int] = []
-        coded = self.coded
-        for piece in self.pieces.findall(text):
-            ids = coded.get(piece)
-            if ids is None:
-                ids = tuple(self.fst.encode(piece.encode("utf-8", "surrogatepass")))
-                if len(piece) <= 64:
-                    if len(coded) > KEEP:
-                        coded.clear()
-                    coded[piece] = ids
-            out += ids
-        return out
+        """The ids of a text."""
+        return list(chain.from_iterable(map(itemgetter(0), self.parts(text))))
 
     def decode_bytes(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -326,11 +342,13 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         c = codec(path, pattern)
         rows = []
         for t in text:
-            ids = c.encode(t or "")
-            sha = hashlib.sha256()
-            for portion in c.decode(ids, 65536):
-                sha.update(portion.encode("utf-8"))
-            rows.append((len(ids), hashlib.sha256(" ".join(map(c.written.__getitem__, ids)).encode()).hexdigest(), sha.hexdigest()))
+            parts = c.parts(t or "")
+            stream, sha = Utf8Stream(), hashlib.sha256()
+            for k in range(0, len(parts), PORTION):
+                sha.update(stream.feed(b"".join(map(itemgetter(3), parts[k : k + PORTION]))).encode("utf-8"))
+            sha.update(stream.close().encode("utf-8"))
+            written = " ".join(map(itemgetter(2), parts))
+            rows.append((sum(map(itemgetter(1), parts)), hashlib.sha256(written.encode()).hexdigest(), sha.hexdigest()))
         return pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
     # only columns other than the text are carried beside it
