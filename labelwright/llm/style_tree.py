@@ -6,7 +6,8 @@ A node's content importance is one minus the mean entropy of its texts over the
 the entropy of its child sequences. A branch weighs the presentation of its root and the content of
 all below it, and branches under ``LEAST`` are removed from every page of the host, with whatever
 the element names themselves mark as a menu, header, footer, side bar, notice, advert, form, script
-or comment section. Where a page has an article or main element only that is read.
+or comment section. Where article or main elements hold most of what is left of a page only they
+are read; an article that holds little of it is no evidence against the rest.
 
 Defined cases: null or empty html gives an empty text; a null url or one without ``://`` belongs to
 the empty host; hosts of fewer than ``MIN_PAGES`` pages have no evidence and lose only what the
@@ -58,6 +59,26 @@ MARKS = frozenset(
     "ad ads advert advertisement adverts banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs sidebar footer cookie cookies consent gdpr notice popup modal overlay comment comments disqus replies respond share sharing social related recommended newsletter subscribe signup login masthead topbar pagination pager widget skip".split()
 )
 COMMENTS = frozenset(("comment", "comments", "reply"))
+#: Parts of a name that say where or what a box is; a name is marked if it has no parts but these and marks.
+NEUTRAL = frozenset(
+    "site page main global primary secondary mobile desktop user reader blog entry post posts article articles story stories left right top bottom head header upper lower inner outer box bar wrap wrapper container content section area block item items list links link buttons button icon icons slot unit row col column module panel card cards feed thread form text title count more media holder strip zone group bottom floating sticky fixed".split()
+)
+#: Least part of a page's unmarked text that an article must hold for the rest to be left out.
+SHARE_INSIDE = 0.5
+#: Levels of a style node's path; elements below share the node of that depth.
+DEEPEST = 64
+
+
+def marked_name(value: str, marks: frozenset[str] = MARKS) -> bool:
+    """Whether one of the names in a class or id says that the element is not the article.
+
+    ``cookie-notice`` and ``main-menu`` do, ``social-science`` and ``share-prices`` do not.
+    """
+    for name in value.split():
+        parts = [p for p in re.split("[_0-9-]+", name) if p]
+        if not marks.isdisjoint(parts) and all(p in marks or p in NEUTRAL or not p.isalpha() for p in parts):
+            return True
+    return False
 
 
 def blocks(page: str) -> tuple[list[tuple[str, str]], list[tuple[str, str]]]:
@@ -135,20 +156,23 @@ def blocks(page: str) -> tuple[list[tuple[str, str]], list[tuple[str, str]]]:
             elif name == "hidden" or name == "aria-hidden" and value == "true":
                 hidden = True
             else:
-                named += re.split(r"[\s_-]+", value)
+                named.append(value)
                 if name == "class":
-                    style = "." + value.replace("/", "")
+                    # names with digits are often made up for a page
+                    style = "." + " ".join(x for x in value.replace("/", "").split() if x.isascii() and not re.search("[0-9]", x))
         frame = tag in ("html", "body", "article", "main")
-        gone = hidden or tag in DROP or (tag == "header" and not inside) or (not frame and not MARKS.isdisjoint(named)) or (tag == "article" and not COMMENTS.isdisjoint(named))
+        said = " ".join(named)
+        gone = hidden or tag in DROP or (tag == "header" and not inside) or (not frame and marked_name(said)) or (tag == "article" and marked_name(said, COMMENTS))
         if gone and not marked:
             flush()
-        stack.append((tag, f"{above}/{tag}{style}", marked or gone, inside or tag in ("article", "main"), []))
+        path = f"{above}/{tag}{style}" if len(stack) < DEEPEST else above
+        stack.append((tag, path, marked or gone, inside or tag in ("article", "main"), []))
     if at < len(page) and not stack[-1][2]:
         text.append(page[at:])
     flush()
     close(1)
-    if any(inside for *_, inside in out):
-        out = [b for b in out if b[2]]
+    if sum(len(t) for _, t, inside in out if inside) >= SHARE_INSIDE * sum(len(t) for _, t, _ in out):
+        out = [b for b in out if b[2]] or out
     return [(p, t) for p, t, _ in out], shapes
 
 

@@ -135,6 +135,9 @@ def test_style_tree(spark):
         ("<table><tr><td>1<td>2<tr><td>3</table>", "1 2 3"),
         ("<p>before<form><input><p>field</form>after", "before after"),
         ("<main><header>kept title</header>text<aside>no</aside></main><div>outside</div>", "kept title text"),
+        ("<div><p>The whole long text stands here.</div><article><p>teaser</article>", "The whole long text stands here. teaser"),
+        ("<div class='social-science'><p>one</div><div class='share-prices'>two</div><div class='share-buttons'>no</div><p>three", "one two three"),
+        ("<div class='site-nav x'>no</div><div id=top_menu2>no</div><div class='menus of paris'>yes</div>", "yes"),
         ("<div class='cookie-notice'>no<div>no</div></div>yes<footer>no", "yes"),
         ("<p title='a>b'>x</p><!-- <p>no</p> -->y", "x y"),
     ],
@@ -143,6 +146,53 @@ def test_blocks(page, want):
     assert " ".join(t for _, t in style_tree.blocks(page)[0]) == want
 
 
+def test_deep_and_long_pages():
+    deep = "<div>" * 50_000 + "here" + "<div>too" * 200
+    got, shapes = style_tree.blocks(deep)
+    assert " ".join(t for _, t in got) == "here" + " too" * 200
+    assert max(len(p) for p, _ in got) < 1000 and max(len(p) for p, _ in shapes) < 1000
+    long = "<article>" + "<p>word " * 100_000 + "</article>"
+    assert len(style_tree.blocks(long)[0]) == 100_000
+
+
+def test_importance_by_brute_force(spark):
+    rnd = random.Random(3)
+    pages = []
+    for k in range(30):
+        paras = "".join(f"<p>{rnd.choice('abc') if rnd.random() < 0.3 else k}{j}" for j in range(rnd.randint(1, 4)))
+        extra = "<div class=tail><span>see</span> also</div>" if rnd.random() < 0.7 else ""
+        pages.append((f"h{k % 2}.net" if k < 26 else "few.net", f"<body><div class=top><p>Menu</div><div class=text>{paras}</div>{extra}</body>"))
+    texts, seen, shapes = {}, {}, {}
+    above = lambda p: ["/".join(p.split("/")[:n]) for n in range(1, len(p.split("/")) + 1)]
+    for host, page in pages:
+        found, kids = style_tree.blocks(page)
+        for path, text in set(found):
+            texts.setdefault((host, path), {}).setdefault(text, 0)
+            texts[host, path][text] += 1
+        for path in {a for p, _ in found for a in above(p)}:
+            seen[host, path] = seen.get((host, path), 0) + 1
+        for path, k in dict.fromkeys(kids):
+            shapes.setdefault((host, path), {}).setdefault(k, 0)
+            shapes[host, path][k] += 1
+    want = {}
+    for host, path in seen:
+        below = [(h, p) for h, p in texts if h == host and path in above(p) and seen[h, p] >= style_tree.MIN_PAGES]
+        kinds = [(n, seen[b]) for b in below for n in texts[b].values()]
+        if not kinds:
+            continue
+        content = sum(1 - np.log(n) / np.log(m) for n, m in kinds) / len(kinds)
+        n = np.array(list(shapes.get((host, path), {}).values()), dtype=float)
+        shape = content if not len(n) else 1.0 if n.sum() == 1 else float(-(n / n.sum() * np.log(n / n.sum())).sum() / np.log(n.sum()))
+        want[host, path] = style_tree.CONTENT_WEIGHT * content + (1 - style_tree.CONTENT_WEIGHT) * shape
+    from pyspark.sql import functions as F
+
+    parse = F.pandas_udf("blocks array<struct<path:string,text:string>>, shapes array<struct<path:string,kids:string>>")(style_tree._parsed)
+    parsed = spark.createDataFrame(pages, "host string, html string").select("host", parse("html").alias("p")).select("host", "p.*")
+    got = {(r.host, r.path): r.importance for r in style_tree.importance(parsed).collect()}
+    assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    assert not any(h == "few.net" for h, _ in got)
+
+
 # --- pipeline
 
 
