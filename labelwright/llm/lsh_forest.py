@@ -1,6 +1,6 @@
 """Near-duplicate documents by an LSH forest of MinHash signatures.
 
-A document is the set of its distinct 4-word shingles. Equal sets are one class. Of each class,
+A document is the set of its distinct shingles of ``width`` words (``WIDTH`` unless given). Equal sets are one class. Of each class,
 ``TREES`` signatures of ``DEPTH`` min-hashes are sorted, each tree in its own order; neighbours in a
 tree, which are those of the longest common prefix, are candidates. The depth that counts so adapts
 to every region: where many signatures share a prefix, neighbours agree much deeper. Candidates
@@ -50,8 +50,8 @@ def signature(s: np.ndarray) -> np.ndarray:
     return low
 
 
-def _signed(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    shingles = Shingler(WIDTH)
+def _signed(batches: Iterator[pd.Series], width: int = WIDTH) -> Iterator[pd.DataFrame]:
+    shingles = Shingler(width)
     for batch in batches:
         rows = []
         for text in batch:
@@ -142,8 +142,8 @@ def candidates(forest: DataFrame) -> DataFrame:
     return pairs
 
 
-def _confirmed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    shingles = Shingler(WIDTH)
+def _confirmed(batches: Iterator[pd.DataFrame], width: int = WIDTH) -> Iterator[pd.DataFrame]:
+    shingles = Shingler(width)
     for batch in batches:
         ok = np.zeros(len(batch), dtype=bool)
         last, left = None, None
@@ -156,14 +156,14 @@ def _confirmed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield batch.loc[ok, ["a", "b"]]
 
 
-def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def confirm(pairs: DataFrame, texts: DataFrame, width: int = WIDTH) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough; ``texts`` has rid and text.
 
     A class has few candidates by construction, so no join key is hot.
     """
     a = texts.select(F.col("rid").alias("a"), F.col("text").alias("text_a"))
     b = texts.select(F.col("rid").alias("b"), F.col("text").alias("text_b"))
-    return pairs.select("a", "b").join(b, "b").join(a, "a").select("a", "b", "text_a", "text_b").mapInPandas(_confirmed, "a long, b long")
+    return pairs.select("a", "b").join(b, "b").join(a, "a").select("a", "b", "text_a", "text_b").mapInPandas(lambda batches: _confirmed(batches, width), "a long, b long")
 
 
 def text_of(staged: DataFrame) -> Column:
@@ -171,7 +171,7 @@ def text_of(staged: DataFrame) -> Column:
     return F.col("row.text") if "text" in staged.schema["row"].dataType.names else F.col("text")
 
 
-def links(staged: DataFrame, forest: DataFrame) -> DataFrame:
+def links(staged: DataFrame, forest: DataFrame, width: int = WIDTH) -> DataFrame:
     """Confirmed links between classes, enough of them to connect all that any candidate connects."""
     pairs = candidates(forest)
     ends = pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct()
@@ -180,21 +180,25 @@ def links(staged: DataFrame, forest: DataFrame) -> DataFrame:
     # each class's most similar candidate
     both = pairs.select("a", "b", "agree", F.explode(F.array("a", "b")).alias("rid"))
     best = both.groupBy("rid").agg(F.max(F.struct("agree", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
-    first = save(confirm(best, texts), "confirmed")
+    first = save(confirm(best, texts, width), "confirmed")
     groups = components(first)
     left = groups.select(F.col("node").alias("a"), F.col("component").alias("group_a"))
     right = groups.select(F.col("node").alias("b"), F.col("component").alias("group_b"))
     apart = pairs.join(left, "a", "left").join(right, "b", "left")
     apart = apart.where(F.coalesce("group_a", "a") != F.coalesce("group_b", "b")).join(best, ["a", "b"], "left_anti")
-    second = confirm(apart, texts)
+    second = confirm(apart, texts, width)
     both = save(first.unionByName(second), "links")
     drop(pairs, texts, first)
     return both
 
 
-def grouped(docs: DataFrame, carry: list[str]) -> tuple[DataFrame, DataFrame]:
+def grouped(docs: DataFrame, carry: list[str], width: int = WIDTH) -> tuple[DataFrame, DataFrame]:
     """The staged rows (row, doc, rid, n) and, for those with shingles, rid, component_id and kept."""
-    sign = F.pandas_udf("n long, set_a long, set_b long, keys binary, sketch binary")(_signed)
+
+    @F.pandas_udf("n long, set_a long, set_b long, keys binary, sketch binary")
+    def sign(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        return _signed(batches, width)
+
     text = [] if "text" in carry else ["text"]
     numbered = docs.select(F.struct(*carry).alias("row"), F.col("doc_id").alias("doc"), *text, F.monotonically_increasing_id().alias("rid"))
     staged = numbered.withColumn("s", sign(text_of(numbered))).select("row", "doc", *text, "rid", "s.*")
@@ -203,7 +207,7 @@ def grouped(docs: DataFrame, carry: list[str]) -> tuple[DataFrame, DataFrame]:
     classes = full.groupBy("n", "set_a", "set_b").agg(F.min("rid").alias("class"))
     member = save(full.select("rid", "n", "set_a", "set_b", "doc").join(classes, ["n", "set_a", "set_b"]).select("rid", "doc", "class"), "members")
     heads = classes.select(F.col("class").alias("rid"))
-    found = links(staged, full.select("rid", "keys", "sketch").join(heads, "rid"))
+    found = links(staged, full.select("rid", "keys", "sketch").join(heads, "rid"), width)
     groups = components(found).select(F.col("node").alias("class"), "component")
     group = save(member.join(groups, "class", "left").select("rid", "doc", F.coalesce("component", "class").alias("group")), "grouped")
     drop(member, found)
@@ -212,12 +216,12 @@ def grouped(docs: DataFrame, carry: list[str]) -> tuple[DataFrame, DataFrame]:
     return staged, named
 
 
-def near_duplicates(docs: DataFrame, carry: list[str]) -> DataFrame:
+def near_duplicates(docs: DataFrame, carry: list[str], width: int = WIDTH) -> DataFrame:
     """The carried columns as ``row`` with n_shingles, component_id (smallest doc_id) and kept.
 
     Exactly one row of each component is kept, also if ids repeat.
     """
-    staged, named = grouped(docs, carry)
+    staged, named = grouped(docs, carry, width)
     out = staged.select("row", "rid", "doc", "n").join(named, "rid", "left")
     return out.select(
         "row",
@@ -227,12 +231,12 @@ def near_duplicates(docs: DataFrame, carry: list[str]) -> DataFrame:
     )
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
+def one_of_each(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """The documents without all but one of each group of near duplicates.
 
     Only documents that may have to go are shuffled.
     """
-    staged, named = grouped(docs, docs.columns)
+    staged, named = grouped(docs, docs.columns, width)
     copies = save(named.where("NOT kept").select("rid"), "copies")
     marked = sifted(staged.select("row", "rid"), copies, "rid")
     stay = marked.where("maybe").join(copies, "rid", "left_anti").select("row")

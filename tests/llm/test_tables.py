@@ -213,6 +213,53 @@ def test_pipeline(spark, sf_dir):
     assert corpus_pipeline.run(spark, sf_dir).count() == packed.count()
 
 
+def test_pipeline_near_duplicates_by_all_pairs(spark, sf_dir):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    sets = {}
+    for r in docs.collect():
+        w = [x for x in re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), r.text or "")) if x]
+        sets[r.doc_id] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    top = {i: i for i in sets}
+
+    def find(x):
+        while top[x] != x:
+            x = top[x]
+        return x
+
+    for i, a in sets.items():
+        for j, b in sets.items():
+            if i < j and a and b and 100 * len(a & b) >= 80 * len(a | b):
+                x, y = sorted((find(i), find(j)))
+                top[y] = x
+    got = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, sf_dir).select("doc_id").collect()}
+    assert got == {i for i in sets if find(i) == i}
+
+
+def test_pipeline_edges(spark):
+    """Nulls, repeated and very long rows and columns of clashing names pass all five stages."""
+    import corpus_pipeline
+
+    rnd = random.Random(12)
+    said = lambda n: " ".join("".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(2, 9))) for _ in range(n))
+    clean = [said(120) for _ in range(40)]
+    huge = " ".join(clean[0].split() * 1500)  # over 1 MB
+    rows = [(k, t, "en", "web", len(t)) for k, t in enumerate(clean)] + [(5, clean[5], "en", "web", len(clean[5])), (100, None, None, None, None), (None, clean[7], None, None, None)]
+    rows += [(101, "", "en", "web", 0), (102, said(150_000), "en", "web", 0), (103, "\n".join([said(30)] * 3 + clean[9].split("|")), "en", "web", 0), (104, huge, "en", "web", len(huge))]
+    rows = [(*r, k, "r", 1, "b") for k, r in enumerate(rows)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, rid long, row string, n int, bin string")
+    step = docs
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        step = corpus_pipeline.save(stage(spark, step, ""), f"edge{k}")
+        assert step.columns == docs.columns, name
+    left = [r.doc_id for r in step.collect()]
+    assert {*range(40)} - {7} <= {*left} and sorted(left.count(k) for k in range(40))[-1] == 1  # one of the repeats stays
+    assert 102 in left
+    packed = corpus_pipeline.STAGES[-1][1](spark, step, "").collect()
+    assert {r.doc_id for r in packed} == {*left}
+
+
 def test_pipeline_empty(spark, nothing):
     import corpus_pipeline
 
