@@ -79,22 +79,42 @@ def eligibility(class_ids=CLASS_IDS, approved=("proprietary",)) -> Column:
     )
 
 
-def apply_reviews(annotations: DataFrame, reviews: DataFrame) -> DataFrame:
-    """Latest review action per annotation applied; the original class is kept on corrections."""
-    last = reviews.groupBy("annotation_id").agg(F.max(F.struct("reviewed_at", "seq", "action", "new_class")).alias("r"))
+BOX = ["x_center", "y_center", "width", "height"]
+
+
+def apply_reviews(annotations: DataFrame, reviews: DataFrame, as_of=None) -> DataFrame:
+    """Latest review action per annotation applied, of those up to ``as_of`` if given.
+
+    A correction replaces class and box where the review has them; every reviewed record keeps the
+    class, box and provenance it had (``original_...``), and who reviewed it when. A corrected box
+    needs all four numbers, else the old one stays.
+    """
+    if as_of is not None:
+        reviews = reviews.filter(F.col("reviewed_at") <= as_of)
+    given = [c for c in ("new_class", *[f"new_{c}" for c in BOX], "reviewer") if c in reviews.columns]
+    last = reviews.groupBy("annotation_id").agg(F.max(F.struct("reviewed_at", "seq", "action", *given)).alias("r"))
     action = F.col("r.action")
     rows = annotations.join(last, "annotation_id", "left")
+    decided = F.coalesce(action.isin("ACCEPT", "CORRECT"), F.lit(False))
     corrected = F.coalesce(action == "CORRECT", F.lit(False))
-    rows = rows.withColumn("original_class", F.when(corrected, F.col("class_id"))).withColumn(
-        "class_id", F.when(corrected, F.coalesce("r.new_class", "class_id")).otherwise(F.col("class_id"))
-    )
-    rows = rows.withColumn(
-        "verification_status",
-        F.when(action == "ACCEPT", F.lit("ACCEPTED")).when(corrected, F.lit("CORRECTED")).when(action == "REJECT", F.lit("REJECTED")).otherwise(F.col("verification_status")),
-    ).withColumn(
-        "provenance",
-        F.when(action == "ACCEPT", F.lit("human_verified")).when(corrected, F.lit("human_corrected")).otherwise(F.col("provenance")),
-    )
+    new = lambda name: F.col(f"r.{name}") if name in given else F.lit(None)
+    boxed = corrected & F.lit(all(f"new_{c}" in given for c in BOX))
+    for c in BOX:
+        boxed = boxed & new(f"new_{c}").isNotNull()
+    rows = rows.withColumns({
+        "original_class": F.when(corrected, F.col("class_id")),
+        **{f"original_{c}": F.when(decided, F.col(c)) for c in BOX},
+        "original_provenance": F.when(decided, F.col("provenance")),
+        "reviewed_at": F.when(decided | (action == "REJECT"), F.col("r.reviewed_at")),
+        "reviewer": F.when(decided | (action == "REJECT"), new("reviewer")),
+        "box_corrected": boxed,
+    })
+    rows = rows.withColumns({
+        "class_id": F.when(corrected, F.coalesce(new("new_class"), "class_id")).otherwise(F.col("class_id")),
+        **{c: F.when(F.col("box_corrected"), new(f"new_{c}")).otherwise(F.col(c)) for c in BOX},
+        "verification_status": F.when(action == "ACCEPT", F.lit("ACCEPTED")).when(corrected, F.lit("CORRECTED")).when(action == "REJECT", F.lit("REJECTED")).otherwise(F.col("verification_status")),
+        "provenance": F.when(action == "ACCEPT", F.lit("human_verified")).when(corrected, F.lit("human_corrected")).otherwise(F.col("provenance")),
+    })
     return rows.withColumn("reasons", eligibility()).withColumn("training_eligible", F.size("reasons") == 0).drop("r")
 
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import json
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelwright.functions import hashing
@@ -53,9 +56,72 @@ def merge_last(replay: DataFrame, current: DataFrame) -> DataFrame:
 
 
 def dataset_version(samples: DataFrame, name: str) -> DataFrame:
-    """Split of each sample and whether it may enter; a version with any refused row must not be built."""
-    refused = ~F.col("candidate_status").isin("TRAINING_ELIGIBLE", "USED_IN_DATASET")
+    """Split of each sample and whether it may enter; a version with any refused row must not be built.
+
+    A sample that comes with a split keeps it, others are split by product. What enters is marked as used.
+    """
+    refused = ~F.coalesce(F.col("candidate_status").isin("TRAINING_ELIGIBLE", "USED_IN_DATASET"), F.lit(False))
+    split = polynomial_split(F.col("product_id"))
+    if "split" in samples.columns:
+        split = F.coalesce("split", split)
     return samples.select(
-        "sample_id", "product_id", polynomial_split(F.col("product_id")).alias("split"),
+        "sample_id", "product_id", split.alias("split"),
         F.when(refused, F.lit("NOT_ELIGIBLE")).alias("refused"), F.when(~refused, F.lit(name)).alias("dataset_version"),
+        F.when(refused, F.col("candidate_status")).otherwise(F.lit("USED_IN_DATASET")).alias("candidate_status"),
+    )
+
+
+SPLITS = ("train", "validation", "test")
+
+
+def version_audit(version: DataFrame, name: str) -> DataFrame:
+    """One row: what a version holds, a fingerprint of its samples in any order, and whether it may be published.
+
+    Samples are counted per product first, so that a product in two splits shows without gathering any.
+    """
+    mark = F.conv(F.substring(F.md5(F.concat_ws(":", F.col("sample_id").cast("string"), "split")), 1, 15), 16, 10).cast("bigint")
+    products = version.groupBy("product_id").agg(
+        F.count_distinct("split").alias("splits"), F.min("split").alias("split"), F.count("*").alias("n"), F.count("refused").alias("refused"), F.bit_xor(mark).alias("mark")
     )
+    whole = products.agg(
+        F.count("*").alias("products"), F.coalesce(F.sum("n"), F.lit(0)).alias("samples"), F.coalesce(F.sum("refused"), F.lit(0)).alias("refused"),
+        F.count_if(F.col("splits") > 1).alias("leaking"), *[F.count_if(F.col("split") == s).alias(f"{s}_products") for s in SPLITS], F.coalesce(F.bit_xor("mark"), F.lit(0)).alias("fingerprint"),
+    )
+    status = F.when(F.col("refused") > 0, F.lit("REFUSED_NOT_ELIGIBLE")).when(F.col("leaking") > 0, F.lit("REFUSED_LEAKAGE")).otherwise(F.lit("PUBLISHED"))
+    return whole.select(F.lit(name).alias("version"), "*", status.alias("status"))
+
+
+def publish_version(samples: DataFrame, name: str, folder: str) -> dict:
+    """Write, audit, publish: the audit reads what was written, and only its manifest makes a version visible.
+
+    The manifest is written aside and renamed, which a reader sees as one step; it names the files, in
+    which every sample is marked as used. A version that leaks or holds a refused sample gets none, a
+    published name is never replaced. Returns the audit.
+    """
+    spark = samples.sparkSession
+    data = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    dataset_version(samples, name).write.partitionBy("split").parquet(data)
+    written = spark.read.parquet(data)
+    audit = version_audit(written, name).first().asDict()
+    if audit["status"] != "PUBLISHED":
+        return audit
+    jvm = spark._jvm
+    path = lambda text: jvm.org.apache.hadoop.fs.Path(text)
+    final, aside = path(f"{folder.rstrip('/')}/{name}.manifest.json"), path(f"{data}.manifest.tmp")
+    files = final.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = files.create(aside, True)
+    out.write(bytearray(json.dumps(audit | {"data": data}, sort_keys=True).encode()))
+    out.close()
+    if files.exists(final) or not files.rename(aside, final):
+        files.delete(aside, False)
+        raise FileExistsError(f"version {name} is published already")
+    return audit
+
+
+def published(spark: SparkSession, name: str, folder: str) -> DataFrame | None:
+    """The samples of a published version; None without a manifest."""
+    manifest = f"{folder.rstrip('/')}/{name}.manifest.json"
+    path = spark._jvm.org.apache.hadoop.fs.Path(manifest)
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return None
+    return spark.read.parquet(spark.read.json(manifest).first()["data"])

@@ -310,13 +310,31 @@ def replay_merge(spark, sf):
     return splits.merge_last(_v(spark, sf, "replay_samples"), _v(spark, sf, "current_samples")).drop("turn")
 
 
-@query("dataset_version", f"""SELECT sample_id, product_id, {_POLY_SPLIT} AS split, CASE WHEN candidate_status NOT IN ('TRAINING_ELIGIBLE', 'USED_IN_DATASET') THEN 'NOT_ELIGIBLE' END AS refused,
- CASE WHEN candidate_status IN ('TRAINING_ELIGIBLE', 'USED_IN_DATASET') THEN 'v7' END AS dataset_version FROM ({_MERGED})""")
+_VERSION = f"""SELECT sample_id, product_id, {_POLY_SPLIT} AS split, CASE WHEN candidate_status NOT IN ('TRAINING_ELIGIBLE', 'USED_IN_DATASET') THEN 'NOT_ELIGIBLE' END AS refused,
+ CASE WHEN candidate_status IN ('TRAINING_ELIGIBLE', 'USED_IN_DATASET') THEN 'v7' END AS dataset_version,
+ CASE WHEN candidate_status IN ('TRAINING_ELIGIBLE', 'USED_IN_DATASET') THEN 'USED_IN_DATASET' ELSE candidate_status END AS candidate_status FROM ({_MERGED})"""
+
+
+@query("dataset_version", _VERSION)
 def dataset_version(spark, sf):
     merged = splits.merge_last(_v(spark, sf, "replay_samples"), _v(spark, sf, "current_samples"))
     return splits.dataset_version(merged, "v7")
 
 
+_AUDIT = """SELECT '{0}' AS version, count(DISTINCT product_id) AS products, count(*) AS samples, count(refused) AS refused,
+ (SELECT count(*) FROM (SELECT product_id FROM v WHERE {1} GROUP BY 1 HAVING count(DISTINCT split) > 1)) AS leaking,
+ count(DISTINCT product_id) FILTER (WHERE split = 'train') AS train_products, count(DISTINCT product_id) FILTER (WHERE split = 'validation') AS validation_products, count(DISTINCT product_id) FILTER (WHERE split = 'test') AS test_products,
+ bit_xor(('0x' || substr(md5(sample_id::VARCHAR || ':' || split), 1, 15))::BIGINT) AS fingerprint, CASE WHEN count(refused) > 0 THEN 'REFUSED_NOT_ELIGIBLE' ELSE 'PUBLISHED' END AS status FROM v WHERE {1}"""
+
+
+@query("dataset_manifest", f"WITH v AS ({_VERSION}) {_AUDIT.format('v7', 'true')} UNION ALL {_AUDIT.format('v7-eligible', 'refused IS NULL')}")
+def dataset_manifest(spark, sf):
+    """What the audit of a version says: one of all samples, which is refused, and one of those that may enter."""
+    merged = splits.merge_last(_v(spark, sf, "replay_samples"), _v(spark, sf, "current_samples"))
+    version = splits.dataset_version(merged, "v7")
+    return splits.version_audit(version, "v7").unionByName(splits.version_audit(version.where("refused IS NULL"), "v7-eligible"))
+
+
 # ---- annotations --------------------------------------------------------------------------------
 define("label_lines", """
 SELECT image_id, CASE annotation_id % 9 WHEN 0 THEN cast(class_id AS string) || ' 0.5 0.5 0.2' WHEN 1 THEN 'x 0.5 0.5 abc 0.1' WHEN 2 THEN '  ' || cast(class_id AS string) || '   0.02 0.03 0.01  0.01 '
@@ -369,8 +387,10 @@ def annotation_eligibility(spark, sf):
 
 
 define("review_actions", """
-SELECT doc_id * 2 AS annotation_id, doc_id AS seq, CASE doc_id % 4 WHEN 0 THEN 'ACCEPT' WHEN 1 THEN 'CORRECT' WHEN 2 THEN 'REJECT' ELSE 'SKIP' END AS action, CASE WHEN doc_id % 8 = 1 THEN cast(1 AS int) END AS new_class, quality AS reviewed_at FROM @labels
-UNION ALL SELECT doc_id * 2, doc_id + 1, 'ACCEPT', NULL, toxic * 2 FROM @labels WHERE toxic = 1""")
+SELECT doc_id * 2 AS annotation_id, doc_id AS seq, CASE doc_id % 4 WHEN 0 THEN 'ACCEPT' WHEN 1 THEN 'CORRECT' WHEN 2 THEN 'REJECT' ELSE 'SKIP' END AS action, CASE WHEN doc_id % 8 = 1 THEN cast(1 AS int) END AS new_class, quality AS reviewed_at,
+ cast(doc_id % 7 AS double) / 8 AS new_x_center, cast(doc_id % 5 AS double) / 8 AS new_y_center, CASE WHEN doc_id % 3 <> 0 THEN cast(0.25 AS double) END AS new_width, cast(doc_id % 4 + 1 AS double) / 8 AS new_height,
+ 'reviewer-' || cast(doc_id % 4 AS string) AS reviewer FROM @labels
+UNION ALL SELECT doc_id * 2, doc_id + 1, 'ACCEPT', NULL, toxic * 2, NULL, NULL, NULL, NULL, 'reviewer-9' FROM @labels WHERE toxic = 1""")
 
 
 @query("apply_reviews", f"""
@@ -380,10 +400,31 @@ WITH l AS (SELECT annotation_id, arg_max({{'a': action, 'c': new_class}}, (revie
   CASE r.a WHEN 'ACCEPT' THEN 'human_verified' WHEN 'CORRECT' THEN 'human_corrected' ELSE provenance END AS provenance FROM @annotations a LEFT JOIN l USING (annotation_id))
 SELECT annotation_id, class_id, original_class, verification_status, provenance, {_REASONS} = '' AS training_eligible FROM j""")
 def apply_reviews(spark, sf):
-    rows = ann.apply_reviews(_v(spark, sf, "annotations"), _v(spark, sf, "review_actions"))
+    """Corrected classes; the reviews' boxes are left out here."""
+    reviews = _v(spark, sf, "review_actions").select("annotation_id", "seq", "action", "new_class", "reviewed_at")
+    rows = ann.apply_reviews(_v(spark, sf, "annotations"), reviews)
     return rows.select("annotation_id", "class_id", "original_class", "verification_status", "provenance", "training_eligible")
 
 
+_BOX_OF = lambda c: f"CASE WHEN boxed THEN r.new_{c} ELSE {c} END AS {c}"
+
+
+@query("reviewed_boxes", f"""
+WITH l AS (SELECT annotation_id, arg_max(r, (r.reviewed_at, r.seq)) AS r FROM @review_actions r WHERE reviewed_at <= 1 GROUP BY 1),
+ k AS (SELECT a.*, r, coalesce(r.action IN ('ACCEPT', 'CORRECT'), false) AS decided,
+  coalesce(r.action = 'CORRECT' AND r.new_x_center IS NOT NULL AND r.new_y_center IS NOT NULL AND r.new_width IS NOT NULL AND r.new_height IS NOT NULL, false) AS boxed FROM @annotations a LEFT JOIN l USING (annotation_id)),
+ j AS (SELECT annotation_id, source_license, boxed AS box_corrected, {', '.join(_BOX_OF(c) for c in ann.BOX)}, {', '.join(f"CASE WHEN decided THEN {c} END AS original_{c}" for c in ann.BOX)},
+  CASE WHEN decided THEN provenance END AS original_provenance, CASE WHEN decided OR r.action = 'REJECT' THEN r.reviewed_at END AS reviewed_at, CASE WHEN decided OR r.action = 'REJECT' THEN r.reviewer END AS reviewer,
+  CASE WHEN r.action = 'CORRECT' THEN coalesce(r.new_class, class_id) ELSE class_id END AS class_id,
+  CASE r.action WHEN 'ACCEPT' THEN 'ACCEPTED' WHEN 'CORRECT' THEN 'CORRECTED' WHEN 'REJECT' THEN 'REJECTED' ELSE verification_status END AS verification_status,
+  CASE r.action WHEN 'ACCEPT' THEN 'human_verified' WHEN 'CORRECT' THEN 'human_corrected' ELSE provenance END AS provenance FROM k)
+SELECT annotation_id, {', '.join(ann.BOX)}, {', '.join(f'original_{c}' for c in ann.BOX)}, box_corrected, provenance, original_provenance, reviewed_at, reviewer, {_REASONS} = '' AS training_eligible FROM j""")
+def reviewed_boxes(spark, sf):
+    """Boxes as reviewed up to day 1, with the box and provenance before, and who decided when."""
+    rows = ann.apply_reviews(_v(spark, sf, "annotations"), _v(spark, sf, "review_actions"), as_of=1)
+    return rows.select("annotation_id", *ann.BOX, *[f"original_{c}" for c in ann.BOX], "box_corrected", "provenance", "original_provenance", "reviewed_at", "reviewer", "training_eligible")
+
+
 @query("weak_guard", "SELECT annotation_id, image_id FROM @annotations WHERE provenance = 'weak_candidate'")
 def weak_guard(spark, sf):
     """Rows that would contaminate a final set if it were taken from all annotations."""

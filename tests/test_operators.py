@@ -275,3 +275,25 @@ def test_failed_readings_are_uncertain(spark):
     df = spark.createDataFrame([(False, "1", None), (True, None, "x")], "failed boolean, a string, b string")
     got = {r["field"]: (r["detected"], r["missing"], r["uncertain"]) for r in audit.field_coverage(df, ["a", "b"]).collect()}
     assert got == {"a": (1, 0, 1), "b": (1, 1, 0)}
+
+
+def test_versions_are_published_whole_or_not(spark, tmp_path):
+    rows = [(k, f"product_{k % 40}", "TRAINING_ELIGIBLE", None) for k in range(200)]
+    schema = "sample_id long, product_id string, candidate_status string, split string"
+    good = spark.createDataFrame(rows, schema)
+    leak = spark.createDataFrame(rows + [(900, "product_1", "TRAINING_ELIGIBLE", s) for s in ("train", "test")], schema)
+    weak = spark.createDataFrame(rows + [(900, "product_1", None, None)], schema)
+    folder = str(tmp_path)
+    assert splits.publish_version(leak, "a", folder)["status"] == "REFUSED_LEAKAGE" and splits.published(spark, "a", folder) is None
+    assert splits.publish_version(weak, "a", folder)["status"] == "REFUSED_NOT_ELIGIBLE" and splits.published(spark, "a", folder) is None
+    audit = splits.publish_version(good, "a", folder)
+    assert (audit["status"], audit["samples"], audit["products"], audit["leaking"]) == ("PUBLISHED", 200, 40, 0)
+    out = splits.published(spark, "a", folder)
+    assert out.count() == 200 and {tuple(r) for r in out.select("candidate_status", "dataset_version").distinct().collect()} == {("USED_IN_DATASET", "a")}
+    with pytest.raises(FileExistsError):
+        splits.publish_version(good.limit(5), "a", folder)
+    assert splits.published(spark, "a", folder).count() == 200
+    # the order of samples does not matter to the fingerprint, a sample less does
+    again = splits.version_audit(splits.dataset_version(good.orderBy(F.desc("sample_id")), "b"), "b").first()
+    assert again["fingerprint"] == audit["fingerprint"]
+    assert splits.version_audit(splits.dataset_version(good.where("sample_id > 0"), "b"), "b").first()["fingerprint"] != audit["fingerprint"]
