@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Entries a task keeps of states and pair tests, and of coded pieces, before it starts afresh.
-KEEP, CODED = 600_000, 300_000
+KEEP, CODED = 600_000, 600_000
 _BYTES = [bytes((b,)) for b in range(256)]
 
 
