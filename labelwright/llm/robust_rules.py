@@ -24,8 +24,6 @@ MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 #: A group's own estimate needs so many documents.
 MIN_GROUP = 100
-#: Groups whose names are broadcast; more are joined by shuffle.
-MAX_BROADCAST = 50_000
 STEPS = 4
 #: Quantiles of chi-square with 4 degrees of freedom: 0.975 for reweighting, 1 - 1e-5 for rejection.
 CHI_REWEIGHT = 11.143
@@ -118,8 +116,8 @@ def grouped(read: DataFrame) -> DataFrame:
         .otherwise(F.lit(""))
     )
     keys = save(sizes.join(per_lang, "lang").select("lang", "source", key.alias("group")), "groups")
-    # a row per language and source; where these were counted to be few the documents stay in place
-    return read.join(F.broadcast(keys) if keys.count() <= MAX_BROADCAST else keys, ["lang", "source"])
+    # a row per language and source, written: Spark knows its size and leaves the documents in place if it is small
+    return read.join(keys, ["lang", "source"])
 
 
 def _cholesky(groups: DataFrame) -> DataFrame:
@@ -165,7 +163,9 @@ def estimates(read: DataFrame) -> DataFrame:
     sketch) and takes mean and covariance of that half; such a step never raises the determinant.
     The last half is scaled to be consistent under normality and reweighted once.
     """
-    middle = read.groupBy("group").agg(*[F.percentile_approx(x, 0.5, 1000).alias(f"m_{i}") for i, x in enumerate(VECTOR)])
+    # a row per group, written as all tables of groups are: their size is known before a join is planned,
+    # so that documents are not dealt by group, of which one may hold a third of them
+    middle = save(read.groupBy("group").agg(*[F.percentile_approx(x, 0.5, 1000).alias(f"m_{i}") for i, x in enumerate(VECTOR)]), "mcd")
     spread = (
         read.join(middle, "group")
         .groupBy("group")
@@ -177,12 +177,16 @@ def estimates(read: DataFrame) -> DataFrame:
     for step in range(STEPS + 1):
         far = distances(read, groups)
         if step < STEPS:
-            bound = far.groupBy("group").agg(F.percentile_approx("d2", 0.5, 1000).alias("bound"))
+            bound = save(far.groupBy("group").agg(F.percentile_approx("d2", 0.5, 1000).alias("bound")), "mcd")
             kept = far.join(bound, "group").where("d2 <= bound")
             # a half of a normal sample has too small a scatter; the factor makes it consistent
-            groups = save(_moments(kept, F.first(F.lit(1.0 if step < STEPS - 1 else 2.4))), "mcd")
+            after = save(_moments(kept, F.first(F.lit(1.0 if step < STEPS - 1 else 2.4))), "mcd")
+            drop(bound)
         else:
-            groups = save(_moments(far.where(F.col("d2") <= CHI_REWEIGHT), F.first(F.lit(1.0))), "mcd")
+            after = save(_moments(far.where(F.col("d2") <= CHI_REWEIGHT), F.first(F.lit(1.0))), "mcd")
+        drop(groups)
+        groups = after
+    drop(middle)
     return groups
 
 

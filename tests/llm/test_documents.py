@@ -443,3 +443,39 @@ def test_packing_edges(edge, nothing):
     out = bestfit.packed(edge, edge.columns)
     assert out.select("row").count() >= edge.count()
     assert bestfit.packed(nothing, nothing.columns).count() == 0
+
+
+# --- the robust estimate
+
+
+def test_estimate_like_numpy(spark):
+    """Location, scatter and distances of the concentration steps, by numpy on the same vectors."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    rnd = np.random.default_rng(2)
+    names = list(robust_rules.VECTOR)
+    floors = np.array([robust_rules.FLOORS[x] for x in names])
+    groups = {"a": rnd.multivariate_normal([1.9, 0.1, 0.2, 0.2], np.diag([0.02, 0.004, 0.03, 0.02]) + 0.002, 901), "b": rnd.normal(0.5, 0.1, (601, 4))}
+    groups["a"][:60] += [0.0, 0.6, 0.5, 0.4]
+    rows = [(g, *map(float, v)) for g, x in groups.items() for v in x]
+    read = spark.createDataFrame(rows, "group string, " + ", ".join(f"{n} double" for n in names))
+    got = {r.group: r for r in robust_rules.estimates(read).collect()}
+
+    def distance(x, m, s):
+        return np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(s), x - m)
+
+    for g, x in groups.items():
+        rank = lambda v: np.sort(v, axis=0)[(len(v) + 1) // 2 - 1]
+        m = rank(x)
+        s = np.diag((rank(np.abs(x - m)) * 1.4826) ** 2 + floors**2)
+        for step in range(robust_rules.STEPS + 1):
+            d = distance(x, m, s)
+            last = step == robust_rules.STEPS
+            kept = x[d <= (robust_rules.CHI_REWEIGHT if last else rank(d))]
+            m = kept.mean(axis=0)
+            s = np.cov(kept.T, bias=True) * (2.4 if step == robust_rules.STEPS - 1 else 1.0) + np.diag(floors**2)
+        assert np.allclose([got[g][f"m_{i}"] for i in range(4)], m, rtol=1e-6)
+        assert np.allclose([got[g][f"s_{i}_{j}"] for i, j in robust_rules.PAIRS], [s[i, j] for i, j in robust_rules.PAIRS], rtol=1e-5, atol=1e-9)
+    far = robust_rules.distances(read, robust_rules.estimates(read)).groupBy("group").agg(F.max("d2").alias("d2")).collect()
+    assert {r.group for r in far} == {"a", "b"} and all(r.d2 > 0 for r in far)
