@@ -81,7 +81,8 @@ def infer_category(folders: DataFrame) -> DataFrame:
 
 def annotation_manifest(images: DataFrame) -> DataFrame:
     """Standard file names, everything pending, with the number of images of each view."""
-    counts = images.groupBy("view").agg(F.count("*").alias("in_view"))
+    # written first: Spark then knows that it is a row per view and leaves the images where they are
+    counts = materialize(images.groupBy("view").agg(F.count("*").alias("in_view")), "views")
     ext = F.lower(F.regexp_extract("path", r"\.[a-zA-Z]+$", 0))
     return images.join(counts, "view").select(
         "image_id", "product_id", "view", F.concat(F.concat_ws("_", "product_id", "view"), ext).alias("file_name"), F.lit("pending").alias("status"), "in_view"

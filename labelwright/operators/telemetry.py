@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from labelwright.functions.hashing import hex_bucket
@@ -124,15 +123,11 @@ def retrain_triggers(windows: DataFrame, keys) -> DataFrame:
 
 
 def gated(triggers: DataFrame, counts: DataFrame) -> DataFrame:
-    """Triggers against the size of the dataset (a one-row frame of products and verified)."""
+    """Triggers against the size of the dataset (a one-row frame of products and verified, read here)."""
+    products, verified = counts.select("products", "verified").first()
     blocked = (F.col("products") < 50) | (F.col("verified") < 100)
-    # Triggers are rare (one per key and cool-down), so a window over all of them is small.
-    stacked = triggers.unionByName(counts.select("products", "verified"), allowMissingColumns=True)
-    whole = W.partitionBy()
-    known = stacked.withColumn("products", F.max("products").over(whole)).withColumn("verified", F.max("verified").over(whole))
-    return known.filter(F.col("triggered_at").isNotNull()).withColumn(
-        "outcome", F.when(blocked, F.lit("RETRAINING_BLOCKED_NOT_READY")).otherwise(F.lit("RETRAINING_QUEUED"))
-    )
+    known = triggers.withColumns({"products": F.lit(products).cast("bigint"), "verified": F.lit(verified).cast("bigint")})
+    return known.withColumn("outcome", F.when(blocked, F.lit("RETRAINING_BLOCKED_NOT_READY")).otherwise(F.lit("RETRAINING_QUEUED")))
 
 
 def deployment_states(reports: DataFrame) -> DataFrame:
