@@ -21,9 +21,11 @@ unknown ids is an error; malformed UTF-8 becomes U+FFFD at the end of each longe
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 from bisect import insort
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 from itertools import chain
 from operator import itemgetter
@@ -303,6 +305,17 @@ class Codec:
         yield stream.feed(self.decode_bytes(held)) + stream.close()
 
 
+@contextmanager
+def uncollected() -> Iterator[None]:
+    """Holds Python's search for reference cycles: the tables have none and are searched in vain each time they grow."""
+    gc.disable()
+    try:
+        yield
+    finally:
+        gc.freeze()
+        gc.enable()
+
+
 @lru_cache(maxsize=2)
 def codec(path: str, pattern: str) -> Codec:
     """One per Python worker: the table is read there, from the path that all machines have."""
@@ -314,8 +327,9 @@ def encoded(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     @F.pandas_udf("array<int>")
     def ids_of(text: pd.Series) -> pd.Series:
-        c = codec(path, pattern)
-        return pd.Series([c.encode(t or "") for t in text], dtype=object)
+        with uncollected():
+            c = codec(path, pattern)
+            return pd.Series([c.encode(t or "") for t in text], dtype=object)
 
     return docs.select(F.struct("*").alias("row"), ids_of("text").alias("ids"))
 
@@ -331,6 +345,16 @@ def decoded(rows: DataFrame, path: str, pattern: str) -> DataFrame:
     return rows.withColumn("decoded", text_of("ids"))
 
 
+def _digests(c: Codec, text: str) -> tuple[int, str, str]:
+    parts = c.parts(text)
+    stream, sha = Utf8Stream(), hashlib.sha256()
+    for k in range(0, len(parts), PORTION):
+        sha.update(stream.feed(b"".join(map(itemgetter(3), parts[k : k + PORTION]))).encode("utf-8"))
+    sha.update(stream.close().encode("utf-8"))
+    written = " ".join(map(itemgetter(2), parts))
+    return sum(map(itemgetter(1), parts)), hashlib.sha256(written.encode()).hexdigest(), sha.hexdigest()
+
+
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """The documents' columns but the text as ``row`` with the number of ids and the digests of ids and decoded text.
 
@@ -339,17 +363,9 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
     def digest(text: pd.Series) -> pd.DataFrame:
-        c = codec(path, pattern)
-        rows = []
-        for t in text:
-            parts = c.parts(t or "")
-            stream, sha = Utf8Stream(), hashlib.sha256()
-            for k in range(0, len(parts), PORTION):
-                sha.update(stream.feed(b"".join(map(itemgetter(3), parts[k : k + PORTION]))).encode("utf-8"))
-            sha.update(stream.close().encode("utf-8"))
-            written = " ".join(map(itemgetter(2), parts))
-            rows.append((sum(map(itemgetter(1), parts)), hashlib.sha256(written.encode()).hexdigest(), sha.hexdigest()))
-        return pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+        with uncollected():
+            c = codec(path, pattern)
+            return pd.DataFrame([_digests(c, t or "") for t in text], columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
     # only columns other than the text are carried beside it
     rest = [c for c in docs.columns if c != "text"]
