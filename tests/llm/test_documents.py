@@ -258,6 +258,19 @@ def test_model_edges(edge, nothing):
     assert brown_lm.score(nothing, nothing.columns).count() == 0
 
 
+def test_model_of_tasks_without_training_rows(spark):
+    """More partitions than rows, and a table of held-out rows only."""
+    ids = [k for k in range(200) if zlib.crc32(str(k).encode()) % 10 == 0]
+    held = spark.createDataFrame([(k, "one two three") for k in ids[:5]], "doc_id long, text string").repartition(12)
+    rows = brown_lm.score(held, ["doc_id"]).collect()
+    assert len(rows) == 5 and all(r.held_out and r.train_tokens == 0 and r.n_known == 0 and math.isfinite(r.score) for r in rows)
+    trained = [k for k in range(200) if k not in ids][:3]
+    few = spark.createDataFrame([(k, "one two three two") for k in trained] + [(ids[0], "two four")], "doc_id long, text string").repartition(24)
+    rows = brown_lm.score(few, ["doc_id"]).collect()
+    assert len(rows) == 4 and {r.train_tokens for r in rows} == {15}
+    assert {r.row.doc_id: r.n_known for r in rows}[ids[0]] == 2  # "two" and the end
+
+
 # --- byte-level BPE
 
 
