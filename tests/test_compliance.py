@@ -81,3 +81,33 @@ def test_permissible_error(spark, observed, unit, status, error):
     rows = spark.createDataFrame([(1, 500.0, "g", observed, unit)], "product_id int, net_value double, net_unit string, observed_value double, observed_unit string")
     got = compliance.permissible_error(rows).first()
     assert (got["status"], got["error_base"]) == (status, error)
+
+
+def test_evidence_of_checks(spark):
+    """Values, confirmed absences, measurements and panel fields stand as evidence; the context keeps three."""
+    from labelwright.operators import reports
+    from labelwright.plans import compliance as plans
+
+    facts = spark_view(spark, "/root/testdata/sf0.001", "product_facts").where("consumer_type = 'RETAIL'").limit(1)
+    fixed = {
+        "manufacturer_name": F.lit(" Acme Foods "), "mrp": F.lit(99.5), "net_value": F.lit(500.0), "net_unit": F.lit("g"), "care_phone": F.lit("1800"), "care_email": F.lit(None).cast("string"),
+        "confirmed_absent": F.lit("countryOfOrigin,commonGenericName"), "common_generic_name": F.lit(""), "measurement_status": F.lit("CALIBRATED"), "physical_height": F.lit(2.5),
+        "height_status": F.lit("MEASURED"), "calibration_source": F.lit("reference_card"), "size_evidence": F.lit(None).cast("string"), "visual_status": F.lit("SUCCESS"),
+        "panel_found": F.lit(True), "panel_confidence": F.lit(0.9), "mrp_relation": F.lit("OUTSIDE"), "mrp_field_confidence": F.lit(0.9), "quantity_relation": F.lit("INSIDE"),
+        "date_of_packing": F.lit("2024-01-03").cast("date"), "product_id": F.lit(8).cast("bigint"),
+    }
+    checks = compliance.evaluate(plans._with_panel(facts.withColumns(fixed)), thresholds=plans.THRESHOLDS, trusted=plans.TRUSTED)
+    rows = {r.clause_key: r for r in checks.collect()}
+    items = lambda key: [(e.field, e.value, e.source, e.state) for e in rows[key].evidence]
+    assert items("manufacturerName") == [("manufacturerName", "Acme Foods", "ocr", "PRESENT")]
+    assert items("mrp") == [("mrp", "99.5", "ocr", "PRESENT")] and items("netQuantity") == [("netQuantity", "500 g", "ocr", "PRESENT")]
+    assert items("consumerCareDetails") == [("consumerCareDetails", "1800", "ocr", "PRESENT")]
+    assert items("commonGenericName") == [("commonGenericName", None, "ocr", "ABSENT_CONFIRMED")]
+    assert items("letterHeight")[0][1:3] == ("2.50 mm", "measurement")
+    panel = rows["pdpLocation"]
+    assert panel.status == "REVIEW" and len(panel.evidence) > 3 and ("mrp", "99.5", "vision", "OUTSIDE") in items("pdpLocation")
+    assert panel.confidence == min(e.confidence for e in panel.evidence if e.confidence is not None)
+    assert {r.source.document for r in rows.values()} == {compliance.SOURCE_DOCUMENT}
+    assert all(not r.evidence for r in rows.values() if r.reason_code == "NO_EVIDENCE" or r.status == "NOT_APPLICABLE")
+    shown = {r.clause_key: r.evidence for r in reports.context_projection(checks).collect()}
+    assert shown["pdpLocation"] == panel.evidence[:3]
