@@ -492,3 +492,47 @@ def test_estimate_like_numpy(spark):
         assert np.allclose([got[g][f"s_{i}_{j}"] for i, j in robust_rules.PAIRS], [s[i, j] for i, j in robust_rules.PAIRS], rtol=1e-5, atol=1e-9)
     far = robust_rules.distances(read, robust_rules.estimates(read)).groupBy("group").agg(F.max("d2").alias("d2")).collect()
     assert {r.group for r in far} == {"a", "b"} and all(r.d2 > 0 for r in far)
+
+
+# --- packing by brute force
+
+
+def plain_pack(lengths, sizes):
+    """Best fit by looking at every bin, for every rule of which size to open; the cheapest packing's cost and fillings."""
+    best = None
+    for opening in (None, *sizes):
+        bins = []  # [size opened, tokens in it]
+        left = sum(lengths)
+        for n in sorted(lengths, reverse=True):
+            left -= n
+            fits = [b for b in bins if b[0] - b[1] >= n]
+            if fits:
+                least = min(b[0] - b[1] for b in fits)
+                next(b for b in fits if b[0] - b[1] == least)[1] += n
+                continue
+            able = [c for c in sizes if c >= n]
+            size = opening if opening in able else able[0]
+            if opening is None:
+                size = min(able, key=lambda c: bestfit.cost(c) / (n + min(c - n, left)))
+            bins.append([size, n])
+        fitted = [min(c for c in sizes if c >= b[1]) for b in bins]
+        total = sum(map(bestfit.cost, fitted))
+        if best is None or total < best[0]:
+            best = (total, sorted(zip(fitted, (b[1] for b in bins), strict=True)))
+    return best
+
+
+def test_packing_by_brute_force(spark):
+    rnd = random.Random(31)
+    sizes = (8, 16, 40)
+    rows = [(k, " ".join("x" * rnd.choice([0, 1, 3, 6, 7, 12, 15, 30, 39, 70, 100]))) for k in range(150)]
+    out = bestfit.packed(spark.createDataFrame(rows, "doc_id long, text string"), ["doc_id"], sizes).collect()
+    assert {r.shard for r in out} == {0}
+    bins = collections.defaultdict(list)
+    for r in out:
+        bins[r.bin, r.capacity].append(r.n_tokens)
+    got = sorted((capacity, sum(n)) for (_, capacity), n in bins.items())
+    total, want = plain_pack([r.n_tokens for r in out], sizes)
+    assert got == want and math.isclose(sum(bestfit.cost(c) for c, _ in got), total)
+    lengths = [n for _, t in rows for n in [len(t.split()) + 1] for n in [40] * ((n - 1) // 40) + [(n - 1) % 40 + 1]]
+    assert sorted(r.n_tokens for r in out) == sorted(lengths)
