@@ -55,7 +55,7 @@ def src_manifest(spark, sf):
 
 @query("src_annotations", "SELECT annotation_id, image_id, class_id, x_center, y_center, width, height, provenance, verification_status FROM @annotations")
 def src_annotations(spark, sf):
-    """Annotation objects as JSON arrays, one array per file line group."""
+    """Annotation objects as JSON arrays over many lines, one per image, read by the splittable scan."""
     a = spark_view(spark, sf, "annotations")
     c = F.col
     record = F.struct(
@@ -64,9 +64,8 @@ def src_annotations(spark, sf):
         c("verification_status").alias("verificationStatus"),
     )
     path = _folder(spark, "annotations")
-    a.select(F.to_json(F.array(record)).alias("value")).write.text(path)
-    rows = spark.read.text(path).select(F.explode(F.from_json("value", F.lit("array<" + files.schemas.ANNOTATION.simpleString() + ">"))).alias("r")).select("r.*")
-    return rows.select(
+    a.groupBy("image_id").agg(F.collect_list(record).alias("r")).select(F.to_json("r", {"pretty": "true"}).alias("value")).write.text(path)
+    return files.annotation_array(spark, path).select(
         c("annotationId").alias("annotation_id"), c("imageId").alias("image_id"), c("classId").alias("class_id"), c("boundingBox.xCenter").alias("x_center"),
         c("boundingBox.yCenter").alias("y_center"), c("boundingBox.width").alias("width"), c("boundingBox.height").alias("height"), "provenance",
         c("verificationStatus").alias("verification_status"),
@@ -97,12 +96,15 @@ def sink_report(spark, sf):
     return spark.read.schema("status string, complaints bigint").json(path)
 
 
-@query("binary_inventory")
+@query("binary_inventory", """SELECT 'supplier=' || s_suppkey AS folder, CAST(strlen(t) AS BIGINT) AS length, sha256(t) AS sha256
+ FROM (SELECT s_suppkey, s_name || ', ' || s_nationkey || ', ' || s_acctbal::DECIMAL(12, 2) || chr(10) AS t FROM supplier)""")
 def binary_inventory(spark, sf):
-    """Documents as text files per language, then listed as binary files."""
+    """A file of known bytes per supplier, then listed as binary files."""
     path = _folder(spark, "binary")
-    spark_view(spark, sf, "documents").select("lang", F.regexp_replace("text", "\n", " ").alias("value")).write.partitionBy("lang").text(path)
-    return files.binary_inventory(spark, path, "*.txt")
+    c = F.col
+    text = F.concat_ws(", ", "s_name", c("s_nationkey").cast("string"), c("s_acctbal").cast("decimal(12,2)").cast("string"))
+    spark_view(spark, sf, "supplier").select(c("s_suppkey").alias("supplier"), text.alias("value")).write.partitionBy("supplier").text(path)
+    return files.binary_inventory(spark, path, "*.txt").drop("file")
 
 
 define("file_heads", """

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from labelwright import schemas
 from labelwright.operators.annotations import parse_label_line
+from labelwright.session import materialize
 
 
 def product_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -33,9 +35,59 @@ def manifest_splits(manifest: DataFrame) -> DataFrame:
     return manifest.select(F.explode("productSplits").alias("product_id", "split"))
 
 
+def object_texts(spark: SparkSession, path: str) -> DataFrame:
+    """(file, place, text) of every object in files of JSON arrays; one large file is read by many tasks.
+
+    The text reader cuts the file after each closing brace, so blocks of a file are read apart. A piece lies
+    inside a string if an odd number of quotes comes before it, and an object ends where the braces outside of
+    strings are balanced. Both are running sums: over the pieces of a block, and over the blocks of a file.
+    Pieces of one object are put together again, also across blocks. Objects may be laid out in any way.
+    """
+    raw = spark.read.option("lineSep", "}").text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value",
+        F.col("_metadata.file_size").alias("size"),
+    )
+    quote = F.lit('"')
+    # a backslash and what it escapes hide no quote; neither can be cut off by a closing brace
+    plain = F.regexp_replace("value", r"\\.", "")
+    pieces = raw.withColumn("plain", plain).withColumns({"quotes": F.regexp_count("plain", quote), "bytes": F.octet_length("value") + 1})
+    earlier = W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    inside = W.partitionBy("file", "block").orderBy("at").rowsBetween(W.unboundedPreceding, -1)
+    running = lambda value, over: F.coalesce(F.sum(value).over(over), F.lit(0))
+
+    def step(odd: Column) -> Column:
+        """What a piece adds to the depth, if a string is open before it or not."""
+        rest = F.when(odd, F.regexp_replace("plain", r'^[^"]*("|$)', "")).otherwise(F.col("plain"))
+        opened = F.regexp_count(F.regexp_replace(rest, r'"[^"]*("|$)', ""), F.lit(r"\{"))
+        return opened - ((odd.cast("int") + F.col("quotes")) % 2 == 0).cast("int")
+
+    # a block does not know yet whether it begins inside a string: both cases are worked out
+    pieces = pieces.withColumn("odd", running("quotes", inside) % 2 == 1)
+    pieces = pieces.withColumns({"even_step": step(F.col("odd")), "odd_step": step(~F.col("odd"))})
+    pieces = pieces.withColumns({"even_depth": running("even_step", inside), "odd_depth": running("odd_step", inside), "bytes_before": running("bytes", inside)})
+    pieces = materialize(pieces.drop("plain"), "pieces")
+    blocks = pieces.groupBy("file", "block").agg(F.sum("quotes").alias("quotes"), F.sum("even_step").alias("even"), F.sum("odd_step").alias("odd"), F.sum("bytes").alias("bytes"))
+    blocks = blocks.withColumn("open", running("quotes", earlier) % 2 == 1).withColumn("add", F.when(F.col("open"), F.col("odd")).otherwise(F.col("even")))
+    blocks = blocks.select("file", "block", "open", running("add", earlier).alias("start"), running("bytes", earlier).alias("bytes_start"))
+    pick = lambda name: F.when(F.col("open"), F.col(f"odd_{name}")).otherwise(F.col(f"even_{name}"))
+    known = pieces.join(blocks, ["file", "block"])
+    # the rest behind a file's last closing brace ends nothing: an object cut off there is none
+    closed = F.col("bytes_start") + F.col("bytes_before") + F.col("bytes") <= F.col("size")
+    closes = closed & (((F.col("odd") != F.col("open")).cast("int") + F.col("quotes")) % 2 == 0)
+    ends = (closes & (F.col("start") + pick("depth") + pick("step") == 0)).cast("int")
+    known = known.select("file", "block", "at", "value", ends.alias("ends"))
+    first = known.groupBy("file", "block").agg(F.sum("ends").alias("n")).select("file", "block", running("n", earlier).alias("first"))
+    placed = known.join(first, ["file", "block"]).withColumn("place", F.col("first") + running("ends", inside))
+    parts = F.array_sort(F.collect_list(F.struct("block", "at", "value")))
+    whole = placed.groupBy("file", "place").agg(parts.alias("parts"), F.max("ends").alias("ended"))
+    text = F.concat(F.array_join(F.transform("parts", lambda p: p["value"]), "}"), F.lit("}"))
+    return whole.filter("ended = 1").select("file", "place", F.regexp_replace(text, r"^[^{]*", "").alias("text")).filter(F.col("text") != "")
+
+
 def annotation_array(spark: SparkSession, path: str) -> DataFrame:
-    """Annotations of files that each hold one JSON array."""
-    return spark.read.schema(schemas.ANNOTATION).option("multiLine", True).json(path)
+    """Annotations of files that each hold JSON arrays; broken objects are skipped."""
+    parsed = object_texts(spark, path).select(F.from_json("text", schemas.ANNOTATION).alias("r"))
+    return parsed.select("r.*").filter(F.col("annotationId").isNotNull())
 
 
 def label_files(spark: SparkSession, path: str) -> DataFrame:

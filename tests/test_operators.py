@@ -1,6 +1,7 @@
 """Golden cases and invariants of the other operators."""
 
 import datetime as dt
+import json
 import math
 import random
 
@@ -297,3 +298,32 @@ def test_versions_are_published_whole_or_not(spark, tmp_path):
     again = splits.version_audit(splits.dataset_version(good.orderBy(F.desc("sample_id")), "b"), "b").first()
     assert again["fingerprint"] == audit["fingerprint"]
     assert splits.version_audit(splits.dataset_version(good.where("sample_id > 0"), "b"), "b").first()["fingerprint"] != audit["fingerprint"]
+
+
+def test_array_scan_of_any_layout(spark, tmp_path):
+    """Objects with braces, quotes and backslashes in strings, nested, cut anywhere by small splits."""
+    rnd = random.Random(6)
+    odd = ["}", "{", '"', "\\", '\\"', "},{", "[", "]", "\n", "é", '{"a": "}"}', ""]
+    want = {}
+    for name in ("a", "b"):
+        rows = [{"k": i, "s": "".join(rnd.choices(odd, k=rnd.randrange(12))), "n": {"m": [{"x": "}" * (i % 3)}], "e": {}}} for i in range(400)]
+        layout = {"indent": 2} if name == "a" else {"ensure_ascii": False}
+        (tmp_path / f"{name}.json").write_text(json.dumps(rows, **layout) + "\n", encoding="utf-8")
+        want[name] = rows
+    (tmp_path / "c.json").write_text("[]", encoding="utf-8")
+    (tmp_path / "d.json").write_text("", encoding="utf-8")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        out = files.object_texts(spark, str(tmp_path))
+        got = sorted((r.file[-6:-5], r.place, json.loads(r.text)) for r in out.collect())
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert [(f, r) for f, _, r in got] == [(f, r) for f in ("a", "b") for r in want[f]]
+
+
+def test_array_scan_skips_broken_objects(spark, tmp_path):
+    (tmp_path / "x.json").write_text('[{"annotationId": 1}, {"annotationId": tru}, {"annotationId": 3, "provenance": "a}"}, {"annotationId": 4', encoding="utf-8")
+    got = {(r.annotationId, r.provenance) for r in files.annotation_array(spark, str(tmp_path)).collect()}
+    assert got == {(1, None), (3, "a}")}
