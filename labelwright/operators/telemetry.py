@@ -130,6 +130,27 @@ def gated(triggers: DataFrame, counts: DataFrame) -> DataFrame:
     return known.withColumn("outcome", F.when(blocked, F.lit("RETRAINING_BLOCKED_NOT_READY")).otherwise(F.lit("RETRAINING_QUEUED")))
 
 
+def state_name(rolled_back: Column, stage: Column) -> Column:
+    return F.when(rolled_back, F.lit("ROLLED_BACK")).otherwise(F.lit(STAGES)[stage])
+
+
+def state_traffic(status: Column) -> Column:
+    return map_of(STAGE_TRAFFIC)[status].cast("int")
+
+
+def next_state(state: tuple, count: int, share: float) -> tuple:
+    """One report's effect on (stage, rolled_back, samples, rate, reports used), as in ``deployment_states``."""
+    stage, rolled_back, samples, rate, used = state
+    if rolled_back or stage >= len(STAGES) - 1:
+        return state
+    rate = share if share != 0 else rate
+    if rate > STAGE_MAX_ERROR_RATE:
+        return stage, True, samples + count, rate, used + 1
+    if samples + count >= STAGE_MIN_SAMPLES:
+        return stage + 1, False, 0, rate, used + 1
+    return stage, False, samples + count, rate, used + 1
+
+
 def deployment_states(reports: DataFrame) -> DataFrame:
     """State of each deployment after all its stage reports.
 
@@ -158,9 +179,8 @@ def deployment_states(reports: DataFrame) -> DataFrame:
         )
 
     state = reports.groupBy("deployment_id").agg(F.aggregate(listed, start, step).alias("s"))
-    name = F.when(F.col("s.rolled_back"), F.lit("ROLLED_BACK")).otherwise(F.lit(STAGES)[F.col("s.stage")])
-    return state.withColumn("status", name).select(
-        "deployment_id", "status", map_of(STAGE_TRAFFIC)[F.col("status")].cast("int").alias("traffic"), F.col("s.samples").alias("samples"), F.col("s.used").alias("reports")
+    return state.withColumn("status", state_name(F.col("s.rolled_back"), F.col("s.stage"))).select(
+        "deployment_id", "status", state_traffic(F.col("status")).alias("traffic"), F.col("s.samples").alias("samples"), F.col("s.used").alias("reports")
     )
 
 

@@ -105,15 +105,19 @@ def retrain_gate(spark, sf):
     return _text(ops.gated(ops.retrain_triggers(_hourly(spark, sf), ["model_version"]), counts))
 
 
-@query("deployment_states", """
-WITH RECURSIVE r AS (SELECT *, row_number() OVER (PARTITION BY deployment_id ORDER BY day) AS rn FROM @stage_reports),
+def _states_sql(reports, more=""):
+    return f"""
+WITH RECURSIVE r AS (SELECT *, row_number() OVER (PARTITION BY deployment_id ORDER BY day) AS rn FROM {reports}),
  s(deployment_id, rn, stage, rb, samples, rate, used) AS (SELECT DISTINCT deployment_id, 0::BIGINT, 0, false, 0::BIGINT, 0.0::DOUBLE, 0 FROM r UNION ALL
   SELECT x.deployment_id, x.rn, CASE WHEN up THEN stage + 1 ELSE stage END, rb OR bad, CASE WHEN over THEN samples WHEN up THEN 0 ELSE total END, CASE WHEN over THEN rate ELSE nrate END, CASE WHEN over THEN used ELSE used + 1 END FROM (
    SELECT *, NOT over AND nrate > 0.05 AS bad, NOT over AND NOT nrate > 0.05 AND total >= 100 AS up FROM (SELECT r.deployment_id, r.rn, s.stage, s.rb, s.samples, s.rate, s.used, s.rb OR s.stage >= 6 AS over, s.samples + r.samples AS total,
     CASE WHEN r.error_rate <> 0 THEN r.error_rate ELSE s.rate END AS nrate FROM s JOIN r ON r.deployment_id = s.deployment_id AND r.rn = s.rn + 1)) x),
  f AS (SELECT *, row_number() OVER (PARTITION BY deployment_id ORDER BY rn DESC) AS k FROM s),
  g AS (SELECT *, CASE WHEN rb THEN 'ROLLED_BACK' ELSE ['SHADOW', 'CANARY_1', 'CANARY_5', 'CANARY_25', 'CANARY_50', 'PROMOTING', 'PRODUCTION'][stage + 1] END AS status FROM f WHERE k = 1)
-SELECT deployment_id, status, CASE status WHEN 'CANARY_1' THEN 1 WHEN 'CANARY_5' THEN 5 WHEN 'CANARY_25' THEN 25 WHEN 'CANARY_50' THEN 50 WHEN 'PROMOTING' THEN 100 WHEN 'PRODUCTION' THEN 100 ELSE 0 END AS traffic, samples, used AS reports FROM g""")
+SELECT deployment_id, status, CASE status WHEN 'CANARY_1' THEN 1 WHEN 'CANARY_5' THEN 5 WHEN 'CANARY_25' THEN 25 WHEN 'CANARY_50' THEN 50 WHEN 'PROMOTING' THEN 100 WHEN 'PRODUCTION' THEN 100 ELSE 0 END AS traffic, samples, used AS reports{more} FROM g"""
+
+
+@query("deployment_states", _states_sql("@stage_reports"))
 def deployment_states(spark, sf):
     return ops.deployment_states(spark_view(spark, sf, "stage_reports"))
 
@@ -215,3 +219,16 @@ def stream_retrain(spark, sf):
     windows = jobs.run_to_end(jobs.health(_telemetry_stream(spark, sf), "1 hour", 5, keys=["model_version"]), "windows", sink=folder)
     again = jobs.read_parquet_stream(spark, os.path.join(folder, "data"), windows.schema)
     return _text(jobs.run_to_end(jobs.cooled_triggers(again, "model_version"), "triggers"))
+
+
+_FINAL = "(SELECT * FROM @stage_reports WHERE day::TIMESTAMP < (SELECT max(day)::TIMESTAMP - INTERVAL 2 DAY FROM @stage_reports))"
+
+
+@query("stream_deployments", _states_sql(_FINAL))
+def stream_deployments(spark, sf):
+    """Daily reports as a stream; keyed state with timers gives the state after all reports the watermark has passed."""
+    folder = os.path.join(shared_dir(spark), f"reports-{uuid.uuid4().hex}")
+    reports = spark_view(spark, sf, "stage_reports")
+    reports.write.parquet(folder)
+    changes = jobs.run_to_end(jobs.deployment_states(jobs.read_parquet_stream(spark, folder, reports.schema)), "deployments", mode="update")
+    return jobs.latest_states(changes).drop("last_day", "closed")

@@ -114,3 +114,61 @@ def cooled_triggers(windows: DataFrame, key: str) -> DataFrame:
         decide, f"{key} string, at bigint", "last bigint", "append", GroupStateTimeout.NoTimeout
     )
     return fired.select(key, F.timestamp_seconds("at").alias("triggered_at"))
+
+
+#: Reports may come this late; a deployment without reports for so many days is closed and its state dropped.
+REPORT_DELAY, IDLE_DAYS = "2 days", 30
+_STATE = "stage int, rolled_back boolean, samples bigint, rate double, used int, last bigint, days array<bigint>, counts array<bigint>, rates array<double>"
+
+
+def deployment_states(reports: DataFrame) -> DataFrame:
+    """Stage of each deployment as its reports (deployment_id, day, samples, error_rate) become final.
+
+    Reports are folded in order of their days, each once the watermark has passed it; until then it waits in the
+    deployment's state, which so holds one folded row and the reports of the watermark's delay. A report behind
+    the watermark is late and dropped, as in any window. A timer closes a deployment that reports no more: its
+    last row is marked ``closed`` and its state goes, so that only open deployments have state. A row is given
+    out whenever the folded part has changed.
+    """
+    hour, day_ms = 3_600_000, 86_400_000
+
+    def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        stage, rolled_back, samples, rate, used, last, *lists = state.get if state.exists else (0, False, 0, 0.0, 0, 0, [], [], [])
+        waiting = sorted(zip(*lists, strict=True))
+        for batch in batches:
+            waiting += zip(batch["at"], batch["samples"], batch["error_rate"], strict=True)
+        waiting.sort()
+        mark = state.getCurrentWatermarkMs()
+        due = [r for r in waiting if r[0] < mark]
+        for at, count, share in due:
+            stage, rolled_back, samples, rate, used = telemetry.next_state((stage, rolled_back, samples, rate, used), int(count), float(share))
+            last = int(at)
+        waiting = waiting[len(due) :]
+        closed = not waiting and last + IDLE_DAYS * day_ms < mark
+        if closed:
+            state.remove()
+        else:
+            days, counts, rates = (list(x) for x in zip(*waiting, strict=True)) if waiting else ([], [], [])
+            state.update((stage, rolled_back, samples, rate, used, last, [int(x) for x in days], [int(x) for x in counts], [float(x) for x in rates]))
+            wake = int(days[0]) + hour if waiting else last + IDLE_DAYS * day_ms + hour
+            state.setTimeoutTimestamp(max(wake, mark + 1))
+        if due or closed:
+            yield pd.DataFrame({"deployment_id": [key[0]], "stage": [stage], "rolled_back": [rolled_back], "samples": [samples], "reports": [used], "last": [last], "closed": [closed]})
+
+    timed = reports.withColumn("ts", F.col("day").cast("timestamp")).withWatermark("ts", REPORT_DELAY)
+    rows = timed.select("deployment_id", "ts", F.unix_millis("ts").alias("at"), "samples", "error_rate")
+    out = rows.groupBy("deployment_id").applyInPandasWithState(
+        fold, "deployment_id string, stage int, rolled_back boolean, samples bigint, reports int, last bigint, closed boolean", _STATE, "update", GroupStateTimeout.EventTimeTimeout
+    )
+    status = telemetry.state_name(F.col("rolled_back"), F.col("stage"))
+    return out.withColumn("status", status).select(
+        "deployment_id", "status", telemetry.state_traffic(F.col("status")).alias("traffic"), "samples", "reports", F.timestamp_millis("last").cast("date").alias("last_day"), "closed"
+    )
+
+
+def latest_states(changes: DataFrame) -> DataFrame:
+    """The last row of each deployment among the stored changes (with their ``batch``)."""
+    row = F.struct("batch", "last_day", "reports", "closed", "status", "traffic", "samples")
+    return changes.groupBy("deployment_id").agg(F.max(row).alias("r")).select(
+        "deployment_id", "r.status", "r.traffic", "r.samples", "r.reports", "r.last_day", "r.closed"
+    )

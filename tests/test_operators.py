@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from labelwright.functions.plan import settle
 from labelwright.operators import annotations, audit, boxes, complaints, dashboards, dedup, fields, filters, nutrition, paging, ranking, splits, telemetry
 from labelwright.sources import files
+from labelwright.streaming import jobs
 
 
 def detections(spark, lines):
@@ -252,6 +253,26 @@ def test_deployment_reaches_production_or_rolls_back(spark):
     assert got == {"g": "PRODUCTION", "b": "ROLLED_BACK", "f": "CANARY_1"}
 
 
+def test_deployment_stream_in_parts_equals_the_fold(spark, tmp_path):
+    """Days in any order within the delay, over several runs of one checkpoint; idle deployments are closed."""
+    rnd = random.Random(3)
+    first = dt.date(2024, 1, 1)
+    rows = [(f"d{k}", first + dt.timedelta(days=d), rnd.choice([20, 60, 120]), rnd.choice([0.0, 0.01, 0.02, 0.06 if k % 3 == 0 else 0.03])) for k in range(12) for d in range(0, 12 + k)]
+    rows += [("old", first, 100, 0.0), ("late", first + dt.timedelta(days=70), 5, 0.0)]
+    schema = "deployment_id string, day date, samples long, error_rate double"
+    source, sink = str(tmp_path / "in"), str(tmp_path / "out")
+    parts = [(0, 9), (10, 15), (16, 80)]
+    for lo, hi in parts:
+        part = [r for r in rows if lo <= (r[1] - first).days <= hi]
+        rnd.shuffle(part)
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(source)
+        stream = jobs.deployment_states(jobs.read_parquet_stream(spark, source, schema))
+        changes = jobs.run_to_end(stream, "deployments", mode="update", sink=sink)
+    got = {r.deployment_id: (r.status, r.traffic, r.samples, r.reports, r.closed) for r in jobs.latest_states(changes).collect()}
+    want = telemetry.deployment_states(spark.createDataFrame([r for r in rows if r[0] != "late"], schema)).collect()
+    assert got == {r.deployment_id: (r.status, r.traffic, r.samples, r.reports, True) for r in want}
+
+
 def test_connected_groups_of_a_chain(spark):
     fps, v = [], 0
     for i in range(12):
