@@ -54,15 +54,34 @@ VISUAL_CLAUSES = [
     "medicalDeviceOverride",
     "pdpLocation",
 ]
+# The clauses that a measured height decides.
+MEASURED_CLAUSES = ["numeralLetterHeight", "smallPackage", "letterHeight", "letterWidthRatio", "quantityTypeDependentSize"]
 PANEL_MIN_CONFIDENCE = 0.6
 FIELD_MIN_CONFIDENCE = 0.8
 
 STATUS_RANK = {"FAIL": 1, "REVIEW": 2, "PENDING": 2, "PASS": 3}
 
 
+_MEASUREMENTS = "array<struct<target:string,pixel_height:double,physical_height:double,uncertainty:double,status:string>>"
+
+
 def prepare(products: DataFrame) -> DataFrame:
-    """Collect declarations and context of a product into maps keyed by clause name."""
+    """Collect declarations and context of a product into maps keyed by clause name.
+
+    Evidence by inspection is read from ``explicit`` (map of clause name to value) and measured heights from
+    ``measurements``, an array with one entry per measured clause (its ``target``). Tables without these columns give
+    one ``visual_evidence`` for all visual clauses, ``size_evidence`` for the numeral height and one
+    ``physical_height`` with its ``height_uncertainty`` and ``height_status`` for all measured clauses.
+    """
     c = F.col
+    by_clause = "explicit" in products.columns
+    if "measurements" in products.columns:
+        heights = F.col("measurements").cast(_MEASUREMENTS)
+    else:
+        one = lambda key: F.struct(
+            F.lit(key), F.lit(None).cast("double"), c("physical_height"), c("height_uncertainty"), c("height_status")
+        )
+        heights = F.array(*[one(key) for key in MEASURED_CLAUSES]).cast(_MEASUREMENTS)
     text = lambda name: c(name).cast("string")
     declared = {
         "manufacturerName": c("manufacturer_name"),
@@ -74,11 +93,8 @@ def prepare(products: DataFrame) -> DataFrame:
         "expiryOrUseByDate": text("expiry_date"),
         "dimensions": c("dimensions"),
         "unitSalePrice": c("unit_sale_price"),
-        "numeralLetterHeight": c("size_evidence"),
-        **{
-            key: c("visual_evidence")
-            for key in VISUAL_CLAUSES
-        },
+        **({k: c("explicit")[k] for k in MEASURED_CLAUSES} if by_clause else {"numeralLetterHeight": c("size_evidence")}),
+        **{key: c("explicit")[key] if by_clause else c("visual_evidence") for key in VISUAL_CLAUSES},
     }
     context = {
         "domain": c("domain"),
@@ -96,6 +112,7 @@ def prepare(products: DataFrame) -> DataFrame:
         as_map(declared).alias("declared"),
         as_map(context).alias("context"),
         F.split("confirmed_absent", ",").alias("absent_fields"),
+        heights.alias("heights"),
     )
 
 
@@ -251,14 +268,20 @@ def _unit_price_clause() -> Column:
     return _conditional("unitSalePrice", F.col("usp_applicable"), undecided)
 
 
+def _measured(key: Column) -> Column:
+    """The first measurement of a clause's own target; null if it has none."""
+    return F.get(F.filter("heights", lambda m: m["target"] == key), F.lit(0))
+
+
 def _measurement(key: Column, rule_id: Column, thresholds: Mapping[str, float], trusted) -> Column:
     review = lambda code: _outcome("REVIEW", code)
-    status, height = F.col("measurement_status"), F.col("physical_height")
+    status, measured = F.col("measurement_status"), _measured(key)
+    height = measured["physical_height"]
     limit = F.lit(None).cast("double")
     if thresholds:
         limit = map_of(thresholds)[rule_id]
     trust = F.coalesce(F.col("calibration_source").isin(list(trusted)), F.lit(False)) if trusted else F.lit(False)
-    band = F.coalesce(F.col("height_uncertainty"), F.lit(0.0))
+    band = F.coalesce(measured["uncertainty"], F.lit(0.0))
     return _chain(
         [
             (_absent(key), _outcome("FAIL", "CONFIRMED_ABSENT")),
@@ -268,7 +291,7 @@ def _measurement(key: Column, rule_id: Column, thresholds: Mapping[str, float],
             (status == "UNCERTAIN", review("UNCERTAIN")),
             (status != "CALIBRATED", review("NO_EVIDENCE")),
             (height.isNull(), review("TARGET_NOT_MEASURED")),
-            (F.col("height_status") == "UNCERTAIN", review("HEIGHT_UNCERTAIN")),
+            (measured["status"] == "UNCERTAIN", review("HEIGHT_UNCERTAIN")),
             (~trust, review("CALIBRATION_NOT_TRUSTED")),
             (limit.isNull(), review("NO_VERIFIED_THRESHOLD")),
             (height - band >= limit, _outcome("PASS", "MEETS_THRESHOLD")),
@@ -375,7 +398,7 @@ def _evidence(number: Column, key: Column, evaluator: Column, outcome: Column) -
     """What led to an outcome: array of (field, value, source, state, confidence), empty where nothing did.
 
     A confirmed absence is an item without value; a declaration gives its value, read or explicit;
-    a measurement its height; the panel clause every fused declaration with its place and confidence.
+    a measurement its own height, in pixels where millimetres are not to be had; the panel clause every fused declaration with its place and confidence.
     """
     reason = outcome["reason_code"]
     said = F.concat_ws(" ", plain_number(F.col("net_value")), F.col("net_unit"))
@@ -389,7 +412,9 @@ def _evidence(number: Column, key: Column, evaluator: Column, outcome: Column) -
     origin = F.when(number.isin("7", "8", "9"), F.lit("explicit")).otherwise(F.lit("ocr"))
     quantity_item = _item(F.lit("netQuantity"), said, "ocr")
     placed = F.transform(_panel_declarations(), lambda f: _item(f["field"], f["value"], "vision", F.coalesce(f["relation"], F.lit("UNKNOWN")), f["confidence"]))
-    height = F.format_string("%.2f mm", F.col("physical_height"))
+    measured = _measured(key)
+    height, pixels = F.format_string("%.2f mm", measured["physical_height"]), F.concat(plain_number(measured["pixel_height"]), F.lit(" px"))
+    in_pixels = reason.isin("UNCALIBRATED", "HEIGHT_UNCERTAIN") & measured["pixel_height"].isNotNull()
     return _chain(
         [
             (reason == "CONFIRMED_ABSENT", F.array(_item(key, F.lit(None).cast("string"), "ocr", "ABSENT_CONFIRMED"))),
@@ -397,6 +422,7 @@ def _evidence(number: Column, key: Column, evaluator: Column, outcome: Column) -
             ((evaluator == "permissible_error") & (reason != "NO_MEASUREMENT"), F.array(quantity_item, _item(F.lit("observedQuantity"), seen, "manual"))),
             (evaluator == "quantity_expression", F.array(quantity_item)),
             (reason.isin("PRESENT", "MALFORMED"), F.array(_item(key, value, origin))),
+            ((evaluator == "measurement") & in_pixels, F.array(_item(key, pixels, "measurement"))),
             ((evaluator == "measurement") & reason.isin(_MEASURED), F.array(_item(key, height, "measurement"))),
             ((evaluator == "panel") & reason.isin(_PLACED), placed),
         ],

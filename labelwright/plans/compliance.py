@@ -19,25 +19,59 @@ def _facts(spark, sf):
     return spark_view(spark, sf, "product_facts")
 
 
+_PLACE = "CASE WHEN product_id % {0} = 0 THEN 'OUTSIDE' WHEN product_id % {0} = 1 THEN 'PARTIAL' WHEN product_id % {0} <> 2 THEN 'INSIDE' END"
+_INSIDE = "CASE WHEN product_id % {0} <> 3 THEN 'INSIDE' END"
+# Stand-in for what vision found: field, value, confidence and place, as SQL of both engines.
+_FUSED_FIELDS = [
+    ("mrp", "CAST(mrp AS STRING)", "mrp_field_confidence", "mrp_relation"),
+    ("netQuantity", "CAST(net_value AS STRING)", "0.95", "quantity_relation"),
+    ("manufacturerName", "manufacturer_name", "CASE WHEN product_id % 19 = 0 THEN 0.7 ELSE 0.9 END", _PLACE.format(13)),
+    ("manufacturerAddress", "manufacturer_address", "0.85", _INSIDE.format(91)),
+    ("packerName", "CASE WHEN product_id % 5 = 2 THEN manufacturer_name END", "0.9", _INSIDE.format(83)),
+    ("packerAddress", "CASE WHEN product_id % 5 = 2 THEN manufacturer_address END", "0.9", _INSIDE.format(79)),
+    ("importerName", "CASE WHEN import_status = 'IMPORTED' THEN 'Imports Ltd' END", "CASE WHEN product_id % 43 = 0 THEN 0.6 ELSE 0.9 END", _PLACE.format(73)),
+    ("importerAddress", "CASE WHEN import_status = 'IMPORTED' THEN 'REVIEW' END", "0.1", "'OUTSIDE'"),
+    ("countryOfOrigin", "country_of_origin", "0.9", _PLACE.format(11)),
+    ("commonGenericName", "common_generic_name", "CASE WHEN product_id % 23 <> 0 THEN 0.85 END", _PLACE.format(17)),
+    ("monthYearOfManufacture", "CAST(date_of_manufacture AS STRING)", "0.8", _INSIDE.format(71)),
+    ("dateOfPacking", "CAST(date_of_packing AS STRING)", "0.8", _PLACE.format(29)),
+    ("bestBefore", "CASE WHEN product_id % 2 = 0 THEN CAST(expiry_date AS STRING) END", "0.9", _PLACE.format(67)),
+    ("useBy", "CASE WHEN product_id % 2 = 1 THEN CAST(expiry_date AS STRING) END", "0.9", _PLACE.format(61)),
+    ("consumerCarePhone", "care_phone", "0.95", _INSIDE.format(59)),
+    ("consumerCareEmail", "care_email", "CASE WHEN product_id % 35 <> 0 THEN 0.95 END", _INSIDE.format(53)),
+    ("unitSalePrice", "unit_sale_price", "0.9", _INSIDE.format(47)),
+    ("dimensions", "dimensions", "0.9", _PLACE.format(41)),
+    # not a mandatory declaration: its place does not matter
+    ("batchNumber", "'B1'", "0.5", "'OUTSIDE'"),
+]
+# Stand-in for measured heights: clause, height, uncertainty and state; the last clause is never measured.
+_HEIGHTS = [
+    ("numeralLetterHeight", "physical_height + 0.75", "height_uncertainty / 2", "CASE WHEN product_id % 25 = 2 THEN 'UNCERTAIN' ELSE 'MEASURED' END"),
+    ("smallPackage", "CASE WHEN product_id % 2 = 0 THEN physical_height END", "0.0", "'MEASURED'"),
+    ("letterHeight", "physical_height", "height_uncertainty", "height_status"),
+    ("letterWidthRatio", "physical_height / 4", "CASE WHEN product_id % 7 <> 0 THEN 0.1 END", "'MEASURED'"),
+]
+# Stand-in for inspection: each clause has evidence of its own.
+_EXPLICIT = {
+    "numeralLetterHeight": "size_evidence",
+    "letterWidthRatio": "CASE WHEN product_id % 15 = 4 THEN '0.4' END",
+    **{key: f"CASE WHEN product_id % 12 = {(5 + i) % 12} THEN 'confirmed {i}' END" for i, key in enumerate(ops.VISUAL_CLAUSES)},
+}
+
+
 def _with_panel(df):
+    double = lambda e: F.expr(f"CAST({e} AS DOUBLE)")
     field = lambda name, value, conf, rel: F.struct(
-        F.lit(name).alias("field"), value.alias("value"), conf.alias("confidence"), rel.alias("relation")
+        F.lit(name).alias("field"), F.expr(value).alias("value"), double(conf).alias("confidence"), F.expr(rel).alias("relation")
     )
-    key = F.col("product_id")
-    relation = lambda m: F.when(key % m == 0, "OUTSIDE").when(key % m == 1, "PARTIAL").when(key % m != 2, "INSIDE")
-    return df.withColumn(
-        "panel_fields",
-        F.array(
-            field("mrp", F.col("mrp").cast("string"), F.col("mrp_field_confidence"), F.col("mrp_relation")),
-            field("netQuantity", F.col("net_value").cast("string"), F.lit(0.95), F.col("quantity_relation")),
-            field("manufacturerName", F.col("manufacturer_name"), F.when(key % 19 == 0, 0.7).otherwise(0.9), relation(13)),
-            field("countryOfOrigin", F.col("country_of_origin"), F.lit(0.9), relation(11)),
-            field("commonGenericName", F.col("common_generic_name"), F.when(key % 23 == 0, F.lit(None)).otherwise(0.85), relation(17)),
-            field("dateOfPacking", F.col("date_of_packing").cast("string"), F.lit(0.8), relation(29)),
-            # not a mandatory declaration: its place does not matter
-            field("batchNumber", F.lit("B1"), F.lit(0.5), F.lit("OUTSIDE")),
-        ),
+    height = lambda i, target, value, band, state: F.struct(
+        F.lit(target).alias("target"), double(f"product_id % 30 + {20 + i}").alias("pixel_height"), double(value).alias("physical_height"), double(band).alias("uncertainty"), F.expr(state).alias("status")
     )
+    return df.withColumns({
+        "panel_fields": F.array(*[field(*f) for f in _FUSED_FIELDS]),
+        "measurements": F.array(*[height(i, *m) for i, m in enumerate(_HEIGHTS)]),
+        "explicit": F.create_map(*[x for key, e in _EXPLICIT.items() for x in (F.lit(key), F.expr(e))]),
+    })
 
 
 # ---- SQL side: the dimensions as VALUES -----------------------------------------------------
@@ -212,9 +246,7 @@ _DECLARED = """CASE clause_key WHEN 'manufacturerName' THEN manufacturer_name WH
  WHEN 'countryOfOrigin' THEN country_of_origin WHEN 'commonGenericName' THEN common_generic_name
  WHEN 'dateOfManufacture' THEN date_of_manufacture::VARCHAR WHEN 'dateOfPacking' THEN date_of_packing::VARCHAR
  WHEN 'expiryOrUseByDate' THEN expiry_date::VARCHAR WHEN 'dimensions' THEN dimensions WHEN 'unitSalePrice' THEN unit_sale_price
- WHEN 'numeralLetterHeight' THEN size_evidence
- ELSE CASE WHEN clause_key IN ('surroundingSpace','presentedDeclarations','wrapperVisibility','legibility','prominence',
-  'contrastingPresentation','languageFramework','medicalDeviceOverride','pdpLocation') THEN visual_evidence END END"""
+ """ + " ".join(f"WHEN '{k}' THEN {e}" for k, e in _EXPLICIT.items()) + " END"
 _HAS = "coalesce(declared NOT IN ('', 'UNKNOWN'), false)"
 _GONE = "list_contains(string_split(confirmed_absent, ','), %s)"
 _KEYGONE = _GONE % "clause_key"
@@ -227,26 +259,18 @@ def _needed(flag, open_code):
 
 
 _LIMIT_SQL = "CASE rule_id " + " ".join(f"WHEN '{k}' THEN {v}::DOUBLE" for k, v in THRESHOLDS.items()) + " END"
+_OF_TARGET = lambda k: "CASE clause_key " + " ".join(f"WHEN '{m[0]}' THEN {m[k]}" for m in _HEIGHTS) + " END"
+_HEIGHT, _BAND, _STATE = f"CAST({_OF_TARGET(1)} AS DOUBLE)", f"coalesce(CAST({_OF_TARGET(2)} AS DOUBLE), 0)", _OF_TARGET(3)
+_PIXELS = "CASE clause_key " + " ".join(f"WHEN '{m[0]}' THEN product_id % 30 + {20 + i}" for i, m in enumerate(_HEIGHTS)) + " END"
 _MEASURE = f"""CASE WHEN {_KEYGONE} THEN 'FAIL:CONFIRMED_ABSENT' WHEN {_HAS} THEN 'PASS:PRESENT'
  WHEN measurement_status IS NULL OR measurement_status = 'UNAVAILABLE' THEN 'REVIEW:NOT_MEASURED'
  WHEN measurement_status IN ('UNCALIBRATED', 'UNCERTAIN') THEN 'REVIEW:' || measurement_status
- WHEN physical_height IS NULL THEN 'REVIEW:TARGET_NOT_MEASURED' WHEN height_status = 'UNCERTAIN' THEN 'REVIEW:HEIGHT_UNCERTAIN'
+ WHEN {_HEIGHT} IS NULL THEN 'REVIEW:TARGET_NOT_MEASURED' WHEN {_STATE} = 'UNCERTAIN' THEN 'REVIEW:HEIGHT_UNCERTAIN'
  WHEN calibration_source <> 'reference_card' THEN 'REVIEW:CALIBRATION_NOT_TRUSTED'
  WHEN {_LIMIT_SQL} IS NULL THEN 'REVIEW:NO_VERIFIED_THRESHOLD'
- WHEN physical_height - height_uncertainty >= {_LIMIT_SQL} THEN 'PASS:MEETS_THRESHOLD'
- WHEN physical_height + height_uncertainty < {_LIMIT_SQL} THEN 'FAIL:BELOW_THRESHOLD' ELSE 'REVIEW:STRADDLES_THRESHOLD' END"""
-_RELATION = "CASE WHEN product_id % {0} = 0 THEN 'OUTSIDE' WHEN product_id % {0} = 1 THEN 'PARTIAL' WHEN product_id % {0} <> 2 THEN 'INSIDE' END"
-_FUSED = ", ".join(
-    f"{{'value': {v}, 'confidence': {c}, 'relation': {r}}}"
-    for v, c, r in (
-        ("CAST(mrp AS VARCHAR)", "mrp_field_confidence", "mrp_relation"),
-        ("CAST(net_value AS VARCHAR)", "0.95::DOUBLE", "quantity_relation"),
-        ("manufacturer_name", "CASE WHEN product_id % 19 = 0 THEN 0.7 ELSE 0.9 END::DOUBLE", _RELATION.format(13)),
-        ("country_of_origin", "0.9::DOUBLE", _RELATION.format(11)),
-        ("common_generic_name", "CASE WHEN product_id % 23 <> 0 THEN 0.85::DOUBLE END", _RELATION.format(17)),
-        ("CAST(date_of_packing AS VARCHAR)", "0.8::DOUBLE", _RELATION.format(29)),
-    )
-)
+ WHEN {_HEIGHT} - {_BAND} >= {_LIMIT_SQL} THEN 'PASS:MEETS_THRESHOLD'
+ WHEN {_HEIGHT} + {_BAND} < {_LIMIT_SQL} THEN 'FAIL:BELOW_THRESHOLD' ELSE 'REVIEW:STRADDLES_THRESHOLD' END"""
+_FUSED = ", ".join(f"{{'value': {v}, 'confidence': CAST({c} AS DOUBLE), 'relation': {p}}}" for n, v, c, p in _FUSED_FIELDS if n != "batchNumber")
 _FUSED = f"list_filter([{_FUSED}], lambda x: coalesce(x.value, '') NOT IN ('', 'UNKNOWN', 'REVIEW'))"
 _SOME = lambda test: f"len(list_filter({_FUSED}, lambda x: coalesce({test}, false))) > 0"
 _PANEL = f"""CASE WHEN visual_status IS NULL THEN {_PRESENCE} WHEN visual_status <> 'SUCCESS' THEN 'REVIEW:MODEL_UNAVAILABLE'
@@ -279,15 +303,7 @@ _PLAIN = lambda x: f"regexp_replace(CAST({x} AS VARCHAR), '\\.0$', '')"
 _ITEM = lambda field, value, source, state="'PRESENT'", conf="CAST(NULL AS DOUBLE)": f"{{'field': {field}, 'value': {value}, 'source': {source}, 'state': {state}, 'confidence': {conf}}}"
 _SAID_Q = f"concat_ws(' ', {_PLAIN('net_value')}, net_unit)"
 _PANEL_ITEMS = ", ".join(
-    _ITEM(f"'{name}'", v, "'vision'", f"coalesce({r}, 'UNKNOWN')", c)
-    for name, v, c, r in (
-        ("mrp", "CAST(mrp AS VARCHAR)", "mrp_field_confidence", "mrp_relation"),
-        ("netQuantity", "CAST(net_value AS VARCHAR)", "0.95::DOUBLE", "quantity_relation"),
-        ("manufacturerName", "manufacturer_name", "CASE WHEN product_id % 19 = 0 THEN 0.7 ELSE 0.9 END::DOUBLE", _RELATION.format(13)),
-        ("countryOfOrigin", "country_of_origin", "0.9::DOUBLE", _RELATION.format(11)),
-        ("commonGenericName", "common_generic_name", "CASE WHEN product_id % 23 <> 0 THEN 0.85::DOUBLE END", _RELATION.format(17)),
-        ("dateOfPacking", "CAST(date_of_packing AS VARCHAR)", "0.8::DOUBLE", _RELATION.format(29)),
-    )
+    _ITEM(f"'{n}'", v, "'vision'", f"coalesce({p}, 'UNKNOWN')", f"CAST({c} AS DOUBLE)") for n, v, c, p in _FUSED_FIELDS if n != "batchNumber"
 )
 _NOTHING = f"list_filter([{_ITEM(chr(39) * 2, chr(39) * 2, chr(39) * 2)}], lambda x: false)"
 _EVIDENCE = f"""CASE WHEN fits NOT LIKE 'APPLICABLE%' THEN {_NOTHING}
@@ -299,7 +315,8 @@ _EVIDENCE = f"""CASE WHEN fits NOT LIKE 'APPLICABLE%' THEN {_NOTHING}
  WHEN o LIKE '%:PRESENT' OR o LIKE '%:MALFORMED' THEN [{_ITEM('clause_key', f"""CASE clause_key WHEN 'netQuantity' THEN {_SAID_Q}
    WHEN 'mrp' THEN {_PLAIN('mrp')} WHEN 'consumerCareDetails' THEN concat_ws(', ', care_phone, care_email) ELSE trim(declared) END""", "CASE WHEN rule_number IN ('7', '8', '9') THEN 'explicit' ELSE 'ocr' END")}]
  WHEN evaluator = 'measurement' AND split_part(o, ':', 2) IN ('CALIBRATION_NOT_TRUSTED', 'NO_VERIFIED_THRESHOLD', 'MEETS_THRESHOLD', 'BELOW_THRESHOLD', 'STRADDLES_THRESHOLD')
-  THEN [{_ITEM('clause_key', "printf('%.2f mm', physical_height)", "'measurement'")}]
+  THEN [{_ITEM('clause_key', f"printf('%.2f mm', floor({_HEIGHT} * 100 + 0.5) / 100)", "'measurement'")}]
+ WHEN evaluator = 'measurement' AND split_part(o, ':', 2) IN ('UNCALIBRATED', 'HEIGHT_UNCERTAIN') AND {_PIXELS} IS NOT NULL THEN [{_ITEM('clause_key', f"CAST({_PIXELS} AS VARCHAR) || ' px'", "'measurement'")}]
  WHEN evaluator = 'panel' AND (o LIKE '%:FIELD_%' OR o LIKE '%:ALL_INSIDE') THEN list_filter([{_PANEL_ITEMS}], lambda x: coalesce(x.value, '') NOT IN ('', 'UNKNOWN', 'REVIEW'))
  ELSE {_NOTHING} END"""
 _CHECKS = f"""SELECT product_id, user_id, rule_number, rule_id, clause_key, automation_level, declared, {_EVIDENCE} AS evidence,

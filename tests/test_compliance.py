@@ -111,3 +111,31 @@ def test_evidence_of_checks(spark):
     assert all(not r.evidence for r in rows.values() if r.reason_code == "NO_EVIDENCE" or r.status == "NOT_APPLICABLE")
     shown = {r.clause_key: r.evidence for r in reports.context_projection(checks).collect()}
     assert shown["pdpLocation"] == panel.evidence[:3]
+
+
+def test_each_clause_has_its_own_measurement_and_evidence(spark):
+    """A height decides only the clause it was taken for; inspection of one clause says nothing of another."""
+    from labelwright.plans import compliance as plans
+
+    facts = spark_view(spark, "/root/testdata/sf0.001", "product_facts").where("consumer_type = 'RETAIL'").limit(1)
+    height = lambda target, value, state="MEASURED": F.struct(F.lit(target).alias("target"), F.lit(40.0).alias("pixel_height"), F.lit(value).cast("double").alias("physical_height"), F.lit(0.2).alias("uncertainty"), F.lit(state).alias("status"))
+    heights = F.array(height("numeralLetterHeight", 2.5), height("letterHeight", 0.5), height("letterWidthRatio", 1.0, "UNCERTAIN"), height("quantityTypeDependentSize", None), height("letterHeight", 9.0))
+    given = {
+        "confirmed_absent": F.lit(""), "measurement_status": F.lit("CALIBRATED"), "calibration_source": F.lit("reference_card"), "package_dimensions": F.lit("10x10"),
+        "measurements": heights, "explicit": F.create_map(F.lit("legibility"), F.lit(" seen ")),
+    }
+
+    def checks(**more):
+        rows = compliance.evaluate(plans._with_panel(facts).withColumns({**given, **more}), ["7", "9"], plans.THRESHOLDS, plans.TRUSTED).collect()
+        return {r.clause_key: (r.status, r.reason_code, [(e.value, e.source) for e in r.evidence]) for r in rows}
+
+    got = checks()
+    assert got["numeralLetterHeight"] == ("PASS", "MEETS_THRESHOLD", [("2.50 mm", "measurement")])
+    assert got["letterHeight"] == ("FAIL", "BELOW_THRESHOLD", [("0.50 mm", "measurement")])
+    assert got["letterWidthRatio"] == ("REVIEW", "HEIGHT_UNCERTAIN", [("40 px", "measurement")])
+    assert got["quantityTypeDependentSize"] == got["smallPackage"] == ("REVIEW", "TARGET_NOT_MEASURED", [])
+    assert got["legibility"] == ("PASS", "PRESENT", [("seen", "explicit")])
+    assert got["prominence"] == ("REVIEW", "NO_EVIDENCE", [])
+    raw = checks(measurement_status=F.lit("UNCALIBRATED"))
+    assert raw["letterHeight"] == ("REVIEW", "UNCALIBRATED", [("40 px", "measurement")])
+    assert raw["smallPackage"] == ("REVIEW", "UNCALIBRATED", [])
