@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from labelwright.functions import quantity
 from labelwright.functions.evidence import has_value, known, listed, plain_number
 from labelwright.functions.literals import map_of
-from labelwright.functions.plan import spread
+from labelwright.functions.plan import settle, spread
 from labelwright.functions.rounding import half_up
 from labelwright.operators.rulebook import CLAUSES, with_clauses
 
@@ -314,7 +314,7 @@ def _panel_declarations() -> Column:
 def _panel(key: Column) -> Column:
     """Location of the fused declarations relative to the detected display panel."""
     review = lambda code: _outcome("REVIEW", code)
-    relevant = _panel_declarations()
+    relevant = F.col("placed")
     some = lambda test: F.exists(relevant, test)
     relation = lambda f: F.coalesce(f["relation"], F.lit("UNKNOWN"))
     status = F.col("visual_status")
@@ -411,7 +411,7 @@ def _evidence(number: Column, key: Column, evaluator: Column, outcome: Column) -
     )
     origin = F.when(number.isin("7", "8", "9"), F.lit("explicit")).otherwise(F.lit("ocr"))
     quantity_item = _item(F.lit("netQuantity"), said, "ocr")
-    placed = F.transform(_panel_declarations(), lambda f: _item(f["field"], f["value"], "vision", F.coalesce(f["relation"], F.lit("UNKNOWN")), f["confidence"]))
+    placed = F.transform("placed", lambda f: _item(f["field"], f["value"], "vision", F.coalesce(f["relation"], F.lit("UNKNOWN")), f["confidence"]))
     measured = _measured(key)
     height, pixels = F.format_string("%.2f mm", measured["physical_height"]), F.concat(plain_number(measured["pixel_height"]), F.lit(" px"))
     in_pixels = reason.isin("UNCALIBRATED", "HEIGHT_UNCERTAIN") & measured["pixel_height"].isNotNull()
@@ -446,6 +446,7 @@ def evaluate(products: DataFrame, rule_numbers=("6", "7", "8", "9", "11"), thres
         .withColumn("scope", scope_status(F.col("consumer_type")))
         .withColumn("basis", quantity.price_basis(F.col("net_value"), F.col("net_unit"), F.col("package_type")))
     )
+    ready = settle(ready, "placed", _panel_declarations())
     open_review = _outcome("REVIEW", "APPLICABILITY_OPEN")
     per_product = {
         "quantity": lambda: _quantity_clause(),
