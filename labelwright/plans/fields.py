@@ -9,7 +9,7 @@ from labelwright.functions import text as T
 from labelwright.operators import boxes as B
 from labelwright.operators import fields as ops
 from labelwright.plans.catalog import query
-from labelwright.plans.labels import _duck_plausible, _groups, _match, _num, _sq, _tail, detections
+from labelwright.plans.labels import _duck_plausible, _groups, _labelled_sql, _match, _num, _sq, _tail, detections
 from labelwright.sources.standins import define, spark_view
 
 
@@ -23,6 +23,13 @@ def extract_mrp(spark, sf):
     return d.filter(F.col("value").isNotNull())
 
 
+@query("labelled_prices", f"""SELECT v.image_id, {_num('value')} AS value, 'INR' AS currency, t.image_id IS NOT NULL AS inclusive, source_type
+ FROM ({_labelled_sql(('mrp',))}) v LEFT JOIN (SELECT DISTINCT image_id FROM @detections WHERE {_match('text', P.TAX_INCLUSIVE)}) t ON t.image_id = v.image_id""")
+def labelled_prices(spark, sf):
+    """Prices next to their labels; the wording on taxes may stand anywhere on the image."""
+    return ops.labelled_prices(detections(spark, sf))
+
+
 _QUNITS = "(VALUES " + ", ".join(
     f"('{w}', '{k}', {f!r}::DOUBLE)" for k, factors in P.QUANTITY_TOKEN_UNITS.items() for w, f in factors.items()
 ) + ") u(word, kind, multiplier)"
@@ -96,7 +103,8 @@ _COUNTRY = [
     for p in P.COUNTRY_LABELS
 ]
 define("plain_lines", """
-SELECT 'p' || cast(k AS string) AS image_id, cast(pos AS bigint) AS line_no, text FROM @label_left WHERE text IS NOT NULL
+SELECT 'p' || cast(k AS string) AS image_id, cast(2 * pos AS bigint) AS line_no, text FROM @label_left WHERE text IS NOT NULL
+UNION ALL SELECT 'p' || cast(k AS string), cast(2 * pos + 1 AS bigint), text FROM @label_right WHERE text IS NOT NULL
 UNION ALL SELECT 'd' || cast(k AS string), cast(pos AS bigint), text FROM @text_lines WHERE text <> ''""")
 
 

@@ -55,6 +55,13 @@ def test_labelled_fields_of_plain_lines(spark):
     assert got == {"mrp": "250.00", "netQuantity": "500 g", "batchLotNumber": "ABC123"}
 
 
+def test_tax_wording_anywhere_on_the_image(spark):
+    noted = detections(spark, ["MRP Rs 250.00", "far away", "x", "y", "z", "(Inclusive of all taxes)"])
+    plain = detections(spark, ["MRP Rs 99", "taxes extra"])
+    got = [fields.labelled_prices(d).first() for d in (noted, plain)]
+    assert [(r.value, r.currency, r.inclusive) for r in got] == [(250.0, "INR", True), (99.0, "INR", False)]
+
+
 def test_labelled_dates(spark):
     d = detections(spark, ["Mfg Date: 15/08/2025", "nothing", "x", "y", "z", "w", "Use By: 01/2027", "Best Before: 31.12.2026"])
     got = {r["field"]: r["value"] for r in boxes.labelled_values(d, ("dateOfManufacture", "expiryOrUseByDate")).collect()}
