@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from labelwright.functions.hashing import hex_bucket
 from labelwright.functions.literals import map_of
 from labelwright.functions.rounding import half_up
 from labelwright.operators import ranking
+from labelwright.session import materialize
 
 # ---- Fixed values --------------------------------------------------------------------------
 MIN_SAMPLES = 1000
@@ -102,24 +104,46 @@ def retained(events: DataFrame, as_of: str) -> DataFrame:
     return events.filter(F.col("ts") >= F.lit(as_of).cast("timestamp") - F.make_dt_interval(F.lit(RETENTION_DAYS)))
 
 
+#: Days of one stretch of a key's history, at least two.
+STRETCH_DAYS = 64
+
+
 def retrain_triggers(windows: DataFrame, keys) -> DataFrame:
     """First degraded window and then each first one after the cool-down has passed.
 
-    The fold runs over time windows, not events: a key has one entry per window however
-    many events there are.
+    A key's history is cut into stretches. Where a stretch's triggers fall depends on the past only by the time
+    from which a trigger is allowed, and that lies within its first cool-down; so a stretch is a small table from
+    entries (its first day's windows) to the time allowed after it. Tables compose, in rounds that double how
+    many stretches each one spans; then every stretch knows its entry and folds its own windows. No list is
+    longer than a stretch.
     """
-    degraded = windows.filter(F.col("status") == "QUALITY_DEGRADED")
-    starts = F.array_sort(F.collect_list(F.unix_timestamp("window_start")))
+    gap, length = COOLDOWN_HOURS * 3600, STRETCH_DAYS * 86400
+    stretch = F.floor(F.col("t") / length)
+    rows = windows.filter(F.col("status") == "QUALITY_DEGRADED").select(*keys, F.unix_timestamp("window_start").alias("t"))
+    rows = rows.groupBy(*keys, stretch.alias("stretch")).agg(F.array_sort(F.collect_set("t")).alias("starts"))
+    allowed = lambda first: F.aggregate("starts", first, lambda acc, t: F.when(t >= acc, t + gap).otherwise(acc))
+    day = F.col("stretch") * length + gap
+    entries = F.concat(F.filter("starts", lambda t: t < day), F.array(day))
+    table = F.transform(entries, lambda x: F.struct(x.alias("upto"), allowed(x).alias("after")))
+    order = W.partitionBy(*keys).orderBy("stretch")
+    rows = materialize(rows.select("*", table.alias("table"), F.row_number().over(order).alias("n")), "stretches")
+    many, span = rows.agg(F.max("n")).first()[0] or 0, 1
+    while span < many:
+        before = F.lag("table", span).over(order)
+        then = lambda after: F.get(F.filter("table", lambda e: e["upto"] >= after), F.lit(0))["after"]
+        joined = F.transform("before", lambda e: F.struct(e["upto"].alias("upto"), then(e["after"]).alias("after")))
+        rows = materialize(rows.withColumn("before", before).withColumn("table", F.coalesce(joined, "table")).drop("before"), "stretches")
+        span *= 2
+    # a table that spans all stretches up to its own begins with the first one's first window
+    entry = F.coalesce(F.get(F.lag("table", 1).over(order), F.lit(0))["after"], F.get("starts", F.lit(0)))
+    none = F.struct(F.col("entry").alias("due"), F.array().cast("array<bigint>").alias("fired"))
 
     def step(acc: Column, t: Column) -> Column:
-        due = (F.size(acc) == 0) | (t - F.element_at(acc, -1) >= COOLDOWN_HOURS * 3600)
-        return F.when(due, F.concat(acc, F.array(t))).otherwise(acc)
+        fires = t >= acc["due"]
+        return F.struct(F.when(fires, t + gap).otherwise(acc["due"]).alias("due"), F.when(fires, F.concat(acc["fired"], F.array(t))).otherwise(acc["fired"]).alias("fired"))
 
-    # element_at of the empty array is never reached: the size is tested first.
-    fold = F.aggregate(F.col("starts"), F.array().cast("array<bigint>"), lambda acc, t: F.when(F.size(acc) == 0, F.array(t)).otherwise(step(acc, t)))
-    return degraded.groupBy(*keys).agg(starts.alias("starts")).select(*keys, F.explode(fold).alias("t")).select(
-        *keys, F.timestamp_seconds("t").alias("triggered_at")
-    )
+    folded = rows.withColumn("entry", entry).select(*keys, F.aggregate("starts", none, step)["fired"].alias("fired"))
+    return folded.select(*keys, F.explode("fired").alias("t")).select(*keys, F.timestamp_seconds("t").alias("triggered_at"))
 
 
 def gated(triggers: DataFrame, counts: DataFrame) -> DataFrame:

@@ -251,6 +251,26 @@ def test_rollback_after_failures(spark):
     assert alerts.first()["error_rate"] == 0.75
 
 
+@pytest.mark.parametrize("days", [2, 5, 64])
+def test_triggers_of_long_histories(spark, monkeypatch, days):
+    """Stretches of any length give what one fold over a key's whole history gives."""
+    monkeypatch.setattr(telemetry, "STRETCH_DAYS", days)
+    rnd = random.Random(days)
+    first, rows = dt.datetime(2023, 12, 30, 5), []
+    for key, share in (("dense", 0.9), ("some", 0.2), ("rare", 0.01), (None, 0.1), ("once", 0.0)):
+        rows += [(key, first + dt.timedelta(hours=h), "QUALITY_DEGRADED" if rnd.random() < share else "HEALTHY") for h in range(60 * 24)]
+    rows += [("once", first + dt.timedelta(hours=700), "QUALITY_DEGRADED"), ("dense", first + dt.timedelta(days=400), "QUALITY_DEGRADED")]
+    want, last = set(), {}
+    for key, at, status in sorted(rows, key=lambda r: r[1]):
+        if status == "QUALITY_DEGRADED" and (key not in last or at - last[key] >= dt.timedelta(hours=24)):
+            want.add((key, at))
+            last[key] = at
+    df = spark.createDataFrame(rows, "model_version string, window_start timestamp, status string")
+    out = telemetry.retrain_triggers(df, ["model_version"]).collect()
+    assert len(out) == len(want) and {tuple(r) for r in out} == want
+    assert telemetry.retrain_triggers(df.where("status = 'HEALTHY'"), ["model_version"]).count() == 0
+
+
 def test_deployment_reaches_production_or_rolls_back(spark):
     good = [("g", dt.date(2024, 1, d), 100, 0.01) for d in range(1, 9)]
     bad = [("b", dt.date(2024, 1, 1), 100, 0.01), ("b", dt.date(2024, 1, 2), 100, 0.2), ("b", dt.date(2024, 1, 3), 100, 0.0)]
