@@ -55,6 +55,49 @@ def test_labelled_fields_of_plain_lines(spark):
     assert got == {"mrp": "250.00", "netQuantity": "500 g", "batchLotNumber": "ABC123"}
 
 
+def test_brand_and_product_scores(spark):
+    """Scores added by hand: size, confidence, trade mark or label, wording, nearness."""
+    small = lambda i, texts: [(i, 10 + k, t, 0.95, 0.0, 400 + 20.0 * k, 100.0, 415 + 20.0 * k) for k, t in enumerate(texts)]
+    rows = [
+        ("a", 0, "Acme®", 0.95, 0.0, 0.0, 100.0, 40.0),  # much larger 2, sure 1, mark 4
+        ("a", 1, "Detergent Powder", 0.95, 0.0, 60.0, 150.0, 90.0),  # larger 1, sure 1, commodity 3, near the brand 2
+        *small("a", ["Net Quantity 500 g", "MRP Rs 99", "Batch: A1"]),
+        ("b", 0, "Fresh", 0.95, 0.0, 0.0, 100.0, 40.0),  # 2 + 1 + letters 1, promotional -4: no brand
+        ("b", 1, "Basmati Rice", 0.95, 0.0, 900.0, 100.0, 915.0),  # sure 1, commodity 3
+        *small("b", ["Net Quantity 500 g", "MRP Rs 99"]),
+        ("c", 0, "Brand: Zed", 0.95, 0.0, 0.0, 100.0, 20.0),  # sure 1, label 4
+        ("c", 1, "Foods", 0.55, 300.0, 300.0, 400.0, 320.0),
+        *small("c", ["MRP Rs 99"]),
+        *small("d", ["MRP Rs 99", "1234567", "x"]),
+    ]
+    d = spark.createDataFrame(rows, "image_id string, det_id long, text string, confidence double, x0 double, y0 double, x1 double, y1 double")
+    out = fields.brand_and_product(d, spark.createDataFrame([], "image_id string, manufacturer string"))
+    got = {(r.image_id, r.field): (r.name, r.status, r.confidence, r.score) for r in out.collect()}
+    assert got == {
+        ("a", "brandName"): ("Acme", "PASS", 0.95, 7), ("a", "productName"): ("Detergent Powder", "PASS", 0.95, 7),
+        ("b", "productName"): ("Basmati Rice", "REVIEW", 0.95, 4), ("c", "brandName"): ("Zed", "PASS", 0.95, 5),
+    }
+
+
+@pytest.mark.parametrize(
+    "texts, expected",
+    [
+        (["Acme", "x", "Use by", "12/08/2026", "y"], (0.3, 0.3, 0.6)),
+        (["Acme", "x", "q", "y", "12/08/2026"], (0.45, 0.45, 0.45)),
+        (["Acme", "Mfd", "12/08/2026", "B. No 7", "q", "r"], (0.2, 0.3, 0.3)),
+        (["Acme", "B. No 7", "12/08/2026", "y", "z", "q"], (0.0, 0.3, 0.3)),
+        (["Acme", "batch", "12/08/2026", "y", "z"], None),
+        (["12/08/1985"], None),
+    ],
+)
+def test_dates_without_label(spark, texts, expected):
+    """Base, word nearby, lower part of the image, lot number nearby; another field's label refuses the date."""
+    got = {r.field: (r.value, r.confidence, r.status) for r in fields.implicit_values(detections(spark, texts), ("dates",)).collect()}
+    names = ("dateOfManufacture", "dateOfPacking", "expiryOrUseByDate")
+    status = lambda c: "PASS" if c >= 0.8 else "REVIEW" if c >= 0.55 else "UNKNOWN"
+    assert got == ({} if expected is None else {n: ("2026-08-12", c, status(c)) for n, c in zip(names, expected, strict=True)})
+
+
 def test_tax_wording_anywhere_on_the_image(spark):
     noted = detections(spark, ["MRP Rs 250.00", "far away", "x", "y", "z", "(Inclusive of all taxes)"])
     plain = detections(spark, ["MRP Rs 99", "taxes extra"])
