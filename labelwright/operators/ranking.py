@@ -44,9 +44,11 @@ def numbered(df: DataFrame, order: list[str], name: str = "n", start: int = 0, t
 BINS = 1024
 
 
-def order_statistics(df: DataFrame, keys: list[str], value: str, ranks: Mapping[str, Callable[[Column], Column]]) -> DataFrame:
+def order_statistics(df: DataFrame, keys: list[str], value: str, ranks: Mapping[str, Callable[[Column], Column]], weight: str | None = None) -> DataFrame:
     """Per group the number of values as ``total`` and the exact values at the given ranks.
 
+    A value counts once per row, or ``weight`` times.
+
     ``ranks`` names each wanted value and gives its 1-based rank from the column of totals; ranks
     beyond the ends give the ends. Selection is by histogram passes: values are counted once, then
     every pass cuts the interval that holds a rank into ``BINS`` and goes on with the bin that holds
@@ -57,8 +59,8 @@ def order_statistics(df: DataFrame, keys: list[str], value: str, ranks: Mapping[
     """
     number = F.col(value).cast("double")
     if not keys:
-        return order_statistics(df.withColumn("_all", F.lit(0)), ["_all"], value, ranks).drop("_all")
-    counted = df.where(number.isNotNull() & ~F.isnan(number)).groupBy(*keys, number.alias("_v")).agg(F.count("*").alias("_rows"))
+        return order_statistics(df.withColumn("_all", F.lit(0)), ["_all"], value, ranks, weight).drop("_all")
+    counted = df.where(number.isNotNull() & ~F.isnan(number)).groupBy(*keys, number.alias("_v")).agg((F.sum(weight) if weight else F.count("*")).alias("_rows"))
     counted = materialize(counted, "counted")
     whole = counted.groupBy(*keys).agg(F.sum("_rows").alias("total"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
     wanted = F.array(*[F.struct(F.lit(name).alias("_name"), f(F.col("total")).cast("bigint").alias("_rank")) for name, f in ranks.items()])

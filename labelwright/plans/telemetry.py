@@ -178,8 +178,8 @@ def stream_health(spark, sf):
  SELECT time_bucket(INTERVAL '1 day', ts, TIMESTAMP '1970-01-01') AS w, quantile_disc(latency_ms, 0.95) AS p, count(*) FILTER (WHERE prediction_count = 0) / count(*) AS d FROM @telemetry GROUP BY 1)
  WHERE w + INTERVAL '1 day' <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM @telemetry)""")
 def stream_drift(spark, sf):
-    """Days the watermark has closed. The sketch is exact where a day has fewer rows than its resolution, as here."""
-    return _text(jobs.run_to_end(jobs.drift(_telemetry_stream(spark, sf), "1 day"), "drift"))
+    """Days the watermark has closed; the stream counts, ranks are found in the stored counts."""
+    return _text(ops.drift_of_counts(jobs.run_to_end(jobs.latency_counts(_telemetry_stream(spark, sf), "1 day"), "drift")))
 
 
 @query("stream_dedup", "SELECT event_id, deployment_id, inference_status FROM @telemetry")

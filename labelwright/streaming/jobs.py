@@ -56,8 +56,9 @@ def health(events: DataFrame, size: str, min_samples: int, slide: str | None = N
     return telemetry.health(events.withWatermark("ts", WATERMARK), size, slide, min_samples, keys)
 
 
-def drift(events: DataFrame, size: str) -> DataFrame:
-    return telemetry.drift_in_stream(events.withWatermark("ts", WATERMARK), size)
+def latency_counts(events: DataFrame, size: str) -> DataFrame:
+    """Counts by latency of the windows that the watermark has closed; ``telemetry.drift_of_counts`` reads them."""
+    return telemetry.latency_counts(events.withWatermark("ts", WATERMARK), size)
 
 
 def without_repeats(samples: DataFrame, key: str, ts: str = "ts") -> DataFrame:

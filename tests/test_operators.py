@@ -452,3 +452,12 @@ def test_groups_by_brute_force_in_several_blocks(spark, monkeypatch):
                 a, b = sorted((root[i], root[j]))
                 root = {k: a if r == b else r for k, r in root.items()}
     assert {r.image_id: r.group_id for r in out.collect()} == root
+
+
+def test_drift_of_a_large_window_is_exact(spark):
+    """More rows in a window than a sketch would hold apart."""
+    rows = spark.range(150_000).select(
+        F.timestamp_seconds(F.col("id") % 80_000).alias("ts"), (F.col("id") * 7919 % 150_000).cast("double").alias("latency_ms"), (F.col("id") % 4).alias("prediction_count")
+    )
+    row = telemetry.drift_of_counts(telemetry.latency_counts(rows, "1 day")).collect()
+    assert [(r.p95_ms, r.no_detection_rate) for r in row] == [(142_499.0, 0.25)]
