@@ -461,3 +461,29 @@ def test_drift_of_a_large_window_is_exact(spark):
     )
     row = telemetry.drift_of_counts(telemetry.latency_counts(rows, "1 day")).collect()
     assert [(r.p95_ms, r.no_detection_rate) for r in row] == [(142_499.0, 0.25)]
+
+
+@pytest.mark.parametrize("query", ["brand_product", "label_value_join", "extract_manufacturer", "implicit_score"])
+def test_label_readers_broadcast_nothing(spark, sf_dir, query):
+    """Sizes estimated from small part files say nothing about the boxes made of them."""
+    import __spark_entry__
+
+    plan = __spark_entry__.queries()[query](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" in plan or query == "label_value_join"
+    assert "Broadcast" not in plan
+
+
+@pytest.mark.parametrize("view", ["product_facts", "product_texts", "label_left", "label_right", "text_lines"])
+def test_costly_views_are_dealt_over_cores(spark, sf_dir, view):
+    from labelwright.sources.standins import spark_view
+
+    assert "REPARTITION_BY_COL" in spark_view(spark, sf_dir, view)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_folders_are_written_by_many_tasks(spark, tmp_path):
+    rows = spark.range(400).coalesce(1).select((F.col("id") % 200).alias("k"), F.col("id").cast("string").alias("value"))
+    files.write_folders(rows, "k", str(tmp_path / "out"))
+    written = [p.name.split("-")[1] for p in (tmp_path / "out").rglob("part-*")]
+    assert len(written) == 200 and len(set(written)) > 8
+    back = spark.read.text(str(tmp_path / "out"))
+    assert sorted(int(r.value) for r in back.collect()) == list(range(400))
