@@ -103,7 +103,8 @@ def binary_inventory(spark, sf):
     path = _folder(spark, "binary")
     c = F.col
     text = F.concat_ws(", ", "s_name", c("s_nationkey").cast("string"), c("s_acctbal").cast("decimal(12,2)").cast("string"))
-    spark_view(spark, sf, "supplier").select(c("s_suppkey").alias("supplier"), text.alias("value")).write.partitionBy("supplier").text(path)
+    rows = spark_view(spark, sf, "supplier").select(c("s_suppkey").alias("supplier"), text.alias("value"))
+    files.write_folders(rows, "supplier", path)
     return files.binary_inventory(spark, path, "*.txt").drop("file")
 
 

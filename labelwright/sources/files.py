@@ -101,6 +101,18 @@ def label_files(spark: SparkSession, path: str) -> DataFrame:
     return rows.filter(F.col("p").isNotNull()).select("product_id", "view", "p.*")
 
 
+def write_folders(rows: DataFrame, key: str, path: str) -> None:
+    """Text files in one folder per key.
+
+    A folder costs far more than its bytes: keys are dealt over all cores by number, not by size, and tasks
+    move their own files into place instead of the driver moving all of them. The folder is new and is read
+    only after the write, so a failed write leaves nothing that is read.
+    """
+    parts = rows.sparkSession.sparkContext.defaultParallelism * 4
+    dealt = rows.repartition(parts, key)
+    dealt.write.option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy(key).text(path)
+
+
 def binary_inventory(spark: SparkSession, path: str, pattern: str) -> DataFrame:
     """Name, folder, size and content hash of every matching file below a folder."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path)
