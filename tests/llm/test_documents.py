@@ -11,6 +11,8 @@ import zlib
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
+
 from labelwright.llm import bestfit, brown_lm, credential_link, fst_bpe, line_dedup, lsh_forest, robust_rules
 from labelwright.llm.queries import QUERIES
 
@@ -407,6 +409,24 @@ def test_line_hot_template(spark, monkeypatch):
     assert {r.doc_id for r in out.where("dropped > 0").select("row.doc_id").collect()} == set(range(400, 430))
 
 
+def test_line_keys_are_few(spark):
+    """A line has a dozen keys, two dozen if it is short, and a passage that many lines hold makes no pairs of all of them."""
+    rnd = random.Random(12)
+    word = lambda: "".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=6))
+    passage = [word() for _ in range(8)]
+    rows = [(i, " ".join([word() for _ in range(20)] + passage + [word() for _ in range(20)])) for i in range(300)]
+    rows += [(300 + i, " ".join(word() for _ in range(10))) for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").select(F.struct("*").alias("row"), F.col("doc_id").alias("doc"), F.col("doc_id").alias("rid"))
+    seen = line_dedup.save(line_dedup.occurrences(docs), "occurrences")
+    assert {r[0] for r in seen.select(F.size("keys")).where("n > 14").distinct().collect()} == {line_dedup.KEYS}
+    assert seen.where(F.size("keys") > 2 * line_dedup.KEYS).count() == 0
+    heads = seen.withColumnRenamed("sid", "cid")
+    members = line_dedup.save(line_dedup.buckets(heads), "buckets")
+    none = spark.createDataFrame([], "node long, component long")
+    pairs = line_dedup.near(members, none).count() + line_dedup.crowded(members, heads).count()
+    assert 0 < members.count() and line_dedup.pivots(members).count() + pairs < 20 * len(rows)
+
+
 def test_no_line_vanishes(spark):
     """A document of little but repeats stays if another one lost a line to it."""
     rnd = random.Random(4)
