@@ -279,6 +279,25 @@ def test_recommendations_in_blocks(spark, monkeypatch):
         assert got == want
 
 
+def test_status_from_few_products(spark, monkeypatch):
+    """A scan that one product settles does not meet the others; the statuses are those of all scores."""
+    monkeypatch.setattr(nutrition, "PROBE", 20)
+    rnd = random.Random(6)
+    made = [(i, "biscuits", f"p{i}", {f"{k}_100g": float(rnd.randrange(1, 40)) for k in ("sugars", "fat")[: 1 + i % 2]}, float(i)) for i in range(400)]
+    products = spark.createDataFrame(made, "product_id long, category string, name string, nutriments map<string,double>, popularity double")
+    values = nutrition.canonical_nutriments(F.col("nutriments"))
+    scans = products.select(F.col("product_id").alias("scan_id"), "category", values.alias("values"), F.lit(0.9).alias("category_confidence"))
+    best = [(1000, "biscuits", {"sugars": 0.5, "totalFat": 0.5}, 0.9), (1001, "biscuits", {"fibre": 3.0}, 0.9), (1002, "cakes of none", {"sugars": 3.0}, 0.9)]
+    scans = scans.unionByName(spark.createDataFrame(best, scans.schema))
+    front = nutrition.comparable(products)
+    asked = []
+    score = nutrition.score_scans
+    monkeypatch.setattr(nutrition, "score_scans", lambda s, f: asked.append(s.count()) or score(s, f))
+    status = lambda scored: {r.scan_id: r.status for r in nutrition.recommendation_status(scans, scored).collect()}
+    assert status(nutrition.best_scores(scans, front)) == status(score(scans, front))
+    assert asked[0] == 403 and asked[1] < 100
+
+
 def test_learning_score(spark):
     row = lambda conf, consent: (1, consent, "proprietary", conf, "1", "1 g", "PASS", "food", False)
     schema = "sample_id int, consent string, source_type string, confidence double, mrp string, net_quantity string, compliance_status string, category string, user_corrected boolean"
