@@ -427,6 +427,21 @@ def test_line_keys_are_few(spark):
     assert 0 < members.count() and line_dedup.pivots(members).count() + pairs < 20 * len(rows)
 
 
+def test_line_buckets_are_narrow(spark):
+    """Frequent short words make no keys of long lines, and lines of lengths too far apart share no bucket."""
+    rnd = random.Random(21)
+    word = lambda size: "".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=size))
+    line = lambda n, size, end: " ".join([word(size) for _ in range(n)] + end)
+    short, rare = ["of", "the", "and", "to", "in", "a"] * 2, [word(9) for _ in range(10)]
+    rows = [(i, line(20, 8, short)) for i in range(60)]
+    rows += [(60 + i, line(10 + 40 * (i % 2), 5, rare)) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").select(F.struct("*").alias("row"), F.col("doc_id").alias("doc"), F.col("doc_id").alias("rid"))
+    heads = line_dedup.save(line_dedup.occurrences(docs), "occurrences").withColumnRenamed("sid", "cid")
+    met = line_dedup.save(line_dedup.buckets(heads), "buckets").select("key", "cid").join(heads.select("cid", "doc", "n"), "cid")
+    assert met.where("doc < 60").count() == 0 and met.select("doc").distinct().count() == 60
+    assert met.groupBy("key").agg(F.countDistinct("n").alias("kinds")).where("kinds > 1").count() == 0
+
+
 def test_no_line_vanishes(spark):
     """A document of little but repeats stays if another one lost a line to it."""
     rnd = random.Random(4)
