@@ -98,6 +98,20 @@ def test_dates_without_label(spark, texts, expected):
     assert got == ({} if expected is None else {n: ("2026-08-12", c, status(c)) for n, c in zip(names, expected, strict=True)})
 
 
+def test_signals_of_values_without_label(spark):
+    """What made a score is told, and whether a neighbour of a price says that taxes are included."""
+    told = lambda texts, kinds: {(r.field, r.value): (r.inclusive, r.signals) for r in fields.implicit_values(detections(spark, texts), kinds).collect()}
+    assert told(["Acme", "₹129", "incl of taxes", "Rs 7", "q", "r", "s", "t"], ("mrp",)) == {
+        ("mrp", "129"): (True, "implicit_currency_symbol,nearby_money_candidate"), ("mrp", "7"): (True, "implicit_currency_symbol,nearby_money_candidate"),
+    }
+    assert told(["Price", "45", "x", "y", "z", "q"], ("mrp",)) == {("mrp", "45"): (False, "bare_number_near_price_label,nearby_price_word,bare_number_capped_review")}
+    assert told(["x", "y", "z", "q", "Net Weight", "100 g"], ("netQuantity",)) == {("netQuantity", "100.000 g"): (None, "recognized_metric_unit,compatible_quantity_range,nearby_net_quantity_word,declaration_region")}
+    assert told(["Mfd", "08/2026", "B. No 7", "q", "r", "s"], ("dates",)) == {
+        ("dateOfManufacture", "2026-08-01"): (None, "month_year_format,nearby_manufacturing_word,batch_label_nearby_penalty"),
+        ("dateOfPacking", "2026-08-01"): (None, "month_year_format,no_direct_label"), ("expiryOrUseByDate", "2026-08-01"): (None, "month_year_format,no_direct_label"),
+    }
+
+
 def test_tax_wording_anywhere_on_the_image(spark):
     noted = detections(spark, ["MRP Rs 250.00", "far away", "x", "y", "z", "(Inclusive of all taxes)"])
     plain = detections(spark, ["MRP Rs 99", "taxes extra"])
