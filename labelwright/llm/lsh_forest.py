@@ -6,10 +6,16 @@ tree, which are those of the longest common prefix, are candidates. The depth th
 to every region: where many signatures share a prefix, neighbours agree much deeper. Candidates
 whose sketches agree far too little are left out; the others are confirmed on the full sets.
 
-Every class has at most 2 * ``NEAR`` * ``TREES`` candidates, so no group is ever compared pairwise,
+Every class has at most 2 * ``NEAR`` * ``TREES`` such candidates, so no group is ever compared pairwise,
 and long chains of neighbours keep large groups together. First each class's most similar candidate
 is confirmed; of the rest only pairs that those links do not connect already.
 
+Buckets of more classes than a tree's window reaches (``PREFIX`` equal hashes) hold pairs that were not
+met. Where such a bucket is not of one group yet, all its classes meet the one with the most links, from
+which the others may be copied. What is still apart then is settled by shared shingles: of two similar
+sets the smaller has one of its rarest shingles (a ninth of them) among the rarest fifth of the other's,
+so only classes of different groups with such a shingle in common are confirmed.
+
 Defined cases: null, empty and wordless texts have no shingles and are linked with nothing; equal
 texts are linked; repeated ids keep their rows, the smallest id of a group names it; null ids are
 never the smallest unless alone, where the component is null and the row kept.
@@ -23,6 +29,7 @@ import numpy as np
 import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from labelwright.llm.graph import components
@@ -32,6 +39,10 @@ from labelwright.llm.store import drop, save
 
 WIDTH, PERCENT = 4, 80
 TREES, DEPTH, NEAR, HASHES = 10, 8, 4, 128
+#: Equal hashes of a bucket: similar sets share one in some tree with probability 0.999 at similarity 0.8.
+PREFIX = 3
+#: Pairs of one class that are confirmed in one task, and shingles that a task holds at once.
+DEALT, HELD = 1000, 500_000
 #: Sketch bits that must agree: 128 bits agree in 115 on average at similarity 0.8, five deviations lower in 98.
 AGREE = 98
 _RNG = np.random.default_rng(20240501)
@@ -166,6 +177,121 @@ def confirm(pairs: DataFrame, texts: DataFrame, width: int = WIDTH) -> DataFrame
     return pairs.select("a", "b").join(b, "b").join(a, "a").select("a", "b", "text_a", "text_b").mapInPandas(lambda batches: _confirmed(batches, width), "a long, b long")
 
 
+def _agreeing(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    bits = lambda c: np.frombuffer(b"".join(c), dtype=np.uint64).reshape(len(c), HASHES // 64)
+    for batch in batches:
+        agree = HASHES - np.bitwise_count(bits(batch["sketch_a"]) ^ bits(batch["sketch_b"])).sum(axis=1, dtype=np.int64)
+        yield batch.loc[agree >= AGREE, ["a", "b"]]
+
+
+def agreeing(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The pairs (a, b) of which enough sketch bits agree; ``sketches`` has rid and sketch."""
+    side = lambda x: sketches.select(F.col("rid").alias(x), F.col("sketch").alias(f"sketch_{x}"))
+    return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "sketch_a", "sketch_b").mapInPandas(_agreeing, "a long, b long")
+
+
+def confirm_dealt(pairs: DataFrame, texts: DataFrame, width: int = WIDTH) -> DataFrame:
+    """Like ``confirm``, for pairs of which many may have the same ``a``: its text is sent to each ``DEALT`` of them."""
+    parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / DEALT).cast("int").alias("parts"))
+    left = texts.join(parts, F.col("rid") == F.col("a")).select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("text").alias("text_a"))
+    right = pairs.join(parts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"))
+    right = right.join(texts.select(F.col("rid").alias("b"), F.col("text").alias("text_b")), "b")
+    both = right.join(left, ["a", "part"]).select("a", "b", "text_a", "text_b")
+    return both.mapInPandas(lambda batches: _confirmed(batches, width), "a long, b long")
+
+
+def _grouping(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """``rows`` (rid) with the ``group`` of each, as far as known."""
+    named = groups.select(F.col("node").alias("rid"), "component")
+    return rows.join(named, "rid", "left").withColumn("group", F.coalesce("component", "rid")).drop("component")
+
+
+def _mixed(members: DataFrame) -> DataFrame:
+    """The members (bucket, rid, group) of buckets that are not of one group."""
+    mixed = members.groupBy("bucket").agg((F.min("group") != F.max("group")).alias("mixed")).where("mixed").select("bucket")
+    return members.join(mixed, "bucket")
+
+
+def crowds(forest: DataFrame) -> DataFrame:
+    """(bucket, rid) of the classes in buckets of more than a tree's window reaches."""
+    rows = forest.select("rid", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"), "keys")
+    index = save(rows.select(F.xxhash64("tree", F.expr(f"substring(keys, tree * {DEPTH * 4} + 1, {PREFIX * 4})")).alias("bucket"), "rid"), "index")
+    large = save(index.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > NEAR + 1).select("bucket"), "large")
+    found = save(sifted(index, large, "bucket").where("maybe").select("bucket", "rid").join(large, "bucket"), "crowds")
+    drop(index, large)
+    return found
+
+
+def _shingled(batches: Iterator[pd.DataFrame], width: int = WIDTH) -> Iterator[pd.DataFrame]:
+    shingles = Shingler(width)
+
+    def frame(held: list[tuple[int, int, np.ndarray]]) -> pd.DataFrame:
+        size = [len(s) for _, _, s in held]
+        every = lambda values: np.repeat(np.array(values, dtype=np.int64), size)
+        return pd.DataFrame({"rid": every([r for r, _, _ in held]), "group": every([g for _, g, _ in held]), "n": every(size), "shingle": np.concatenate([s for _, _, s in held]).view(np.int64)})
+
+    for batch in batches:
+        held, count = [], 0
+        for rid, group, text in zip(batch["rid"], batch["group"], batch["text"], strict=True):
+            held.append((rid, group, shingles(text)))
+            count += len(held[-1][2])
+            if count > HELD:
+                yield frame(held)
+                held, count = [], 0
+        if held:
+            yield frame(held)
+
+
+def rarest(texts: DataFrame, width: int = WIDTH) -> DataFrame:
+    """All pairs (a, b) of different groups that may be similar; ``texts`` has rid, group and text.
+
+    Shingles are put in order of their frequency. A shingle of one text only meets nothing; such are counted,
+    not sorted.
+    """
+    rows = save(texts.select("rid", "group", "text").mapInPandas(lambda batches: _shingled(batches, width), "rid long, group long, n long, shingle long"), "shingles")
+    shared = rows.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1")
+    mine = W.partitionBy("rid")  # the shingles of one text
+    ranked = rows.join(shared, "shingle").select("*", F.row_number().over(mine.orderBy("df", "shingle")).alias("rank"), F.count("*").over(mine).alias("shared"))
+    place, n = F.col("n") - F.col("shared") + F.col("rank"), F.col("n")
+    least = F.ceil(PERCENT * n / 100)  # in common with any similar set
+    larger = F.ceil(2 * PERCENT * n / (100 + PERCENT))  # in common with a similar set that is not smaller
+    prefix = save(ranked.where(place <= n - least + 1).select("shingle", "rid", "group", "n", (n - place + 1).alias("rest"), (place <= n - larger + 1).alias("first")), "prefix")
+    side = lambda x: [F.col(c).alias(f"{c}_{x}") for c in ("group", "n", "rest")]
+    small = prefix.where("first").select("shingle", F.col("rid").alias("a"), *side("a"))
+    large = prefix.select("shingle", F.col("rid").alias("b"), *side("b"))
+    fit = ((F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("a") < F.col("b")))) & (100 * F.col("n_a") >= PERCENT * F.col("n_b"))
+    # what follows the first shingle in common is all that two texts can share
+    fit &= (100 + PERCENT) * F.least("rest_a", "rest_b") >= PERCENT * (F.col("n_a") + F.col("n_b"))
+    pairs = save(small.join(large, "shingle").where(fit & (F.col("group_a") != F.col("group_b"))).select("a", "b").distinct(), "rare")
+    drop(rows, prefix)
+    return pairs
+
+
+def crowded_links(staged: DataFrame, forest: DataFrame, found: DataFrame, width: int = WIDTH) -> DataFrame:
+    """``found`` and the links of large buckets that connect what these leave apart."""
+    members = crowds(forest)
+    known = save(_mixed(_grouping(members, components(found))), "known")
+    drop(members)
+    if known.isEmpty():
+        return found
+    own = known.select("rid").distinct()
+    likely = sifted(staged.select("rid", text_of(staged).alias("text")), own, "rid").where("maybe").drop("maybe")
+    texts = save(likely.join(own, "rid", "left_semi"), "texts")
+    sketches = save(forest.select("rid", "sketch").join(own, "rid", "left_semi"), "sketches")
+    degree = found.select(F.explode(F.array("a", "b")).alias("rid")).groupBy("rid").agg(F.count("*").alias("degree"))
+    linked = known.join(degree, "rid", "left").select("bucket", F.struct(F.coalesce("degree", F.lit(0)).alias("degree"), "rid", "group").alias("pivot"))
+    most = linked.groupBy("bucket").agg(F.max("pivot").alias("pivot"))
+    met = known.join(most, "bucket").where(F.col("group") != F.col("pivot.group")).select(F.col("pivot.rid").alias("a"), F.col("rid").alias("b")).distinct()
+    met = save(agreeing(met, sketches), "met")
+    first = save(found.unionByName(confirm_dealt(met, texts, width)), "links")
+    left = save(_mixed(_grouping(known.select("bucket", "rid"), components(first))).select("rid", "group").distinct(), "apart")
+    rare = rarest(texts.join(left, "rid"), width)
+    close = save(agreeing(rare, sketches), "met")
+    every = save(first.unionByName(confirm_dealt(close, texts, width)), "links")
+    drop(known, texts, sketches, met, first, left, rare, close)
+    return every
+
+
 def text_of(staged: DataFrame) -> Column:
     """The text stands in the row itself if that carries it."""
     return F.col("row.text") if "text" in staged.schema["row"].dataType.names else F.col("text")
@@ -189,7 +315,7 @@ def links(staged: DataFrame, forest: DataFrame, width: int = WIDTH) -> DataFrame
     second = confirm(apart, texts, width)
     both = save(first.unionByName(second), "links")
     drop(pairs, texts, first)
-    return both
+    return crowded_links(staged, forest, both, width)
 
 
 def grouped(docs: DataFrame, carry: list[str], width: int = WIDTH) -> tuple[DataFrame, DataFrame]:

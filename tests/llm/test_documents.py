@@ -135,6 +135,29 @@ def test_forest_near_copies(spark):
     assert {r.row.doc_id: r.component_id for r in got} == want
 
 
+def test_forest_large_groups(spark):
+    """Copies of one text that are like it and not like each other, and one similar pair among many texts of one template."""
+    rnd = random.Random(5)
+    vocab = [f"w{k}" for k in range(20000)]
+
+    def changed(words, k):
+        copy = list(words)
+        for i in range(0, len(copy), len(copy) // k):
+            copy[min(len(copy) - 1, i + rnd.randrange(len(copy) // k))] = rnd.choice(vocab)
+        return copy
+
+    base, template = rnd.choices(vocab, k=400), rnd.choices(vocab, k=400)
+    rows = [base] + [changed(base, 10) for _ in range(300)]
+    template = [template[:340] + rnd.choices(vocab, k=60) for _ in range(250)]
+    rows += template + [changed(template[k], 3) for k in range(0, 250, 10)]
+    rnd.shuffle(rows)
+    rows = [(i, " ".join(t)) for i, t in enumerate(rows)]
+    want = groups_of({i: shingles(t) for i, t in rows})
+    got = lsh_forest.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), ["doc_id"]).collect()
+    assert len(set(want.values())) == 251
+    assert {r.row.doc_id: r.component_id for r in got} == want
+
+
 def test_forest_edges(edge, nothing):
     got = lsh_forest.near_duplicates(edge, edge.columns).collect()
     assert len(got) == edge.count()
