@@ -432,6 +432,18 @@ def test_line_hot_template(spark, monkeypatch):
     assert {r.doc_id for r in out.where("dropped > 0").select("row.doc_id").collect()} == set(range(400, 430))
 
 
+def test_lines_that_share_a_frequent_key_only(spark):
+    """Similar lines with most keys for themselves are met in the one large bucket they have in common."""
+    rnd = random.Random(31)
+    word = lambda: "".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=8))
+    passage = [word() for _ in range(3)]
+    lines = [[word() for _ in range(6)] + passage + [word() for _ in range(6)] for _ in range(60)]
+    copies = [[w[:-1] + "q" if k in (2, 5, 9, 12) else w for k, w in enumerate(line)] for line in lines[:20]]
+    rows = [(i, " ".join(line)) for i, line in enumerate(lines + copies)]
+    out = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id for r in out.where("dropped > 0").select("row.doc_id").collect()} == set(range(60, 80))
+
+
 def test_line_keys_are_few(spark):
     """A line has a dozen keys, two dozen if it is short, and a passage that many lines hold makes no pairs of all of them."""
     rnd = random.Random(12)
